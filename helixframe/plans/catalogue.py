@@ -1,15 +1,514 @@
-"""The registered queries and the SQL that they are held against."""
+"""The registered queries and the SQL that they are held against.
+
+Sequences are derived from whole document texts in the same way in both engines: letters are mapped onto nucleotides, and
+onto scores. Every query works on its whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import search
+from ..functions import sequence as S
+from ..operators import aggregate, plots, taxonomy
+from ..operators.join import maximal_matches
+from ..operators.order import first_records, last_records
+from ..pipeline import Pipeline
+from ..schema import ORD
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_AS_DNA = ("acgt" * 7)[:26]
+_AS_SCORES = "!#%*+-/02468:;<=>?@ABCDEGI"
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = _SEQS + sql if "FROM seqs" in sql else sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as sequences with scores, in the order of doc_id."""
+    only = F.regexp_replace(F.lower("text"), "[^a-z]", "")
+    seq, scores = F.translate(only, _LETTERS, _AS_DNA), F.translate(only, _LETTERS, _AS_SCORES)
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias(ORD), F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("SEQ_NAME"), seq.alias("SEQ"), scores.alias("SCORES"))
+    return rows.withColumn("SEQ_LEN", F.length("SEQ").cast("long"))
 
+
+_SEQS = f"""
+WITH seqs AS (
+  SELECT doc_id AS ord, 'D' || doc_id AS SEQ_NAME, translate(o, '{_LETTERS}', '{_AS_DNA}') AS SEQ, translate(o, '{_LETTERS}', '{_AS_SCORES}') AS SCORES, length(o) AS SEQ_LEN
+  FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS o FROM documents)
+) """
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """Without the order column, which SQL doesn't have."""
+    return df.drop(ORD)
+
+
+# --- filters
+
+
+@_query("""SELECT o.*, count(*) OVER (PARTITION BY o_orderpriority) AS "o_orderpriority_COUNT" FROM orders o WHERE o_totalprice > 100000""")
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """Large orders with the frequency of their priority, sorted."""
+    orders = _table(spark, sf_dir, "orders")
+    return Pipeline().grab(evaluate=":o_totalprice > 100000").count_values(keys="o_orderpriority").sort(key="o_orderkey").run(orders)
+
+
+@_query("SELECT * FROM part WHERE regexp_matches(p_name, '^(red|blue).*(bolt|ring)$')")
+def grab_regex_keys(spark, sf_dir):
+    return Pipeline().grab(select="^(red|blue).*(bolt|ring)$", keys="p_name").run(_table(spark, sf_dir, "part"))
+
+
+@_query("SELECT * FROM part WHERE NOT (regexp_matches(p_type, 'S') OR regexp_matches(p_brand, '#1'))")
+def grab_reject(spark, sf_dir):
+    return Pipeline().grab(reject=["S", "#1"], keys="p_type,p_brand", values_only=True).run(_table(spark, sf_dir, "part"))
+
+
+@_query("SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE regexp_matches(c_custkey::VARCHAR, '77') OR regexp_matches(c_name, '77') OR regexp_matches(c_nationkey::VARCHAR, '77') OR regexp_matches(c_mktsegment, '77')")
+def grab_any_column(spark, sf_dir):
+    return Pipeline().grab(select="77").run(_table(spark, sf_dir, "customer").drop("c_acctbal"))
+
+
+@_query("SELECT * FROM customer WHERE regexp_matches(c_mktsegment, '(?i)mach|AUTO')")
+def grab_ignore_case(spark, sf_dir):
+    return Pipeline().grab(select="mach|auto", keys="c_mktsegment", ignore_case=True, values_only=True).run(_table(spark, sf_dir, "customer"))
+
+
+@_query("SELECT r_regionkey, r_name FROM region")
+def grab_keys_only(spark, sf_dir):
+    return Pipeline().grab(select="_name$", keys_only=True).run(_table(spark, sf_dir, "region"))
+
+
+@_query("SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('click', 'purchase')")
+def grab_exact(spark, sf_dir):
+    return Pipeline().grab(select=["click", "purchase"], keys="event_type", exact=True).run(_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"))
+
+
+@_query("SELECT * FROM lineitem WHERE l_quantity >= 10 AND l_discount < 0.05 AND (l_returnflag = 'R' OR l_linestatus = 'O')")
+def grab_evaluate(spark, sf_dir):
+    return Pipeline().grab(evaluate=":l_quantity >= 10 && :l_discount < 0.05 && (:l_returnflag == 'R' || :l_linestatus == 'O')").run(_table(spark, sf_dir, "lineitem"))
+
+
+_EVENTS = "SELECT event_id, user_id, event_type FROM events"
+
+
+def _events(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+
+
+@_query(f"{_EVENTS} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
+def unique_values(spark, sf_dir):
+    return Pipeline().unique_values(key="user_id", order_by="event_id").run(_events(spark, sf_dir))
+
+
+@_query(f"{_EVENTS} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1")
+def unique_values_invert(spark, sf_dir):
+    return Pipeline().unique_values(key="user_id", invert=True, order_by="event_id").run(_events(spark, sf_dir))
+
+
+@_query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 100")
+def random_n(spark, sf_dir):
+    return Pipeline().random(number=100, order_by="o_orderkey").run(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+
+
+@_query("""
+WITH n AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 2 AS pair FROM orders),
+drawn AS (SELECT pair FROM n GROUP BY pair HAVING count(*) = 2 ORDER BY md5('42|' || pair::BIGINT), pair LIMIT 25)
+SELECT o_orderkey FROM n WHERE pair IN (SELECT pair FROM drawn)""")
+def random_pairs(spark, sf_dir):
+    return Pipeline().random(number=50, pairs=True, order_by="o_orderkey").run(_table(spark, sf_dir, "orders").select("o_orderkey"))
+
+
+# --- projections
+
+
+@_query("SELECT *, 'x' AS \"KEY\" FROM nation")
+def add_key_value(spark, sf_dir):
+    return Pipeline().add_key(key="KEY", value="x").run(_table(spark, sf_dir, "nation"))
+
+
+@_query("SELECT o_orderkey, 'ID_' || (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS \"ID\" FROM orders")
+def add_key_index(spark, sf_dir):
+    return Pipeline().add_key(key="ID", prefix="ID_", order_by="o_orderkey").run(_table(spark, sf_dir, "orders").select("o_orderkey"))
+
+
+@_query("SELECT n_name || ':' || n_regionkey || ':' || n_nationkey AS n_name, n_regionkey, n_nationkey FROM nation")
+def merge_values(spark, sf_dir):
+    return Pipeline().merge_values(keys="n_name,n_regionkey,n_nationkey", delimiter=":").run(_table(spark, sf_dir, "nation"))
+
+
+@_query("SELECT s_suppkey, s_name, string_split(s_name, '#')[1] AS a, string_split(s_name, '#')[2]::BIGINT AS b FROM supplier")
+def split_values(spark, sf_dir):
+    return Pipeline().split_values(key="s_name", keys="a,b", delimiter="#", order_by="s_suppkey").run(_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))
+
+
+@_query("SELECT SEQ_NAME, reverse(SEQ) AS SEQ, reverse(SCORES) AS SCORES, SEQ_LEN FROM seqs")
+def reverse_seq(spark, sf_dir):
+    return _named(Pipeline().reverse_seq().run(sequences(spark, sf_dir)))
+
+
+@_query("SELECT SEQ_NAME, translate(SEQ, 'acgt', 'tgca') AS SEQ FROM seqs")
+def complement_seq(spark, sf_dir):
+    return Pipeline().complement_seq(type="dna").run(sequences(spark, sf_dir)).select("SEQ_NAME", "SEQ")
+
+
+@_query("SELECT SEQ_NAME, CASE WHEN SEQ_LEN - 10 < 5 THEN '' ELSE substr(SEQ, 6, greatest(0, SEQ_LEN - 14)) END AS SEQ FROM seqs")
+def slice_seq(spark, sf_dir):
+    return Pipeline().slice_seq(start=5, stop=-10).run(sequences(spark, sf_dir)).select("SEQ_NAME", "SEQ")
+
+
+@_query("SELECT SEQ_NAME, replace(SEQ, 'a', '') AS SEQ, length(replace(SEQ, 'a', '')) AS SEQ_LEN FROM seqs")
+def degap_seq(spark, sf_dir):
+    gapped = sequences(spark, sf_dir).withColumn("SEQ", F.translate("SEQ", "a", "-")).drop("SCORES")
+    return _named(Pipeline().degap_seq().run(gapped))
+
+
+@_query("""
+WITH a AS (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 24, '-') AS s FROM orders), w AS (SELECT max(length(o_orderkey::VARCHAR)) AS w FROM orders)
+SELECT o_orderkey, substr(s, 25 - w) AS SEQ, w AS SEQ_LEN FROM a, w""")
+def degap_columns(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 24, "-").alias("SEQ"))
+    return Pipeline().degap_seq(columns_only=True).run(orders)
+
+
+_MASKED = "SELECT SEQ_NAME, array_to_string([CASE WHEN ascii(SCORES[i]) - 33 < 20 THEN {low} ELSE upper(SEQ[i]) END FOR i IN range(1, SEQ_LEN + 1)], '') AS SEQ FROM seqs"
+
+
+@_query(_MASKED.format(low="lower(SEQ[i])"))
+def mask_soft(spark, sf_dir):
+    return Pipeline().mask_seq().run(sequences(spark, sf_dir)).select("SEQ_NAME", "SEQ")
+
+
+@_query(_MASKED.format(low="'N'"))
+def mask_hard(spark, sf_dir):
+    return Pipeline().mask_seq(mask="hard").run(sequences(spark, sf_dir)).select("SEQ_NAME", "SEQ")
+
+
+_TRIMMED = (
+    ", t AS (SELECT *, instr(regexp_replace(regexp_replace(SCORES, '[5-I]', 'G', 'g'), '[^G]', 'B', 'g'), 'GGG') AS l, instr(reverse(regexp_replace(regexp_replace(SCORES, '[5-I]', 'G', 'g'), '[^G]', 'B', 'g')), 'GGG') AS r FROM seqs) "
+    "SELECT SEQ_NAME, {seq} AS SEQ FROM t"
+)
+
+
+@_query(_TRIMMED.format(seq="CASE WHEN l = 0 THEN '' ELSE substr(SEQ, l, SEQ_LEN - r + 2 - l) END"))
+def trim_both(spark, sf_dir):
+    return Pipeline().trim_seq().run(sequences(spark, sf_dir)).select("SEQ_NAME", "SEQ")
+
+
+@_query(_TRIMMED.format(seq="CASE WHEN l = 0 THEN '' ELSE substr(SEQ, l) END"))
+def trim_left(spark, sf_dir):
+    return Pipeline().trim_seq(mode="left").run(sequences(spark, sf_dir)).select("SEQ_NAME", "SEQ")
+
+
+@_query(_TRIMMED.format(seq="substr(SEQ, 1, CASE WHEN r = 0 THEN 1 ELSE SEQ_LEN - r + 2 END)"))
+def trim_right(spark, sf_dir):
+    return Pipeline().trim_seq(mode="right").run(sequences(spark, sf_dir)).select("SEQ_NAME", "SEQ")
+
+
+_SUM = "list_sum([ascii(SCORES[i]) - 33 FOR i IN range(1, SEQ_LEN + 1)])::BIGINT"
+
+
+@_query(f"SELECT SEQ_NAME, CASE WHEN SEQ_LEN = 0 THEN NULL ELSE ((200 * {_SUM} + SEQ_LEN) // (2 * SEQ_LEN)) / 100 END AS SCORES_MEAN FROM seqs")
+def mean_scores(spark, sf_dir):
+    return Pipeline().mean_scores().run(sequences(spark, sf_dir)).select("SEQ_NAME", "SCORES_MEAN")
+
+
+@_query("""
+, v AS (SELECT SEQ_NAME, SEQ_LEN, [ascii(SCORES[i]) - 33 FOR i IN range(1, SEQ_LEN + 1)] AS q FROM seqs)
+SELECT SEQ_NAME, CASE WHEN SEQ_LEN >= 5 THEN list_min([(q[i] + q[i + 1] + q[i + 2] + q[i + 3] + q[i + 4]) // 5 FOR i IN range(1, SEQ_LEN - 3)])::DOUBLE END AS SCORES_MEAN_LOCAL FROM v""")
+def mean_scores_local(spark, sf_dir):
+    return Pipeline().mean_scores(local=True).run(sequences(spark, sf_dir)).select("SEQ_NAME", "SCORES_MEAN_LOCAL")
+
+
+_PRIMER = "gtacc"
+
+
+@_query(f"""
+, p AS (SELECT *, instr(SEQ, '{_PRIMER}') AS i FROM seqs)
+SELECT SEQ_NAME, CASE WHEN i > 0 THEN substr(SEQ, i + 5) ELSE SEQ END AS SEQ, CASE WHEN i > 0 THEN 'FORWARD' END AS "CLIP_PRIMER_DIR", CASE WHEN i > 0 THEN i - 1 END AS "CLIP_PRIMER_POS" FROM p""")
+def clip_primer_exact(spark, sf_dir):
+    return Pipeline().clip_primer(primer=_PRIMER, direction="forward").run(sequences(spark, sf_dir)).select("SEQ_NAME", "SEQ", "CLIP_PRIMER_DIR", "CLIP_PRIMER_POS")
+
+
+@_query("""
+SELECT SEQ_NAME, CASE WHEN starts_with(SEQ, 'gtac') THEN substr(SEQ, 5) WHEN starts_with(SEQ, 'tac') THEN substr(SEQ, 4) WHEN starts_with(SEQ, 'ac') THEN substr(SEQ, 3) ELSE SEQ END AS SEQ,
+  CASE WHEN starts_with(SEQ, 'gtac') THEN 4 WHEN starts_with(SEQ, 'tac') THEN 3 WHEN starts_with(SEQ, 'ac') THEN 2 END::BIGINT AS "TRIM_PRIMER_LEN" FROM seqs""")
+def trim_primer_exact(spark, sf_dir):
+    return Pipeline().trim_primer(primer="gtac", direction="forward", overlap_min=2).run(sequences(spark, sf_dir)).select("SEQ_NAME", "SEQ", "TRIM_PRIMER_LEN")
+
+
+# --- joins and aggregations
+
+
+@_query("SELECT o.o_orderkey, o.o_custkey, c.c_name, c.c_mktsegment FROM orders o LEFT JOIN customer c ON o_custkey = c_custkey")
+def merge_table(spark, sf_dir):
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    return Pipeline().merge_table(input=customers, key="o_custkey").run(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+
+
+@_query("SELECT doc_id, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def merge_table_nonmatch(spark, sf_dir):
+    return Pipeline().merge_table(input=_table(spark, sf_dir, "labels"), key="doc_id").run(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"))
+
+
+@_query("SELECT n_name, NULL AS \"RECORD_TYPE\", NULL::BIGINT AS \"COUNT\" FROM nation UNION ALL SELECT NULL, 'count', count(*) FROM nation")
+def count_records(spark, sf_dir):
+    return Pipeline().count().run(_table(spark, sf_dir, "nation").select("n_name"))
+
+
+@_query("SELECT event_id, user_id, event_type, count(*) OVER (PARTITION BY user_id) AS \"user_id_COUNT\", count(*) OVER (PARTITION BY event_type) AS \"event_type_COUNT\" FROM events")
+def count_values(spark, sf_dir):
+    return Pipeline().count_values(keys="user_id,event_type").run(_events(spark, sf_dir))
+
+
+@_query("SELECT min(doc_id) AS doc_id, text AS SEQ, count(*) AS \"SEQ_COUNT\" FROM documents GROUP BY text")
+def dereplicate(spark, sf_dir):
+    return Pipeline().dereplicate_seq(order_by="doc_id").run(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("SEQ")))
+
+
+@_query("SELECT min(doc_id) AS doc_id, arg_min(text, doc_id) AS SEQ, count(*) AS \"SEQ_COUNT\" FROM documents GROUP BY lower(text)")
+def dereplicate_ignore_case(spark, sf_dir):
+    return Pipeline().dereplicate_seq(ignore_case=True, order_by="doc_id").run(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("SEQ")))
+
+
+_OTU_TYPES = ("click", "view", "purchase", "signup", "error", "scroll")
+
+
+@_query("""SELECT user_id::VARCHAR AS "OTU", """ + ", ".join(f"""sum(CASE WHEN event_type = '{t}' THEN 1 ELSE 0 END)::BIGINT AS "{t.upper()}_COUNT" """ for t in _OTU_TYPES) + " FROM events GROUP BY user_id")
+def collect_otus(spark, sf_dir):
+    hits = _table(spark, sf_dir, "events").select(F.col("event_id").alias(ORD), F.lit("H").alias("TYPE"), F.col("user_id").cast("string").alias("S_ID"), F.col("event_type").alias("SAMPLE"))
+    return Pipeline().collect_otus(samples=list(_OTU_TYPES)).grab(select="^OTU$", keys="RECORD_TYPE", values_only=True).run(hits).select("OTU", *[f"{t.upper()}_COUNT" for t in _OTU_TYPES])
+
+
+@_query("""SELECT min(p_partkey) AS p_partkey, arg_min(p_type || '(' || p_size || ');' || p_brand || '(100)', p_partkey) AS "TAXONOMY", sum(p_size)::BIGINT AS "S_COUNT" FROM part GROUP BY p_type, p_brand""")
+def collapse_otus(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.concat("p_type", F.lit("("), size, F.lit(");"), "p_brand", F.lit("(100)")).alias("TAXONOMY"), F.col("p_size").cast("long").alias("S_COUNT"))
+    return Pipeline().collapse_otus(order_by="p_partkey").run(rows)
+
+
+@_query(", p AS (SELECT unnest(range(SEQ_LEN)) AS pos, SEQ FROM seqs) SELECT pos, upper(SEQ[pos + 1]) AS residue, count(*) AS n FROM p GROUP BY ALL")
+def residue_counts(spark, sf_dir):
+    return aggregate.residue_counts(sequences(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
+
+
+_WIDE = """
+WITH p AS (SELECT unnest(range(1, length(n_name) + 1)) AS pos, upper(n_name) AS s FROM nation), w AS (SELECT pos, s[pos] AS r FROM p), t AS (SELECT pos, count(*) AS total FROM w GROUP BY pos), c AS (SELECT pos, r, count(*) AS n FROM w GROUP BY ALL)
+SELECT r AS "V0", """
+
+
+@_query(_WIDE + ", ".join(f'coalesce(max(CASE WHEN c.pos = {p} THEN n END), 0) AS "V{p}"' for p in range(1, 5)) + " FROM c GROUP BY r")
+def residue_distribution(spark, sf_dir):
+    out = Pipeline().analyze_residue_distribution().run(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("SEQ")))
+    return out.where("V0 IS NOT NULL").select("V0", "V1", "V2", "V3", "V4")
+
+
+@_query(_WIDE + ", ".join(f'coalesce(max(CASE WHEN c.pos = {p} THEN 100 * n // total END), 0) AS "V{p}"' for p in range(1, 5)) + " FROM c JOIN t USING (pos) GROUP BY r")
+def residue_distribution_percent(spark, sf_dir):
+    out = Pipeline().analyze_residue_distribution(percent=True).run(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("SEQ")))
+    return out.where("V0 IS NOT NULL").select("V0", "V1", "V2", "V3", "V4")
+
+
+@_query("SELECT l_linenumber::BIGINT AS key, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT 0, 0")
+def histogram_count(spark, sf_dir):
+    return plots.histogram(_table(spark, sf_dir, "lineitem"), "l_linenumber")
+
+
+@_query("SELECT l_returnflag AS key, sum(l_linenumber)::BIGINT AS n FROM lineitem GROUP BY 1")
+def histogram_sum(spark, sf_dir):
+    return plots.histogram(_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linenumber")
+
+
+@_query(", p AS (SELECT unnest(range(SEQ_LEN)) AS pos, SCORES FROM seqs) SELECT pos, sum(ascii(SCORES[pos + 1]) - 33)::DOUBLE / count(*) AS mean, count(*) AS n FROM p GROUP BY pos")
+def mean_score_by_pos(spark, sf_dir):
+    return plots.score_profile(sequences(spark, sf_dir)).select(F.col("pos").cast("long").alias("pos"), "mean", "n")
+
+
+@_query("""
+WITH s AS (SELECT n_chars AS len, sum(n_chars) OVER (ORDER BY n_chars DESC) AS so_far, sum(n_chars) OVER () AS total FROM documents)
+SELECT max(CASE WHEN 2 * so_far >= total THEN len END) AS contig_n50, min(len) AS contig_min, max(len) AS contig_max FROM s""")
+def n50(spark, sf_dir):
+    return aggregate.n50(_table(spark, sf_dir, "documents"), "n_chars")
+
+
+# --- order and pairs
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders")
+def sort_asc(spark, sf_dir):
+    return Pipeline().sort(key="o_totalprice").run(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
+
+
+@_query("SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 100")
+def last_records_by_price(spark, sf_dir):
+    return last_records(_table(spark, sf_dir, "orders"), 100, ["o_totalprice", "o_orderkey"])
+
+
+@_query("SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100")
+def first_records_by_price(spark, sf_dir):
+    return first_records(_table(spark, sf_dir, "orders"), 100, ["o_totalprice", "o_orderkey"])
+
+
+def _halves(spark, sf_dir):
+    half = F.floor(F.col("SEQ_LEN") / 2)
+    return sequences(spark, sf_dir).withColumn("SEQ_NAME", F.concat("SEQ_NAME", F.lit("/1"))).withColumn("SEQ_LEN_LEFT", half).withColumn("SEQ_LEN_RIGHT", F.col("SEQ_LEN") - half)
+
+
+@_query("""
+SELECT SEQ_NAME || '/1' AS SEQ_NAME, substr(SEQ, 1, SEQ_LEN // 2) AS SEQ, substr(SCORES, 1, SEQ_LEN // 2) AS SCORES, SEQ_LEN // 2 AS SEQ_LEN FROM seqs
+UNION ALL SELECT SEQ_NAME || '/2', substr(SEQ, SEQ_LEN // 2 + 1), substr(SCORES, SEQ_LEN // 2 + 1), SEQ_LEN - SEQ_LEN // 2 FROM seqs""")
+def split_pairs(spark, sf_dir):
+    return _named(Pipeline().split_pair_seq().run(_halves(spark, sf_dir)))
+
+
+@_query("SELECT SEQ_NAME || '/1' AS SEQ_NAME, SEQ, SCORES, SEQ_LEN, SEQ_LEN // 2 AS \"SEQ_LEN_LEFT\", SEQ_LEN - SEQ_LEN // 2 AS \"SEQ_LEN_RIGHT\" FROM seqs")
+def merge_pairs(spark, sf_dir):
+    return _named(Pipeline().split_pair_seq().merge_pair_seq().run(_halves(spark, sf_dir)))
+
+
+@_query()
+def assemble_pairs(spark, sf_dir):
+    seqs = sequences(spark, sf_dir).where("SEQ_LEN > 0")
+    part = lambda k, f: F.struct((2 * F.col(ORD) + k).alias(ORD), F.concat("SEQ_NAME", F.lit(f"/{k + 1}")).alias("SEQ_NAME"), f("SEQ").alias("SEQ"), f("SCORES").alias("SCORES"))
+    cut = F.ceil(F.col("SEQ_LEN") * 0.6).cast("int")
+    mates = seqs.select(F.explode(F.array(part(0, lambda c: F.substring(F.col(c), F.lit(1), cut)), part(1, lambda c: F.substring(F.col(c), F.length(c) - cut + 1, cut)))).alias("m")).select("m.*")
+    return _named(Pipeline().assemble_pairs(mismatch_percent=5, overlap_min=3, allow_unassembled=True).run(mates))
+
+
+# --- sequence functions
+
+
+@_query(", k AS (SELECT SEQ_NAME, unnest(list_distinct([substr(SEQ, i, 8) FOR i IN range(1, SEQ_LEN - 6)])) AS k FROM seqs WHERE SEQ_LEN >= 8) SELECT upper(k) AS oligo, count(*) AS n FROM k GROUP BY 1")
+def kmer_sharing(spark, sf_dir):
+    """How many sequences have each 8-mer."""
+    kmers = sequences(spark, sf_dir).select(F.explode(S.kmers("SEQ", 8)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return kmers.select(S.kmer_oligo("kmer", 8).alias("oligo"), "n")
+
+
+@_query("SELECT c_custkey, hamming(c_mktsegment, reverse(c_mktsegment)) AS d FROM customer")
+def hamming(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", S.hamming("c_mktsegment", F.reverse("c_mktsegment")).cast("long").alias("d"))
+
+
+@_query("SELECT p_partkey, levenshtein(upper(p_name), upper(p_type)) AS d FROM part")
+def edit_distance(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", S.edit_distance("p_name", "p_type").cast("long").alias("d"))
+
+
+@_query(", r AS (SELECT SEQ_NAME, unnest(string_split(upper(SEQ), '')) AS residue FROM seqs WHERE SEQ_LEN > 0) SELECT SEQ_NAME, residue, count(*) AS n FROM r WHERE residue <> '' GROUP BY ALL")
+def composition(spark, sf_dir):
+    return sequences(spark, sf_dir).select("SEQ_NAME", F.explode(S.composition("SEQ")).alias("residue", "n")).withColumn("n", F.col("n").cast("long"))
+
+
+@_query("SELECT p_partkey, round(100.0 * (length(p_name) - length(replace(upper(p_name), 'N', ''))) / length(p_name), 2) AS hard, round(100.0 * length(regexp_replace(p_name, '[^a-z]', '', 'g')) / length(p_name), 2) AS soft FROM (SELECT p_partkey, translate(p_name, '-._~', '') AS p_name FROM part)")
+def mask_percentages(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", S.hard_mask("p_name").alias("hard"), S.soft_mask("p_name").alias("soft"))
+
+
+@_query("SELECT SEQ_NAME, regexp_matches(SCORES, '[!-:]') AS low, regexp_matches(SCORES, '[K-h]') AS high, [chr((ascii(SCORES[i]) + 31)::INTEGER) FOR i IN range(1, SEQ_LEN + 1)].array_to_string('') AS scores64 FROM seqs")
+def score_encodings(spark, sf_dir):
+    return sequences(spark, sf_dir).select("SEQ_NAME", S.is_base_33("SCORES").alias("low"), S.is_base_64("SCORES").alias("high"), S.scores_convert("SCORES", 33, 64).alias("scores64"))
+
+
+@_query("SELECT SEQ_NAME, '>' || SEQ_NAME || chr(10) || rtrim(regexp_replace(SEQ, '(.{60})', '\\1' || chr(10), 'g'), chr(10)) AS entry FROM seqs")
+def fasta_entries(spark, sf_dir):
+    return sequences(spark, sf_dir).select("SEQ_NAME", S.to_fasta("SEQ_NAME", "SEQ", 60).alias("entry"))
+
+
+@_query("SELECT o_orderkey, format('{:,}', o_orderkey * 1000) AS text FROM orders")
+def commify(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", S.commify(F.col("o_orderkey") * 1000).alias("text"))
+
+
+@_query()
+def homopolymers(spark, sf_dir):
+    return sequences(spark, sf_dir).select("SEQ_NAME", F.explode(search.homopolymers("SEQ", 4)).alias("h")).select("SEQ_NAME", "h.*")
+
+
+@_query()
+def patscan_fuzzy(spark, sf_dir):
+    return sequences(spark, sf_dir).select("SEQ_NAME", search.patmatch("SEQ", "gtaccgatcgtaag", 2, 1, 1).alias("m")).select("SEQ_NAME", "m.*")
+
+
+@_query()
+def orfs(spark, sf_dir):
+    return sequences(spark, sf_dir).select("SEQ_NAME", F.explode(search.orfs("SEQ", size_min=60, longest=True)).alias("o")).select("SEQ_NAME", "o.*")
+
+
+@_query()
+def digest(spark, sf_dir):
+    return sequences(spark, sf_dir).select("SEQ_NAME", F.explode(search.digest("SEQ", "GAATTC", 1)).alias("f")).select("SEQ_NAME", "f.*")
+
+
+@_query()
+def proteins(spark, sf_dir):
+    genes = sequences(spark, sf_dir).select("SEQ_NAME", F.explode(search.orfs("SEQ", size_min=60)).alias("o"))
+    return genes.select("SEQ_NAME", "o.start", S.translate("o.seq").alias("protein"))
+
+
+@_query()
+def genecall(spark, sf_dir):
+    return _named(Pipeline().genecall(size_min=120).run(sequences(spark, sf_dir))).where("RECORD_TYPE = 'genecall'")
+
+
+# --- taxonomy and similarity
+
+
+def _taxa(spark, sf_dir):
+    name = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]+", "_")
+    taxon = F.concat(F.lit("K#"), name("p_brand"), F.lit(";P#"), name("p_type"), F.lit(";C#"), name("p_name"), F.lit(";O#;F#;G#;S#"))
+    seq = F.translate(F.regexp_replace(F.lower(F.concat("p_name", "p_type", "p_brand")), "[^a-z]", ""), _LETTERS, _AS_DNA)
+    return _table(spark, sf_dir, "part").select("p_partkey", taxon.alias("SEQ_NAME"), seq.alias("SEQ"))
+
+
+@_query()
+def index_taxonomy(spark, sf_dir):
+    nodes, kmers = taxonomy.build_index(_taxa(spark, sf_dir), 8)
+    return nodes.join(kmers.groupBy("path").agg(F.count("*").alias("kmers")), "path", "left")
+
+
+@_query()
+def classify_seq(spark, sf_dir):
+    taxa = _taxa(spark, sf_dir)
+    _, kmers = taxonomy.build_index(taxa, 8)
+    return taxonomy.classify(taxa.select(F.col("SEQ").alias("seq")), kmers, 8)
+
+
+@_query()
+def maximal_exact_matches(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _AS_DNA).alias("seq"))
+    documents = sequences(spark, sf_dir).select(F.col(ORD).alias("id"), F.col("SEQ").alias("seq"))
+    return maximal_matches(items, documents, 60, "forward")
+
+
+@_query()
+def uclust(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias(ORD), F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _AS_DNA).alias("SEQ"))
+    return _named(Pipeline().uclust(identity=0.9).run(items))
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Query name -> function of (spark, sf_dir)."""
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Query name -> DuckDB SQL with the same columns."""
+    return dict(_SQL)
