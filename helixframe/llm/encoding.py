@@ -1,73 +1,163 @@
-"""Token ids of whole texts by a public word BPE, for operators that need lengths or digests of encoded documents."""
+"""Token ids of whole texts by a public word BPE, for operators that need lengths or digests of encoded documents.
+
+The vocabulary lower-cases, drops white space and never merges across it or between its pre-tokens, so a text's ids are
+its pre-tokens' ids in a row. A block of texts is cut into pre-tokens at once, by the classes of its bytes; the distinct
+ones are looked up in a table of those seen before, and the rest are encoded by the tokenizers library. Only ASCII and
+the letters U+00C0 to U+00FF are cut here: a white-space delimited chunk with any other byte, an apostrophe (contractions)
+or a very long pre-token goes to the library as a whole.
+"""
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Pre-tokens of white-space free, lower-case ASCII; the vocabulary's own split pattern restricted to ASCII.
-_ASCII_PRETOKENS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+SPACE, LETTER, DIGIT, OTHER = range(4)
+#: Pre-tokens of up to this many bytes are cut here, as this many 64-bit words.
+WORDS = 4
+LONGEST = 8 * WORDS
 
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = LETTER
+_CLASS[48:58] = DIGIT
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LEAD = 0xC3  # of U+00C0 to U+00FF; × and ÷ among them aren't letters
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+_MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
-class ChunkEncoder:
-    """Encodes texts chunk by chunk between ASCII white space, remembering the ids of chunks.
 
-    The vocabulary drops white space and never merges across it, so a text's ids are its chunks' ids in a row. A chunk that
-    isn't known yet is split into pre-tokens if it is ASCII, else encoded as a whole; unknown pieces go to the library
-    together. Both memories are bounded and emptied when full, which changes speed alone.
-    """
+class Encoder:
+    """Encodes blocks of texts; what it remembers is bounded and emptied when full, which changes speed alone."""
 
-    def __init__(self, path: str, remembered: int = 1_000_000, longest: int = 64):
+    def __init__(self, path: str, remembered: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._remembered, self._longest = remembered, longest
-        self._chunks: dict[bytes, bytes] = {}
-        self._pieces: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        split = {c: _ASCII_PRETOKENS.findall(c.lower()) if c.isascii() else [c] for c in chunks}
-        if len(self._pieces) > self._remembered:
-            self._pieces.clear()
-        new = list({p for parts in split.values() for p in parts if p not in self._pieces})
-        found = self._tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        pieces = {p: np.asarray(e.ids, dtype="<u4").tobytes() for p, e in zip(new, found, strict=True)}
-        known = self._pieces
-        out = {c: b"".join([pieces[p] if p in pieces else known[p] for p in parts]) for c, parts in split.items()}
-        known.update((p, ids) for p, ids in pieces.items() if len(p) <= self._longest)
-        return out
+        self._remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        """The table: keys in order, the words of each pre-token, and where its ids lie."""
+        self._keys, self._words = np.empty(0, np.uint64), np.empty((0, WORDS), np.uint64)
+        self._start, self._count, self._ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _library(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of each)."""
+        found = [e.ids for e in self._tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())), counts
+
+    def _pieces(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes, and begin, length and kind (True: for the library) of each piece of text between white space."""
+        kind = _CLASS[raw]
+        space = kind == SPACE
+        wide = raw >= 128
+        follows = np.concatenate(([False], raw[:-1] == _LEAD))
+        odd = (raw == 39) | (wide & ~follows & (raw != _LEAD)) | (follows & ((raw == 0x97) | (raw == 0xB7)))
+        low = _LOWER[raw]
+        low[follows & (raw >= 0x80) & (raw <= 0x9E)] += 32
+        change = np.concatenate(([True], kind[1:] != kind[:-1]))
+        begins = (change | (kind == DIGIT)) & ~space
+        chunk = np.cumsum(change & ~space & np.concatenate(([True], space[:-1])))  # number of the white-space delimited chunk
+        at = np.flatnonzero(begins)
+        ends = np.flatnonzero(np.append(change | (kind == DIGIT), True)[1:]) + 1
+        ends = ends[~space[ends - 1]]
+        long = ends - at > LONGEST
+        strange = np.zeros(int(chunk[-1]) + 1 if len(chunk) else 1, bool)
+        strange[chunk[odd & ~space]] = True
+        strange[chunk[at[long]]] = True
+        library = strange[chunk[at]]
+        if library.any():  # one piece for each such chunk
+            first = np.concatenate(([True], chunk[at][1:] != chunk[at][:-1]))
+            last = np.concatenate((chunk[at][1:] != chunk[at][:-1], [True]))
+            ends_of = np.zeros(len(strange), np.int64)
+            ends_of[chunk[at[last]]] = ends[last]
+            keep = ~library | first
+            ends = np.where(library, ends_of[chunk[at]], ends)[keep]
+            at, library = at[keep], library[keep]
+        return low, at, ends - at, library
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
-        if len(self._chunks) > self._remembered:
-            self._chunks.clear()
-        split = [t.split() for t in texts]
-        known = self._chunks
-        missing = {c for parts in split for c in parts if c not in known}
-        learned = self._learn(missing) if missing else {}
-        out = []
-        known.update((c, ids) for c, ids in learned.items() if len(c) <= self._longest)
-        get = known.get
-        for parts in split:
-            ids = [get(c) for c in parts]
-            if None in ids:
-                ids = [learned[c] if x is None else x for c, x in zip(parts, ids, strict=True)]
-            out.append(b"".join(ids))
-        return out
-
-
-@lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    """One encoder for each vocabulary and Python worker."""
-    return ChunkEncoder(path)
-
-
-def blocks(texts: list[bytes], most: int = 4_000_000):
+        if not texts:
+            return []
+        text = b"\n".join([*texts, b""])
+        raw = np.frombuffer(text, np.uint8)
+        low, at, size, library = self._pieces(raw)
+        begin_of_text = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
+        start, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        if len(self._keys) > self._remembered:
+            self._forget()
+        plain = ~library
+        start[plain], count[plain], ids = self._looked_up(low, at[plain], size[plain])
+        if library.any():
+            where = np.flatnonzero(library)
+            chunks = [text[a : a + n] for a, n in zip(at[where].tolist(), size[where].tolist(), strict=True)]
+            different = list(dict.fromkeys(chunks))
+            found, counts = self._library(different)
+            place = dict(zip(different, zip((len(ids) + np.cumsum(counts) - counts).tolist(), counts.tolist(), strict=True), strict=True))
+            start[where], count[where] = np.array([place[c] for c in chunks]).T
+            ids = np.concatenate((ids, found))
+        total = np.cumsum(count)
+        every = np.repeat(start - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)
+        out = ids[every].astype("<u4").tobytes()
+        upto = np.concatenate(([0], total))[np.searchsorted(at, begin_of_text)].tolist()
+        return [out[4 * a : 4 * b] for a, b in zip(upto, upto[1:], strict=False)]
+
+    def _looked_up(self, low: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and number of the ids of each pre-token, and the ids that these are places in.
+
+        A pre-token's key is a hash of its words; equal words are what counts, so two pre-tokens with one key are told
+        apart: the one that isn't in the table goes to the library each time.
+        """
+        padded = np.concatenate((low, np.zeros(LONGEST + 8, np.uint8)))
+        from_byte = np.ndarray((len(low) + LONGEST,), "<u8", padded.data, strides=(1,))
+        words = np.zeros((len(at), WORDS), np.uint64)
+        key = size.astype(np.uint64) * _MIX[0]
+        for k in range(WORDS):
+            here = np.flatnonzero(size > 8 * k) if k else slice(None)
+            words[here, k] = from_byte[at[here] + 8 * k] & _MASK[np.minimum(size[here] - 8 * k, 8)]
+            key[here] = (key[here] ^ words[here, k]) * _MIX[k]
+            key[here] ^= key[here] >> np.uint64(29)
+        different, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        row = np.searchsorted(self._keys, different)
+        row[row == len(self._keys)] = 0
+        new = first[self._keys[row] != different] if len(self._keys) else first
+        if len(new):
+            low_bytes = low.tobytes()
+            ids, counts = self._library([low_bytes[a : a + n] for a, n in zip(at[new].tolist(), size[new].tolist(), strict=True)])
+            order = np.argsort(np.concatenate((self._keys, key[new])), kind="stable")
+            self._start = np.concatenate((self._start, len(self._ids) + np.cumsum(counts) - counts))[order]
+            self._count = np.concatenate((self._count, counts))[order]
+            self._words = np.concatenate((self._words, words[new]))[order]
+            self._keys = np.concatenate((self._keys, key[new]))[order]
+            self._ids = np.concatenate((self._ids, ids))
+            row = np.searchsorted(self._keys, different)
+        row = row[inverse]
+        start, count, pool = self._start[row], self._count[row], self._ids
+        if len(row):
+            clash = np.flatnonzero((self._words[row] != words).any(axis=1))
+            if len(clash):
+                low_bytes = low.tobytes()
+                ids, counts = self._library([low_bytes[a : a + n] for a, n in zip(at[clash].tolist(), size[clash].tolist(), strict=True)])
+                start[clash], count[clash] = len(pool) + np.cumsum(counts) - counts, counts
+                pool = np.concatenate((pool, ids))
+        return start, count, pool
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker."""
+    return Encoder(path)
+
+
+def blocks(texts: list[bytes], most: int = 2_000_000):
     """Index ranges of ``texts`` of about ``most`` bytes, so that the parts of a batch held at once stay small."""
     start = held = 0
     for i, t in enumerate(texts):

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import arrow_map, default_vocabulary, frozen, id_and_text, table, utf8
-from .encoding import blocks, chunk_encoder
+from .encoding import blocks, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -67,7 +67,7 @@ def placed_pieces(documents: DataFrame, path: str, capacity: int, open_bins: int
     """The pieces of all documents with their bin and place; rows with piece -1 name the bins open at a partition's end."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder, pack = chunk_encoder(path), BestFit(capacity, open_bins)
+        encode, pack = encoder(path).encode, BestFit(capacity, open_bins)
         end = np.asarray([end_id], "<u4").tobytes()
         partition = TaskContext.get().partitionId()
         fresh = partition << 33
@@ -76,7 +76,7 @@ def placed_pieces(documents: DataFrame, path: str, capacity: int, open_bins: int
             texts, ids = utf8(batch.column("text")), batch.column("doc_id").to_pylist()
             for i, j in blocks(texts):
                 rows = []
-                for doc, encoded in zip(ids[i:j], encoder.encode(texts[i:j]), strict=True):
+                for doc, encoded in zip(ids[i:j], encode(texts[i:j]), strict=True):
                     encoded += end
                     for piece, at in enumerate(range(0, len(encoded), 4 * capacity)):
                         part = encoded[at : at + 4 * capacity]

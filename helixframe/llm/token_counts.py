@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, default_vocabulary, table, utf8
-from .encoding import blocks, chunk_encoder
+from .encoding import blocks, encoder
 
 
 def length_histogram(documents: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
@@ -22,11 +22,11 @@ def length_histogram(documents: DataFrame, path: str | None = None, text_col: st
     path = path or default_vocabulary("word_bpe_49k.json")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder = chunk_encoder(path)
+        encode = encoder(path).encode
         for batch in batches:
             texts = utf8(batch.column("text"))
             for i, j in blocks(texts):
-                lengths, docs = np.unique([len(ids) // 4 for ids in encoder.encode(texts[i:j])], return_counts=True)
+                lengths, docs = np.unique([len(ids) // 4 for ids in encode(texts[i:j])], return_counts=True)
                 yield {"n_tokens": lengths, "n": docs}
 
     counted = arrow_map(documents.select(F.col(text_col).cast("string").alias("text")), "n_tokens long, n long", each)
