@@ -81,7 +81,7 @@ class ByteBPE:
     two bounded memories that are emptied when full; that changes speed alone.
     """
 
-    def __init__(self, path: str, pattern: str, remembered: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, pattern: str, remembered: int = 250_000, longest: int = 64):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self._bytes = {rank: token for token, rank in self.ranks.items()}
