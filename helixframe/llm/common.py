@@ -60,12 +60,13 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, parts:
     """At most ``most`` labelled documents outside the held-out fold, as (doc_id, text, label).
 
     The ids are drawn from ``labels`` by a hash of the id, so that the sample is the same at every run and of bounded size.
+    These ``most`` ids are broadcast, so that no text is shuffled but the sample's.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold("doc_id", parts) != held_out))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return id_and_text(documents).where("text IS NOT NULL").join(drawn, "doc_id").select("doc_id", "text", "label")
+    return id_and_text(documents).where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")
 
 
 def default_vocabulary(name: str) -> str:
