@@ -39,7 +39,7 @@ class ToxicField:
     weights: dict[bytes, float] = field(default_factory=dict)
     bias: float = -4.0
     stay: float = 1.0  # weight of a toxic token after a toxic one
-    document: tuple[float, float, float] = (-4.0, 6.0, 1.0)  # constant, any toxic token, log of the expected number
+    document: tuple[float, ...] = (-4.0, 6.0, 1.0, 1.0)  # constant, and the weights of :func:`evidence`
 
     def __post_init__(self) -> None:
         self._known: dict[bytes, float] = {}
@@ -107,8 +107,8 @@ class ToxicField:
     def score(self, text: bytes) -> float:
         """Probability that the document is toxic."""
         any_toxic, expected, _ = self.summary(text)
-        c, a, b = self.document
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, c + a * any_toxic + b * math.log1p(expected)))))
+        z = sum(w * x for w, x in zip(self.document, evidence(any_toxic, expected), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     def spans(self, text: bytes, threshold: float = 0.5) -> list[tuple[int, int, float]]:
         """Byte offsets (begin, end) and greatest marginal of the runs of tokens whose marginal reaches ``threshold``."""
@@ -124,6 +124,11 @@ class ToxicField:
         return out
 
 
+def evidence(any_toxic: float, expected: float) -> tuple[float, ...]:
+    """What the document score weighs: 1, the probability of any toxic token, and how many there are, from one and from two on."""
+    return 1.0, any_toxic, math.log1p(expected), math.log1p(max(0.0, expected - 1))
+
+
 class _Runs:
     """Powers of the matrix of a token without features: clean to clean 1, to toxic e; toxic to clean 1, to toxic stay * e."""
 
@@ -156,45 +161,65 @@ class _Runs:
         return x * (b0 + self.e * b1) + y * b0, x * (b0 + self.stay * self.e * b1) + y * b1
 
 
-def toxic_features(sample: DataFrame, least: int = 4, evidence: float = 16.0, most: int = 2000) -> list[tuple[bytes, float]]:
-    """Features tied to label 1 and their log-odds, from (text, label) rows of bounded number.
+def toxic_features(sample: DataFrame, least: int = 4, ratio: float = 16.0, variety: float = 0.3, most: int = 2000) -> list[bytes]:
+    """Features tied to label 1, from (text, label) rows of bounded number.
 
-    A feature counts once for each pair of neighbouring words, so copies add nothing. It must occur in ``least`` contexts
-    of toxic documents and its likelihood ratio (G squared against the share of contexts) must reach ``evidence``.
+    Exact copies count once. In toxic documents a feature counts once for each pair of neighbouring words, and only if
+    these pairs are at least ``variety`` of its occurrences, so that near copies add nothing. It must occur in ``least``
+    contexts, and the likelihood ratio of its documents (G squared against the share of toxic ones) must reach
+    ``ratio``. Clean documents are then counted for such features alone, summed within each batch before the shuffle.
     """
+    distinct = sample.select("text", "label").groupBy(F.md5(F.col("text").cast("binary")).alias("text_md5")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        import xxhash
+
         for b in batches:
-            for text, label in zip(utf8(b.column("text")), b.column("label").to_pylist(), strict=True):
+            for text in utf8(b.column("text")):
                 tokens = [b"", *_TOKEN.findall(text.lower()), b""]
-                seen = {(f, hash_of(tokens[i - 1], tokens[i + 1])) for i in range(1, len(tokens) - 1) for f in features_of(tokens[i])}
+                seen: dict[tuple[bytes, int], int] = {}
+                for i in range(1, len(tokens) - 1):
+                    context = xxhash.xxh64_intdigest(tokens[i - 1] + b" " + tokens[i + 1]) >> 1
+                    for f in features_of(tokens[i]):
+                        seen[f, context] = seen.get((f, context), 0) + 1
                 if seen:
-                    yield {"feature": [f for f, _ in seen], "context": [c for _, c in seen], "label": [label] * len(seen)}
+                    yield {"feature": [f for f, _ in seen], "context": [c for _, c in seen], "n": list(seen.values())}
 
-    def hash_of(before: bytes, after: bytes) -> int:
-        import xxhash
-
-        return xxhash.xxh64_intdigest(before + b" " + after) >> 1
+    found = arrow_map(distinct.where("label = 1").select("text"), "feature binary, context long, n long", contexts)
+    merged = found.groupBy("feature", "context").agg(F.sum("n").alias("n"))
+    varied = merged.groupBy("feature").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where((F.col("contexts") >= least) & (F.col("contexts") >= variety * F.col("n")))
+    candidates = {bytes(r.feature): r.contexts for r in varied.collect()}  # no more than the bounded sample's words / least
+    if not candidates:
+        return []
 
-    found = arrow_map(sample.select("text", "label"), "feature binary, context long, label int", contexts).distinct()
-    counts = found.groupBy("feature").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-    totals = counts.where(F.substring("feature", 1, 1) == F.lit(b"=")).agg(F.sum("toxic"), F.sum("n")).first()
-    if not totals[0] or totals[0] == totals[1]:
+    def documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            counts: dict[tuple[bytes, int], int] = {}
+            for text, label in zip(utf8(b.column("text")), b.column("label").to_pylist(), strict=True):
+                for f in {f for t in set(_TOKEN.findall(text.lower())) for f in features_of(t) if f in candidates}:
+                    counts[f, label] = counts.get((f, label), 0) + 1
+            yield {"feature": [f for f, _ in counts], "label": [k for _, k in counts], "n": list(counts.values())}
+
+    counted = arrow_map(distinct.select("text", "label"), "feature binary, label int, n long", documents_with)
+    counted = counted.groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum("n").alias("n"))
+    toxic, total = distinct.agg(F.sum("label"), F.count("*")).first()
+    if toxic == total:
         return []
-    share = totals[0] / totals[1]
-    t, n = F.col("toxic"), F.col("n")
-    clean = n - t
-    g = 2 * (t * F.log(t / (n * share)) + F.when(clean > 0, clean * F.log(clean / (n * (1 - share)))).otherwise(0.0))
-    odds = F.log((t + 0.1) / (clean + 0.1)) - math.log(share / (1 - share))
-    kept = counts.where(t >= least).select("feature", g.alias("g"), odds.alias("odds")).where((F.col("g") >= evidence) & (F.col("odds") >= 2.0))
-    return [(bytes(r.feature), r.odds) for r in kept.orderBy(F.desc("g"), "feature").limit(most).collect()]
+    share, kept = toxic / total, []
+    for r in counted.collect():
+        t, n = min(r.toxic, candidates[bytes(r.feature)]), r.n
+        clean = n - r.toxic
+        g = 2 * (t * math.log(t / ((t + clean) * share)) + (clean * math.log(clean / ((t + clean) * (1 - share))) if clean else 0.0))
+        if g >= ratio and (t + 0.1) / (clean + 0.1) > 8 * share / (1 - share):
+            kept.append((-g, bytes(r.feature)))
+    return [f for _, f in sorted(kept)[:most]]
 
 
 def fit(sample: DataFrame, rounds: int = 60, rate: float = 0.5) -> ToxicField:
     """Fit the field and the document score on (doc_id, text, label) rows of bounded number."""
     rows = sample.persist()
     try:
-        lexicon = dict(toxic_features(rows))
+        lexicon = set(toxic_features(rows))
         model = ToxicField(weights={f: 1.0 for f in lexicon})
 
         def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -257,22 +282,22 @@ def _fit_document(model: ToxicField, docs: list, rounds: int = 30) -> None:
     """Logistic regression of the document label on its marginals, by penalised Newton steps."""
     if not docs:
         return
-    x = np.ones((len(docs), 3))
+    x = np.ones((len(docs), 4))
     y = np.array([float(d[0]) for d in docs])
     for k, (_, n, at, features) in enumerate(docs):
         p, any_toxic, _ = model.marginals(n, at, [sum(model.weights[f] for f in fs) for fs in features])
-        x[k, 1:] = any_toxic, math.log1p(float(p.sum()))
-    w, penalty = np.zeros(3), np.diag([1e-3, 1e-1, 1e-1])
+        x[k] = evidence(any_toxic, float(p.sum()))
+    w, penalty = np.zeros(4), np.diag([1e-3, 1e-1, 1e-1, 1e-1])
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + penalty, x.T @ (y - q) - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    model.document = (float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2])))
+    model.document = (float(w[0]), *(max(0.0, float(v)) for v in w[1:]))
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, most: int = 20_000) -> DataFrame:
+def training_rows(documents: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, most: int = 8_000) -> DataFrame:
     """The labelled rows that may be learned from: at most ``most`` of those outside the held-out fold."""
     return labelled_sample(documents, labels, "toxic", parts, held_out, most)
 
