@@ -80,6 +80,8 @@ def read_table(spark: SparkSession, before: DataFrame | None, input, first=None,
             part = F.element_at("parts", F.lit(k + 1) + F.col("width"))
             value = part if kind == "string" else F.coalesce(part.try_cast(kind), F.lit(0).cast(kind)) if mode == "lenient" else part.cast(kind)
             columns.append(value.alias(name))
+        if first or last:  # before the fields are parsed, as other rows needn't be sound
+            rows = rows.orderBy("n" if first else F.desc("n")).limit(first or last)
         rows = rows.withColumn("parts", parts).withColumn("width", width)
         frames.append(rows.select((F.lit(i).cast("long") * FILE_SPAN + F.col("n")).alias(ORD), *columns))
     if not frames:
