@@ -130,7 +130,7 @@ def fit(sample: DataFrame, features: int = 256, width: float = 4.0, ridge: float
         sums = sum(np.frombuffer(r.sums).reshape(2, features + 1, features + 2) for r in arrow_map(described, "sums binary", equations).collect())
 
         def solved(s: np.ndarray) -> np.ndarray:
-            return np.linalg.solve(s[:, :-1] + ridge * np.trace(s[:, :-1]) / len(s) * np.eye(len(s)), s[:, -1])
+            return np.linalg.solve(s[:, :-1] + (ridge * np.trace(s[:, :-1]) / len(s) + 1e-9) * np.eye(len(s)), s[:, -1])
 
         rows = described.collect()  # of the bounded sample
         x, y, h = np.array([r.x for r in rows]), np.array([r.label for r in rows], float), np.array([r.half for r in rows])
