@@ -99,15 +99,18 @@ class ToxicField:
         return np.array(out), any_toxic, total
 
     def summary(self, text: bytes) -> tuple[float, float, list[tuple[int, float]]]:
-        """Probability of any toxic token, expected number of featured toxic tokens, and (token, marginal) pairs."""
+        """Greatest marginal and expected number of featured toxic tokens, and (token, marginal) pairs.
+
+        Tokens without a feature are no evidence, so that a text isn't suspect for being long.
+        """
         n, at, potentials = self.featured(text)
-        p, any_toxic, _ = self.marginals(n, at, potentials)
-        return any_toxic, float(p.sum()), list(zip(at, p.tolist(), strict=True))
+        p, _, _ = self.marginals(n, at, potentials)
+        return float(p.max(initial=0.0)), float(p.sum()), list(zip(at, p.tolist(), strict=True))
 
     def score(self, text: bytes) -> float:
         """Probability that the document is toxic."""
-        any_toxic, expected, _ = self.summary(text)
-        z = sum(w * x for w, x in zip(self.document, evidence(any_toxic, expected), strict=True))
+        greatest, expected, _ = self.summary(text)
+        z = sum(w * x for w, x in zip(self.document, evidence(greatest, expected), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     def spans(self, text: bytes, threshold: float = 0.5) -> list[tuple[int, int, float]]:
@@ -124,9 +127,9 @@ class ToxicField:
         return out
 
 
-def evidence(any_toxic: float, expected: float) -> tuple[float, ...]:
-    """What the document score weighs: 1, the probability of any toxic token, and how many there are, from one and from two on."""
-    return 1.0, any_toxic, math.log1p(expected), math.log1p(max(0.0, expected - 1))
+def evidence(greatest: float, expected: float) -> tuple[float, ...]:
+    """What the document score weighs: 1, the greatest marginal, and how many toxic tokens there are, from one and from two on."""
+    return 1.0, greatest, math.log1p(expected), math.log1p(max(0.0, expected - 1))
 
 
 class _Runs:
@@ -285,8 +288,8 @@ def _fit_document(model: ToxicField, docs: list, rounds: int = 30) -> None:
     x = np.ones((len(docs), 4))
     y = np.array([float(d[0]) for d in docs])
     for k, (_, n, at, features) in enumerate(docs):
-        p, any_toxic, _ = model.marginals(n, at, [sum(model.weights[f] for f in fs) for fs in features])
-        x[k] = evidence(any_toxic, float(p.sum()))
+        p, _, _ = model.marginals(n, at, [sum(model.weights[f] for f in fs) for fs in features])
+        x[k] = evidence(float(p.max(initial=0.0)), float(p.sum()))
     w, penalty = np.zeros(4), np.diag([1e-3, 1e-1, 1e-1, 1e-1])
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
