@@ -42,8 +42,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     groups = simhash.near_duplicates(nameless.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"))
     named = found.where("doc_id IS NOT NULL").select("fp").distinct()
     alone = found.where("component_id IS NULL").select("fp").distinct()
-    least = groups.join(alone, "fp", "left_semi").join(named, "fp", "left_anti").where("doc_id = component_id").select(F.col("doc_id").alias("text_hash")).distinct()
-    rest = nameless.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(least, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    least = groups.join(alone, "fp", "left_semi").join(named, "fp", "left_anti").where("doc_id = component_id").select(F.col("doc_id").alias("__text_hash")).distinct()
+    rest = nameless.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(least, "__text_hash", "left_semi").dropDuplicates(["__text_hash"])
     return kept.select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
