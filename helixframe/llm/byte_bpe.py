@@ -29,43 +29,41 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     n = len(piece)
     following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    width = 1 << (n - 1).bit_length()
-    tree = [NEVER] * (2 * width)
     get = ranks.get
-    for i in range(n - 1):
-        tree[width + i] = get(piece[i : i + 2], NEVER)
+    width = 1 << (n - 2).bit_length()  # a leaf for each pair
+    tree = [NEVER] * width + [get(piece[i : i + 2], NEVER) for i in range(n - 1)] + [NEVER] * (width - n + 1)
     for k in range(width - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a <= b else b
-
-    def put(i: int, rank: int) -> None:
-        k = width + i
-        tree[k] = rank
-        while k > 1:
-            k >>= 1
-            a, b = tree[2 * k], tree[2 * k + 1]
-            least = a if a <= b else b
-            if tree[k] == least:
-                return
-            tree[k] = least
-
     while (least := tree[1]) != NEVER:
         k = 1
         while k < width:
-            k = 2 * k if tree[2 * k] == least else 2 * k + 1
+            k += k
+            if tree[k] != least:
+                k += 1
         left = k - width
         right = following[left]
         after = following[right]
         following[left] = after
-        put(right, NEVER)
+        changed = [(k, NEVER if after == n else get(piece[left : following[after]], NEVER))]
         if after < n:
             before[after] = left
-            put(left, get(piece[left : following[after]], NEVER))
-        else:
-            put(left, NEVER)
+            changed.append((width + right, NEVER))
+        elif right < n - 1:
+            changed.append((width + right, NEVER))
         if left:
             p = before[left]
-            put(p, get(piece[p:after], NEVER))
+            changed.append((width + p, get(piece[p:after], NEVER)))
+        for k, rank in changed:  # point updates, each up to where the least below stays the same
+            tree[k] = rank
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < rank:
+                    rank = other
+                k >>= 1
+                if tree[k] == rank:
+                    break
+                tree[k] = rank
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : following[i]]])
@@ -81,73 +79,86 @@ class ByteBPE:
     two bounded memories that are emptied when full; that changes speed alone.
     """
 
-    def __init__(self, path: str, pattern: str, remembered: int = 250_000, longest: int = 64):
+    def __init__(self, path: str, pattern: str, remembered: int = 800_000, longest: int = 32):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self._bytes = {rank: token for token, rank in self.ranks.items()}
         self._matches = regex.compile(pattern).findall
         self._remembered, self._longest = remembered, longest
-        self._pieces: dict[str, list[int]] = {}
-        self._parts: dict[str, tuple[int, str, bytes] | None] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        known, out = self._pieces, []
-        for match in self._matches(text):
-            ids = known.get(match)
-            if ids is None:
-                ids = merge(match.encode("utf-8"), self.ranks)
-                if len(match) <= self._longest:
-                    known[match] = ids
-            out += ids
-        return out
+        self._pieces: dict[str, tuple[str, bytes]] = {}
+        self._parts: dict[str, tuple[str, bytes]] = {}
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
-        return [int(i) for i in " ".join([ids for _, ids, _ in self._coded(text)]).split()]
+        return [int(i) for i in " ".join([ids for ids, _ in self._coded(text)]).split()]
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids."""
         return b"".join([self._bytes[i] for i in ids])
 
-    def _learn(self, part: str) -> tuple[int, str, bytes]:
-        ids = self._ids(part)
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
-
-    def _coded(self, text: str) -> list[tuple[int, str, bytes]]:
-        """For the parts of a text in a row: the number of ids, the ids as text, and what they decode to."""
+    def _learn(self, part: str) -> tuple[str, bytes]:
+        """A part's ids as text, and what they decode to."""
+        known, out = self._pieces, []
+        for match in self._matches(part):
+            coded = known.get(match)
+            if coded is None:
+                ids = merge(match.encode("utf-8"), self.ranks)
+                coded = " ".join(map(str, ids)), self.decode(ids)
+                if len(match) <= self._longest:
+                    known[match] = coded
+            out.append(coded)
+        if len(out) == 1:
+            return out[0]
+        return " ".join([ids for ids, _ in out]), b"".join([decoded for _, decoded in out])
+
+    def _coded(self, text: str) -> list[tuple[str, bytes]]:
+        """For the parts of a text in a row: the ids as text, and what they decode to."""
         if len(self._pieces) > self._remembered:
             self._pieces.clear()
-        if len(self._parts) > self._remembered:
+        if 2 * len(self._parts) > self._remembered:
             self._parts.clear()
+        if not text:
+            return []
         words = text.split(" ")
-        known, out, held = self._parts, [], None  # held: the text of words that can't be taken apart, so far
-        for i, word in enumerate(words):
-            apart = bool(word) and not word[0].isspace() and (not i or bool(words[i - 1]) and not words[i - 1][-1].isspace())
-            if apart:
-                if held is not None:
-                    out.append(self._learn(held))
-                    held = None
-                key = " " + word if i else word
-                if i + 1 < len(words) and (word[-1].isspace() or not words[i + 1] or words[i + 1][0].isspace()):
-                    held = key
-                    continue
-                coded = known.get(key)
+        known = self._parts
+        out = list(map(known.get, words))
+        out[0] = self._learn(words[0]) if whole(words[0]) else None
+        if None in out:
+            for i, coded in enumerate(out):
                 if coded is None:
-                    coded = self._learn(key)
-                    if len(key) <= self._longest:
-                        known[key] = coded
-                out.append(coded)
+                    word = words[i]
+                    if not whole(word):
+                        return self._joined(words)
+                    if not (coded := known.get(word)):  # learned just now
+                        coded = self._learn(" " + word)
+                        if len(word) <= self._longest:
+                            known[word] = coded
+                    out[i] = coded
+        return out
+
+    def _joined(self, words: list[str]) -> list[tuple[str, bytes]]:
+        """The same where some words begin or end with white space: these stay in one part with their neighbours."""
+        parts = [words[0]]
+        for before, word in zip(words, words[1:], strict=False):
+            safe = before and word and not before[-1].isspace() and not word[0].isspace()
+            if safe:
+                parts.append(" " + word)
             else:
-                held = word if held is None and not i else (held or "") + " " + word
-        if held is not None:
-            out.append(self._learn(held))
-        return [c for c in out if c[0]]
+                parts[-1] += " " + word
+        return [self._learn(p) for p in parts if p]
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as decimal text, SHA-256 of the bytes they decode to."""
         coded = self._coded(text)
-        n, ids, decoded = zip(*coded, strict=True) if coded else ((), (), ())
-        return sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
+        ids, decoded = zip(*coded, strict=True) if coded else ((), ())
+        listed = " ".join(ids)
+        n = listed.count(" ") + 1 if listed else 0
+        return n, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
+
+
+def whole(word: str) -> bool:
+    """Whether a word is there and neither begins nor ends with white space."""
+    return bool(word) and not word[0].isspace() and not word[-1].isspace()
 
 
 @lru_cache(maxsize=2)
