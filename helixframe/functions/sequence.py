@@ -1,9 +1,11 @@
-"""Column functions on sequences and score strings. All of them are SQL expressions."""
+"""Column functions on sequences and score strings: SQL expressions, but for k-mers, which are Arrow-batched numpy."""
 
 from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from ..schema import BASE_33, GAPS, SCORE_MAX
 from . import alphabet as A
 
 
+_TWO_BITS = np.full(256, -1, np.int64)
+for _residues, _code in (("Aa", 0), ("TtUu", 1), ("Cc", 2), ("Gg", 3)):
+    _TWO_BITS[[ord(c) for c in _residues]] = _code
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -208,14 +215,39 @@ def kmers(seq: Column | str, size: int = 8, step: int = 1, scores: Column | str
     K-mers with other residues are left out, and with ``scores`` those that hold a score below ``score_min``. ``step``
     counts by where k-mers end, from the first residue.
     """
-    q = F.upper(_c(seq))
-    if scores is not None:
-        q = F.array_join(F.zip_with(letters(q), letters(scores), lambda s, c: F.when(F.ascii(c) - BASE_33 < score_min, "N").otherwise(s)), "")
-    codes = F.transform(letters(q), lambda c: F.when(c == "A", 0).when(c.isin("T", "U"), 1).when(c == "C", 2).when(c == "G", 3).cast("long"))
-    at = lambda codes, e: F.aggregate(F.slice(codes, e - size + 1, size), F.lit(0).cast("long"), lambda a, b: a * 4 + b)  # noqa: E731  null for other residues
-    ends = lambda codes: F.filter(F.sequence(F.lit(size), F.size(codes)), lambda e: (e - 1) % step == 0)
-    coded = let(codes, lambda codes: F.filter(F.transform(ends(codes), lambda e: at(codes, e)), lambda k: k.isNotNull()))
-    return F.when(F.length(q) >= size, F.array_sort(F.array_distinct(coded))).when(q.isNotNull(), F.array().cast("array<bigint>"))
+    if not 0 < size <= 31:
+        raise ValueError(f"bad k-mer size: {size}")
+
+    def of(text: str | None, quality: str | None) -> np.ndarray | None:
+        if text is None:
+            return None
+        codes = _TWO_BITS[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+        if quality is not None:
+            low = np.frombuffer(quality.encode("latin-1", "replace"), np.uint8)[: len(codes)] < BASE_33 + score_min
+            codes = np.where(np.pad(low, (0, len(codes) - len(low))), -1, codes)
+        n = len(codes) - size + 1
+        if n < 1:
+            return np.empty(0, np.int64)
+        value = np.zeros(n, np.int64)
+        for i in range(size):
+            value = value * 4 + np.maximum(codes[i : i + n], 0)
+        bad = np.concatenate(([0], np.cumsum(codes < 0)))
+        whole = (bad[size:] == bad[:-size]) & ((np.arange(n) + size - 1) % step == 0)
+        return np.unique(value[whole])
+
+    if scores is None:
+
+        @F.pandas_udf("array<bigint>")
+        def found(texts: pd.Series) -> pd.Series:
+            return pd.Series([of(t, None) for t in texts], dtype=object)
+
+        return found(_c(seq))
+
+    @F.pandas_udf("array<bigint>")
+    def scored(texts: pd.Series, qualities: pd.Series) -> pd.Series:
+        return pd.Series([of(t, q) for t, q in zip(texts, qualities, strict=True)], dtype=object)
+
+    return scored(_c(seq), _c(scores))
 
 
 def kmer_oligo(kmer: Column | str, size: int) -> Column:

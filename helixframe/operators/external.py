@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import options as O
 from ..functions import search, sequence as S
 from ..pipeline import command
-from ..schema import checkpointed, has, mixed
+from ..schema import checkpointed, has, mixed, sequence_records
 from . import taxonomy as taxonomy_module
 from .aggregate import n50
 
@@ -55,7 +55,7 @@ def through_tool(df: DataFrame, argv: list[str], schema: str, parse) -> DataFram
 def _check_tool(*needed: str):
     def check(o: dict) -> None:
         O.required(o, *needed)
-        O.files_exist(o, *needed)
+        O.files_exist(o, *[n for n in needed if not isinstance(o[n], DataFrame)])
         O.check(o, "cpus >= 1", "confidence >= 0", "confidence <= 100", "kmer_min > 0", "kmer_max > 0", "contig_min > 0")
         if o.get("tool", "native") != "native":
             find_tool(o["tool"])
@@ -143,9 +143,7 @@ def align_seq_mothur(df: DataFrame, template_file=None, cpus: int = 1, kmer_size
         parse = lambda folder, target: _fasta_frame(folder, os.path.join(folder, "in.align"))
         found = through_tool(df, argv, "SEQ_NAME string, SEQ string", parse)
         return mixed(df.where("SEQ IS NULL OR SEQ_NAME IS NULL"), found.withColumn("SEQ_LEN", F.length("SEQ").cast("long")))
-    from ..sources.fasta import read_fasta
-
-    templates = read_fasta(df.sparkSession, None, input=template_file).select(F.col("SEQ_NAME").alias("t_name"), F.col("SEQ").alias("t"))
+    templates = sequence_records(df, template_file).select(F.col("SEQ_NAME").alias("t_name"), F.col("SEQ").alias("t"))
     keys = templates.select("t_name", F.explode(S.kmers(S.indels_remove("t"), kmer_size)).alias("kmer"))
     seqs = df.where("SEQ IS NOT NULL").select(F.col("SEQ").alias("q")).distinct()
     shared = seqs.select("q", F.explode(S.kmers("q", kmer_size)).alias("kmer")).join(keys, "kmer").groupBy("q", "t_name").agg(F.count("*").alias("n"))
@@ -164,7 +162,8 @@ def align_seq_mothur(df: DataFrame, template_file=None, cpus: int = 1, kmer_size
 def classify_seq_mothur(df: DataFrame, database=None, taxonomy=None, confidence: int = 80, cpus: int = 1, kmer_size: int = 8, bootstraps: int = 100, tool: str = "native") -> DataFrame:
     """TAXONOMY of each sequence by naive Bayes over k-mers, to the levels of enough confidence.
 
-    ``taxonomy`` is a file of ``name <tab> level;level;...`` for the sequences of ``database``.
+    ``taxonomy`` is a file of ``name <tab> level;level;...`` for the sequences of ``database``, or a DataFrame of SEQ_NAME and
+    taxon; ``database`` may be a DataFrame too.
     """
     from .project import filter_taxonomy
 
@@ -179,10 +178,11 @@ def classify_seq_mothur(df: DataFrame, database=None, taxonomy=None, confidence:
 
         found = through_tool(df, argv, "SEQ_NAME string, TAXONOMY string", parse).withColumnRenamed("SEQ_NAME", "__n")
         return filter_taxonomy(df.drop("TAXONOMY").join(found, F.col("SEQ_NAME") == F.col("__n"), "left").drop("__n"), confidence=confidence)
-    from ..sources.fasta import read_fasta
-
-    names = df.sparkSession.read.text(taxonomy).select(F.substring_index("value", "\t", 1).alias("SEQ_NAME"), F.regexp_replace(F.substring_index("value", "\t", -1), ";$", "").alias("taxon"))
-    refs = read_fasta(df.sparkSession, None, input=database).join(names, "SEQ_NAME").select("taxon", F.col("SEQ").alias("seq"))
+    if isinstance(taxonomy, DataFrame):
+        names = taxonomy.select("SEQ_NAME", "taxon")
+    else:
+        names = df.sparkSession.read.text(taxonomy).select(F.substring_index("value", "\t", 1).alias("SEQ_NAME"), F.regexp_replace(F.substring_index("value", "\t", -1), ";$", "").alias("taxon"))
+    refs = sequence_records(df, database).select("SEQ_NAME", "SEQ").join(names, "SEQ_NAME").select("taxon", F.col("SEQ").alias("seq"))
     asked = df.where("SEQ IS NOT NULL").select(F.col("SEQ").alias("seq"))
     found = taxonomy_module.wang_classifier(asked, refs, kmer_size, bootstraps)
     labelled = found.select(F.col("seq").alias("__s"), F.array_join(F.transform(F.split("taxon", ";"), lambda x: F.concat(x, F.lit("("), F.col("confidence").cast("string"), F.lit(")"))), ";").alias("TAXONOMY"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import options as O
 from ..functions import sequence as S
 from ..pipeline import command
-from ..schema import ORD, has, order_columns, with_ordinal
+from ..schema import ORD, order_columns, sequence_records, with_ordinal
 
 _MODES = ("select", "select_file", "reject", "reject_file", "evaluate")
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
@@ -144,20 +144,11 @@ def random(df: DataFrame, number: int, pairs: bool = False, seed: int = 42, orde
     return numbered.join(drawn, "__pair", "left_semi").select(*df.columns).orderBy(*names)
 
 
-def _kmers_of(df: DataFrame, id_col: str, size: int) -> DataFrame:
-    return df.where("SEQ IS NOT NULL").select(F.col(id_col).alias("__id"), F.explode(S.kmers("SEQ", size)).alias("kmer"))
-
-
-def _sequence_file(df: DataFrame, path) -> DataFrame:
-    from ..sources.fasta import read_fasta
-
-    return read_fasta(df.sparkSession, None, input=path)
-
-
 def _check_reference(name: str):
     def check(o: dict) -> None:
         O.required(o, name)
-        O.files_exist(o, name)
+        if not isinstance(o[name], DataFrame):
+            O.files_exist(o, name)
 
     return check
 
@@ -170,12 +161,12 @@ def filter_rrna(df: DataFrame, ref_fasta, ref_index=None, kmer_size: int = 12, s
     """
     if "SEQ" not in df.columns:
         return df
-    refs = _sequence_file(df, ref_fasta).select("SEQ")
+    refs = sequence_records(df, ref_fasta).select("SEQ")
     both = refs.union(refs.select(S.reverse_complement("SEQ")))
     known = both.select(F.explode(S.kmers("SEQ", kmer_size)).alias("kmer")).distinct()
     keyed = df.withColumn("__id", F.xxhash64("SEQ"))
     seqs = keyed.where("SEQ IS NOT NULL").select("__id", "SEQ").dropDuplicates(["__id", "SEQ"])
-    kmers = seqs.select("__id", F.size(S.kmers("SEQ", kmer_size)).alias("n"), F.explode(S.kmers("SEQ", kmer_size)).alias("kmer"))
+    kmers = seqs.select("__id", S.kmers("SEQ", kmer_size).alias("all")).select("__id", F.size("all").alias("n"), F.explode("all").alias("kmer"))
     hits = kmers.join(known, "kmer", "left_semi").groupBy("__id", "n").agg(F.count("*").alias("common")).where(F.col("common") >= shared * F.col("n"))
     return keyed.join(hits.select("__id").distinct(), "__id", "left_anti").select(*df.columns)
 
@@ -189,7 +180,7 @@ def uchime_ref(df: DataFrame, database, cpus: int = 1, kmer_size: int = 8, margi
     """
     if "SEQ" not in df.columns:
         return df
-    refs = _sequence_file(df, database).select(F.xxhash64("SEQ_NAME", "SEQ").alias("ref"), F.explode(S.kmers("SEQ", kmer_size)).alias("kmer"))
+    refs = sequence_records(df, database).select(F.xxhash64("SEQ_NAME", "SEQ").alias("ref"), F.explode(S.kmers("SEQ", kmer_size)).alias("kmer"))
     keyed = df.withColumn("__id", F.xxhash64("SEQ"))
     half = F.floor(F.length("SEQ") / 2).cast("int")
     halves = F.explode(F.array(F.struct(F.lit(0).alias("half"), F.substring(F.col("SEQ"), F.lit(1), half).alias("part")), F.struct(F.lit(1).alias("half"), F.substring(F.col("SEQ"), half + 1, F.length("SEQ")).alias("part"))))

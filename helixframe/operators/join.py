@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import options as O
 from ..functions import sequence as S
 from ..pipeline import command
-from ..schema import DataError, mixed
+from ..schema import DataError, mixed, sequence_records
 
 
 def _check_merge_table(o: dict) -> None:
@@ -55,7 +55,7 @@ def similar(queries: DataFrame, targets: DataFrame, identity: float, size: int =
         turned = turned.union(queries.select("q_id", S.reverse_complement("q"), F.lit("-")))
     turned = turned.withColumn("q", F.upper("q"))
     targets = targets.withColumn("s", F.upper("s"))
-    left = turned.select("q_id", "strand", F.size(S.kmers("q", size)).alias("n"), F.explode(S.kmers("q", size)).alias("kmer"))
+    left = turned.select("q_id", "strand", S.kmers("q", size).alias("all")).select("q_id", "strand", F.size("all").alias("n"), F.explode("all").alias("kmer"))
     right = targets.select("s_id", F.explode(S.kmers("s", size)).alias("kmer"))
     shared = left.join(right, "kmer").groupBy("q_id", "strand", "s_id", "n").agg(F.count("*").alias("common"))
     # edits allowed by the identity, each of which can cost `size` k-mers
@@ -73,18 +73,17 @@ def similar(queries: DataFrame, targets: DataFrame, identity: float, size: int =
 
 def _check_search(o: dict) -> None:
     O.required(o, "database", "identity")
-    O.files_exist(o, "database")
+    if not isinstance(o["database"], DataFrame):
+        O.files_exist(o, "database")
     O.allowed_values(o, strand=("plus", "both"))
     O.check(o, "identity > 0.0", "identity <= 1.0", "cpus >= 1")
 
 
 def _search(df: DataFrame, database, identity: float, strand: str, local: bool, kmer_size: int) -> DataFrame:
-    from ..sources.fasta import read_fasta
-
     if not {"SEQ", "SEQ_NAME"} <= set(df.columns):
         return df
     queries = df.where("SEQ IS NOT NULL AND SEQ_NAME IS NOT NULL").select(F.col("SEQ_NAME").alias("q_id"), F.col("SEQ").alias("q")).distinct()
-    targets = read_fasta(df.sparkSession, None, input=database).select(F.col("SEQ_NAME").alias("s_id"), F.col("SEQ").alias("s"))
+    targets = sequence_records(df, database).select(F.col("SEQ_NAME").alias("s_id"), F.col("SEQ").alias("s"))
     found = similar(queries, targets, identity, kmer_size, strand, local)
     best = Window.partitionBy("q_id").orderBy(F.desc("ident"), "s_id", "strand")
     hits = found.withColumn("n", F.row_number().over(best)).where("n = 1")

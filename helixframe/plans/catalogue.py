@@ -500,8 +500,82 @@ def maximal_exact_matches(spark, sf_dir):
 
 @_query()
 def uclust(spark, sf_dir):
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias(ORD), F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _AS_DNA).alias("SEQ"))
-    return _named(Pipeline().uclust(identity=0.9).run(items))
+    return _named(Pipeline().uclust(identity=0.9).run(_items(spark, sf_dir)))
+
+
+def _items(spark, sf_dir):
+    """The benchmark passages as sequences."""
+    seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _AS_DNA)
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias(ORD), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("SEQ_NAME"), seq.alias("SEQ"))
+
+
+def _mutated(spark, sf_dir):
+    """The same with a residue near the end replaced."""
+    changed = F.concat(F.expr("substring(SEQ, 1, length(SEQ) - 3)"), F.lit("n"), F.expr("right(SEQ, 2)"))
+    return _items(spark, sf_dir).where(F.length("SEQ") >= 10).withColumn("SEQ", changed).withColumn("SEQ_NAME", F.concat(F.lit("M"), "SEQ_NAME"))
+
+
+@_query()
+def usearch_global(spark, sf_dir):
+    out = Pipeline().usearch_global(database=_items(spark, sf_dir), identity=0.9).run(_mutated(spark, sf_dir))
+    return out.where("RECORD_TYPE = 'usearch'").select("Q_ID", "S_ID", "IDENT", "STRAND", "SEQ_LEN")
+
+
+@_query()
+def usearch_local(spark, sf_dir):
+    part = _items(spark, sf_dir).where(F.length("SEQ") >= 40).withColumn("SEQ", F.expr("substring(SEQ, 11, length(SEQ) - 20)"))
+    out = Pipeline().usearch_local(database=_items(spark, sf_dir), identity=0.9, strand="both").run(part)
+    return out.where("RECORD_TYPE = 'usearch'").select("Q_ID", "S_ID", "IDENT", "STRAND", "SEQ_LEN")
+
+
+@_query()
+def cluster_otus(spark, sf_dir):
+    both = _items(spark, sf_dir).unionByName(_mutated(spark, sf_dir))
+    return _named(Pipeline().dereplicate_seq().cluster_otus(identity=0.95).run(both))
+
+
+@_query()
+def filter_rrna(spark, sf_dir):
+    """The documents that share few k-mers with the benchmark passages."""
+    return Pipeline().filter_rrna(ref_fasta=_items(spark, sf_dir), shared=0.2).run(sequences(spark, sf_dir)).select("SEQ_NAME", "SEQ_LEN")
+
+
+@_query()
+def uchime_ref(spark, sf_dir):
+    return Pipeline().uchime_ref(database=_items(spark, sf_dir)).run(_mutated(spark, sf_dir)).select("SEQ_NAME")
+
+
+@_query()
+def align_seq_mothur(spark, sf_dir):
+    return Pipeline().align_seq_mothur(template_file=_items(spark, sf_dir)).run(_mutated(spark, sf_dir)).select("SEQ_NAME", "SEQ", "SEQ_LEN")
+
+
+@_query()
+def classify_seq_mothur(spark, sf_dir):
+    taxa = _taxa(spark, sf_dir).select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("SEQ_NAME"), "SEQ", F.regexp_replace("SEQ_NAME", "[KPC]#|;[OFG]#;?|;?S#", "").alias("taxon"))
+    found = Pipeline().classify_seq_mothur(database=taxa, taxonomy=taxa, bootstraps=10, confidence=50).run(taxa.select("SEQ_NAME", "SEQ"))
+    return found.select("SEQ_NAME", "TAXONOMY")
+
+
+@_query()
+def assemble_seq(spark, sf_dir):
+    """The benchmark passages from overlapping reads."""
+    reads = _items(spark, sf_dir).select("SEQ_NAME", F.explode(S.naive_kmers("SEQ", 60, 10)).alias("SEQ"))
+    return Pipeline().assemble_seq_spades(kmers="31", contig_min=60).run(reads)
+
+
+@_query("SELECT event_id, user_id, CASE WHEN event_type = 'click' THEN 'forward' ELSE 'reverse' END AS dir FROM events WHERE event_type IN ('click', 'view')")
+def match_vectors(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
+    strand = F.when(F.col("event_type") == "click", "+").otherwise("-")
+    rows = events.select(F.col("event_id").alias("Q_BEG"), F.col("event_id").alias("Q_END"), F.col("user_id").alias("S_BEG"), F.col("user_id").alias("S_END"), strand.alias("STRAND"))
+    return plots.match_vectors(rows).select(F.col("x0").alias("event_id"), F.col("y0").alias("user_id"), "dir")
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size >= 25 THEN p_brand || '(100);' || p_type || '(' || p_size || ')' ELSE p_brand || '(100)' END AS \"TAXONOMY\" FROM part")
+def filter_taxonomy(spark, sf_dir):
+    name = F.concat("p_brand", F.lit("(100);"), "p_type", F.lit("("), F.col("p_size").cast("string"), F.lit(")"))
+    return Pipeline().filter_taxonomy(confidence=25).run(_table(spark, sf_dir, "part").select("p_partkey", name.alias("TAXONOMY")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

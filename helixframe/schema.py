@@ -72,3 +72,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-checkpoint-"))
     return df.checkpoint()
+
+
+def sequence_records(df: DataFrame, source) -> DataFrame:
+    """Records of a FASTA file, or a DataFrame with SEQ_NAME and SEQ as it is."""
+    if isinstance(source, DataFrame):
+        return source
+    from .sources.fasta import read_fasta
+
+    return read_fasta(df.sparkSession, None, input=source)
