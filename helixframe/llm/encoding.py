@@ -33,7 +33,7 @@ _MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 class Encoder:
     """Encodes blocks of texts; what it remembers is bounded and emptied when full, which changes speed alone."""
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,10 +48,13 @@ class Encoder:
         self._start, self._count, self._ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def _library(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of each)."""
-        found = [e.ids for e in self._tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())), counts
+        """(ids of all texts in a row, number of each); the library's results are held for some texts at a time."""
+        ids, counts = [np.empty(0, np.uint32)], []
+        for k in range(0, len(texts), 2048):
+            found = [e.ids for e in self._tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts[k : k + 2048]], add_special_tokens=False)]
+            counts += map(len, found)
+            ids.append(np.fromiter((i for each in found for i in each), np.uint32))
+        return np.concatenate(ids), np.array(counts, np.int64)
 
     def _pieces(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Lower-cased bytes, and begin, length and kind (True: for the library) of each piece of text between white space."""
@@ -157,7 +160,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def blocks(texts: list[bytes], most: int = 2_000_000):
+def blocks(texts: list[bytes], most: int = 1_000_000):
     """Index ranges of ``texts`` of about ``most`` bytes, so that the parts of a batch held at once stay small."""
     start = held = 0
     for i, t in enumerate(texts):
