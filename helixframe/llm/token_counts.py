@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, default_vocabulary, table, utf8
+from .common import arrow_map, default_vocabulary, frozen, table, utf8
 from .encoding import blocks, encoder
 
 
@@ -54,6 +54,7 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     are cut at this limit), docs_over (documents longer than it), quantile (share of documents up to it).
     Between two lengths every answer is linear in the limit, so these rows answer all limits; see :func:`answers`.
     """
+    histogram = frozen(histogram)  # a row for each length; else the texts are encoded again for each sum
     totals = histogram.agg(F.sum("n_docs"), F.sum(F.col("n_docs") * F.col("n_tokens"))).first()
     docs, tokens = totals[0] or 0, totals[1] or 0
     kept = F.lit(tokens) - F.col("tokens_from") + F.col("n_tokens") * F.col("docs_from")
