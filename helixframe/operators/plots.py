@@ -15,9 +15,6 @@ from ..pipeline import command
 from ..schema import ORD, has
 from .aggregate import residue_counts
 
-#: Positions of score strings that are looked at.
-LONGEST_SCORES = 100_000
-
 
 def histogram(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
     """(key, n): how many records, or the sum of another key, for each value; whole numbers from 0 on without gaps."""
@@ -42,7 +39,7 @@ def residue_distribution(df: DataFrame) -> DataFrame:
 
 def score_profile(df: DataFrame) -> DataFrame:
     """(pos, mean, n, depth): mean score at each place, how many strings reach it, and that scaled to 40."""
-    rows = df.where("SCORES IS NOT NULL").select(F.posexplode(S.score_values(F.substring("SCORES", 1, LONGEST_SCORES))).alias("pos", "q"))
+    rows = df.where("SCORES IS NOT NULL").select(F.posexplode(S.score_values("SCORES")).alias("pos", "q"))
     means = rows.groupBy("pos").agg(F.avg("q").alias("mean"), F.count("*").alias("n"))
     most = df.where("length(SCORES) > 0").count()
     return means.withColumn("depth", 40 * F.col("n") / F.lit(max(1, most)))

@@ -54,3 +54,13 @@ def test_maximal_matches_are_real_and_cannot_be_extended(spark):
         q, s = items[m.q_id], docs[m.s_id]
         assert q[m.q_beg : m.q_beg + m.hit_len] == s[m.s_beg : m.s_beg + m.hit_len]
         assert not m.q_beg or not m.s_beg or q[m.q_beg - 1] != s[m.s_beg - 1]
+
+
+def test_score_positions_of_long_texts(spark, tmp_path):
+    docs = [(1, "ab, " * 50_402), (2, "z" * 100_001), (3, "xy"), (4, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["mean_score_by_pos"](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(catalogue.oracle_sql()["mean_score_by_pos"]).df()
+    assert len(want) == 100_804 and rows(got, ["mean", "n", "pos"]) == rows(want, ["mean", "n", "pos"])
