@@ -164,13 +164,41 @@ class _Runs:
         return x * (b0 + self.e * b1) + y * b0, x * (b0 + self.stay * self.e * b1) + y * b1
 
 
-def toxic_features(sample: DataFrame, least: int = 4, ratio: float = 16.0, variety: float = 0.3, most: int = 2000) -> list[bytes]:
+def _sketch(text: bytes, size: int = 64) -> bytes:
+    """The least hashes, under ``size`` hash functions, of the pairs of words that follow each other."""
+    import xxhash
+
+    tokens = _TOKEN.findall(text.lower())
+    pairs = {xxhash.xxh64_intdigest(x + b" " + y) for x, y in zip(tokens, tokens[1:], strict=False)} or {xxhash.xxh64_intdigest(b" ".join(tokens))}
+    hashes, rng = np.fromiter(pairs, np.uint64, len(pairs)), np.random.default_rng(size)
+    factors = rng.integers(0, 1 << 63, size, np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.array([(hashes * f).min() >> np.uint64(32) for f in factors], np.uint32).tobytes()
+
+
+def copy_groups(sketches: list[bytes], alike: float = 0.4) -> list[int]:
+    """A group for each sketch: that of the first one which begins a group and shares at least ``alike`` of its hashes."""
+    if not sketches:
+        return []
+    rows = np.frombuffer(b"".join(sketches), np.uint32).reshape(len(sketches), -1)
+    heads, m, groups = np.empty_like(rows), 0, []
+    for row in rows:
+        near = np.flatnonzero((heads[:m] == row).mean(axis=1) >= alike) if m else ()
+        if not len(near):
+            heads[m] = row
+            m += 1
+        groups.append(int(near[0]) if len(near) else m - 1)
+    return groups
+
+
+def toxic_features(sample: DataFrame, least: int = 4, ratio: float = 16.0, most: int = 2000) -> list[bytes]:
     """Features tied to label 1, from (text, label) rows of bounded number.
 
-    Exact copies count once. In toxic documents a feature counts once for each pair of neighbouring words, and only if
-    these pairs are at least ``variety`` of its occurrences, so that near copies add nothing. It must occur in ``least``
-    contexts, and the likelihood ratio of its documents (G squared against the share of toxic ones) must reach
-    ``ratio``. Clean documents are then counted for such features alone, summed within each batch before the shuffle.
+    Exact copies count once, and near copies of one label (see :func:`copy_groups`) are a group that counts as one document.
+    In toxic documents a feature counts once for each pair of neighbouring words, and no more often than there are groups
+    with it, so that near copies add nothing and take nothing from the evidence of other documents. It must occur in
+    ``least`` contexts, and the likelihood ratio of its groups (G squared against the share of toxic ones) must reach
+    ``ratio``. Groups are then counted for such features alone, documents without copies summed within each batch before
+    the shuffle.
     """
     distinct = sample.select("text", "label").groupBy(F.md5(F.col("text").cast("binary")).alias("text_md5")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
 
@@ -180,34 +208,47 @@ def toxic_features(sample: DataFrame, least: int = 4, ratio: float = 16.0, varie
         for b in batches:
             for text in utf8(b.column("text")):
                 tokens = [b"", *_TOKEN.findall(text.lower()), b""]
-                seen: dict[tuple[bytes, int], int] = {}
+                seen: set[tuple[bytes, int]] = set()
                 for i in range(1, len(tokens) - 1):
                     context = xxhash.xxh64_intdigest(tokens[i - 1] + b" " + tokens[i + 1]) >> 1
-                    for f in features_of(tokens[i]):
-                        seen[f, context] = seen.get((f, context), 0) + 1
+                    seen.update((f, context) for f in features_of(tokens[i]))
                 if seen:
-                    yield {"feature": [f for f, _ in seen], "context": [c for _, c in seen], "n": list(seen.values())}
+                    yield {"feature": [f for f, _ in seen], "context": [c for _, c in seen]}
 
-    found = arrow_map(distinct.where("label = 1").select("text"), "feature binary, context long, n long", contexts)
-    merged = found.groupBy("feature", "context").agg(F.sum("n").alias("n"))
-    varied = merged.groupBy("feature").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where((F.col("contexts") >= least) & (F.col("contexts") >= variety * F.col("n")))
+    found = arrow_map(distinct.where("label = 1").select("text"), "feature binary, context long", contexts).distinct()
+    varied = found.groupBy("feature").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= least)
     candidates = {bytes(r.feature): r.contexts for r in varied.collect()}  # no more than the bounded sample's words / least
     if not candidates:
         return []
 
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            yield {"text_md5": b.column("text_md5"), "label": b.column("label"), "sketch": [_sketch(t) for t in utf8(b.column("text"))]}
+
+    known = sorted(arrow_map(distinct, "text_md5 string, label int, sketch binary", sketches).collect())
+    sizes, groups = {}, {}
+    for label in (0, 1):
+        rows = [r for r in known if r.label == label]
+        at = copy_groups([bytes(r.sketch) for r in rows])
+        sizes[label] = len(set(at))
+        copied = np.bincount(at, minlength=1) > 1
+        groups |= {r.text_md5: g for r, g in zip(rows, at, strict=True) if copied[g]}
+    toxic, total = sizes[1], sizes[0] + sizes[1]
+    if not sizes[0]:
+        return []
+
     def documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            counts: dict[tuple[bytes, int], int] = {}
-            for text, label in zip(utf8(b.column("text")), b.column("label").to_pylist(), strict=True):
+            counts: dict[tuple[bytes, int, int], int] = {}
+            for text, label, md5 in zip(utf8(b.column("text")), b.column("label").to_pylist(), b.column("text_md5").to_pylist(), strict=True):
+                group = groups.get(md5, -1)
                 for f in {f for t in set(_TOKEN.findall(text.lower())) for f in features_of(t) if f in candidates}:
-                    counts[f, label] = counts.get((f, label), 0) + 1
-            yield {"feature": [f for f, _ in counts], "label": [k for _, k in counts], "n": list(counts.values())}
+                    counts[f, label, group] = counts.get((f, label, group), 0) + 1 if group < 0 else 1
+            yield {"feature": [f for f, _, _ in counts], "label": [k for _, k, _ in counts], "copies": [g for _, _, g in counts], "n": list(counts.values())}
 
-    counted = arrow_map(distinct.select("text", "label"), "feature binary, label int, n long", documents_with)
+    counted = arrow_map(distinct, "feature binary, label int, copies long, n long", documents_with)
+    counted = counted.groupBy("feature", "label", "copies").agg(F.when(F.col("copies") < 0, F.sum("n")).otherwise(1).alias("n"))
     counted = counted.groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum("n").alias("n"))
-    toxic, total = distinct.agg(F.sum("label"), F.count("*")).first()
-    if toxic == total:
-        return []
     share, kept = toxic / total, []
     for r in counted.collect():
         t, n = min(r.toxic, candidates[bytes(r.feature)]), r.n

@@ -199,6 +199,17 @@ def test_toxicity_on_held_out_documents(spark):
     assert "onlyhere" not in {f[1:].decode() for f in model.weights}  # copies of one text prove nothing
 
 
+def test_near_copies_neither_hide_nor_make_toxic_features(spark):
+    rows, labels = toxic_corpus()
+    rng = random.Random(4)
+    one = " ".join(rng.choice(rows[1][1].split()) + rng.choice([" ", " grubling ", " onlyhere "]) for _ in range(60)).split()
+    copies = [" ".join("changed" + str(k) if i == k % len(one) else w for i, w in enumerate(one)) for k in range(500)]
+    told = [(t, toxic) for (_, t), (_, _, toxic) in zip(rows, labels, strict=True)] + [(t, 1) for t in copies]
+    found = toxicity.toxic_features(spark.createDataFrame(told, "text string, label int").repartition(3))
+    assert {b"=grubling", b"=snotwit", b"=oafhead"} <= set(found)
+    assert not {b"=onlyhere", b"^change"} & set(found)
+
+
 def test_toxicity_without_labels_and_on_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = documents(spark, odd_rows())
