@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import glob
 import os
+import pickle
 import re
 import shutil
+import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,7 +114,8 @@ def write_table(
 ) -> DataFrame:
     """Values as delimited lines, or as a boxed table for reading (``pretty``, with thousands separators by ``commify``).
 
-    Records without any of the columns aren't written. Without ``output`` lines are printed, no more than 1000.
+    Records without any of the columns aren't written. All are written to ``output``; without it lines are
+    printed, no more than 1000, or 10,000 in a box.
     """
     names = _headings(df, keys, skip)
     if not names:
@@ -124,12 +128,12 @@ def write_table(
     any_value = F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names]).isNotNull()
     rows = chosen.where(any_value)
     if pretty:
-        text = pretty_table(rows.select(*[ORD] * (ORD in df.columns), *[f"`{n}`" for n in names]), names, header, commify)
+        boxed = rows.select(*[ORD] * (ORD in df.columns), *[f"`{n}`" for n in names])
         if output:
             with open(output, "w", encoding="utf-8") as f:
-                f.write(text + "\n")
+                f.writelines(line + "\n" for line in pretty_table(boxed, names, header, commify, most=None))
         else:
-            print(text)
+            print("\n".join(pretty_table(boxed, names, header, commify)))
         return df
     joined = F.concat_ws(delimiter or "\t", *[F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names])
     lines = rows.select(*[ORD] * (ORD in df.columns), joined.alias("value"))
@@ -145,16 +149,30 @@ def write_table(
     return df
 
 
-def pretty_table(df: DataFrame, names: list[str], header: bool = True, commify: bool = False, most: int = 10_000) -> str:
-    """A boxed table of at most ``most`` records, numbers to the right."""
-    rows = (df.orderBy(ORD) if ORD in df.columns else df).limit(most).collect()
+def pretty_table(df: DataFrame, names: list[str], header: bool = True, commify: bool = False, most: int | None = 10_000) -> Iterator[str]:
+    """The lines of a boxed table of at most ``most`` records (None: all), numbers to the right.
+
+    Records are streamed through a temporary file while the widths are taken, so that the driver holds few at once.
+    """
+    rows = df.orderBy(ORD) if ORD in df.columns else df
+    rows = rows if most is None else rows.limit(most)
     number = {n: isinstance(df.schema[n].dataType, (T.LongType, T.IntegerType, T.DoubleType, T.FloatType)) for n in names}
     cell = lambda v, n: "" if v is None else f"{v:,}" if commify and number[n] else str(v)
-    cells = [[cell(r[n], n) for n in names] for r in rows]
-    width = [max([len(n) if header else 0, *(len(c[i]) for c in cells)]) for i, n in enumerate(names)]
-    rule = "+" + "+".join("-" * (w + 2) for w in width) + "+"
-    line = lambda c: "| " + " | ".join(x.rjust(w) if number[n] else x.ljust(w) for x, w, n in zip(c, width, names, strict=True)) + " |"
-    return "\n".join([rule, *([line(names), rule] if header else []), *map(line, cells), rule])
+    width = [len(n) if header else 0 for n in names]
+    with tempfile.TemporaryFile() as spool:
+        count = 0
+        for r in rows.toLocalIterator():
+            cells = [cell(r[n], n) for n in names]
+            width = [max(w, len(c)) for w, c in zip(width, cells, strict=True)]
+            pickle.dump(cells, spool)
+            count += 1
+        spool.seek(0)
+        rule = "+" + "+".join("-" * (w + 2) for w in width) + "+"
+        line = lambda c: "| " + " | ".join(x.rjust(w) if number[n] else x.ljust(w) for x, w, n in zip(c, width, names, strict=True)) + " |"
+        yield from [rule, *([line(names), rule] if header else [])]
+        for _ in range(count):
+            yield line(pickle.load(spool))
+        yield rule
 
 
 def _check_tree(o: dict) -> None:

@@ -88,6 +88,14 @@ def test_write_table(spark, tmp_path, capsys):
     assert "| Human    | 23,524 |" in capsys.readouterr().out
 
 
+def test_boxed_tables_hold_every_record(spark, tmp_path):
+    out = str(tmp_path / "t")
+    P().write_table(output=out, pretty=True).run(spark.range(12_345).selectExpr("id AS __ord", "id AS N", "concat('n', id) AS NAME"))
+    lines = open(out).read().splitlines()
+    assert lines[1:-1] == [f"| {i:>5} | {f'n{i}':<6} |" for i in range(12_345)]
+    assert lines[0] == lines[-1] == "+-------+--------+"
+
+
 def test_uc(spark, tmp_path):
     f = tmp_path / "x.uc"
     f.write_text("S\t0\t10\t*\t.\t*\t*\t*\tq1\t*\nH\t0\t10\t97.5\t+\t0\t0\t10M\tq2\tq1\nC\t0\t2\t*\t*\t*\t*\t*\tq1\t*\n")
