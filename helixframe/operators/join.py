@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,32 +45,56 @@ def merge_table(df: DataFrame, input, key: str, keys=None, columns=None, skip: i
     return joined.withColumns(merged).drop("__key", *[f"__t_{c}" for c in others])
 
 
+#: Shorter k-mers than this are shared by so many sequences that comparing all of a fitting length costs less.
+LEAST_KMER = 6
+
+
 def similar(queries: DataFrame, targets: DataFrame, identity: float, size: int = 8, strand: str = "plus", local: bool = False) -> DataFrame:
     """(q_id, q, s_id, s, ident, strand): pairs of sequences at least this similar.
 
-    ``queries`` has q_id and q, ``targets`` s_id and s. Pairs that share enough k-mers for the identity to be possible are
-    found by joining k-mers; an edit of a sequence destroys at most ``size`` of them. They are then verified: identity is
-    1 less edit distance by the greater length, or for ``local`` by the length of the query, which may lie within the target.
+    ``queries`` has q_id and q, ``targets`` s_id and s. A query of n residues in which the identity allows e edits is cut by
+    them into at most e + 1 runs that stay whole, so that it shares a k-mer of k = n / (e + 1) residues (``size`` at most) with each
+    similar target; residues are of any alphabet. Pairs that share enough k-mers are found by joining them. Queries for which k
+    is below ``LEAST_KMER``, unless no edit is allowed, are compared with all targets of a length that fits. All pairs are then
+    verified: identity is 1 less edit distance by the greater length, or for ``local`` by the length of the query, which may
+    lie within the target.
     """
     turned = queries.withColumn("strand", F.lit("+"))
     if strand == "both":
         turned = turned.union(queries.select("q_id", S.reverse_complement("q"), F.lit("-")))
-    turned = turned.withColumn("q", F.upper("q"))
-    targets = targets.withColumn("s", F.upper("s"))
-    left = turned.select("q_id", "strand", S.kmers("q", size).alias("all")).select("q_id", "strand", F.size("all").alias("n"), F.explode("all").alias("kmer"))
-    right = targets.select("s_id", F.explode(S.kmers("s", size)).alias("kmer"))
-    shared = left.join(right, "kmer").groupBy("q_id", "strand", "s_id", "n").agg(F.count("*").alias("common"))
-    # edits allowed by the identity, each of which can cost `size` k-mers
-    lengths = shared.join(turned, ["q_id", "strand"]).join(targets, "s_id")
-    edits = F.floor((1 - identity) * F.greatest(F.length("q"), F.length("s"))) if not local else F.floor((1 - identity) * F.length("q"))
-    possible = lengths.where(F.col("common") >= F.greatest(F.lit(1), F.col("n") - edits * size))
+    allowed = lambda n: F.floor((1 - identity) * n + 1e-6).cast("long")  # noqa: E731  (0.1 * 10 is one edit)
+    n, m = F.length("q"), F.length("s")
+    most = allowed(n) if local else allowed(n / F.lit(identity))  # a similar target is no longer than n / identity
+    k = F.least(F.lit(size), F.floor(n / (most + 1)))
+    turned = turned.withColumn("q", F.upper("q")).where("length(q) > 0")
+    turned = turned.withColumn("k", F.when((k >= min(size, LEAST_KMER)) | (most == 0), k).otherwise(0).cast("int"))
+    targets = targets.withColumn("s", F.upper("s")).where("length(s) > 0")
+    edits = allowed(n) if local else allowed(F.greatest(n, m))
+    pairs = ["q_id", "q", "strand", "s_id", "s"]
+
+    near = m >= n - allowed(n) if local else (F.least(n, m) >= F.greatest(n, m) - edits)
+    by_length = turned.where("k = 0")
+    if local or identity >= 1:
+        found = by_length.join(targets, near).select(*pairs)
+    else:  # lengths that fit are in one class or in two that are neighbours
+        of = lambda x: F.floor(F.log(x) / -math.log(identity)).cast("long")
+        around = by_length.withColumn("class", F.explode(F.array(*[of(n) + d for d in (-2, -1, 0, 1, 2)])))
+        found = around.join(targets.withColumn("class", of(m)), "class").where(near).select(*pairs)
+    for width in sorted(r.k for r in turned.where("k > 0").select("k").distinct().collect()):  # no more than ``size``
+        left = turned.where(F.col("k") == width).select("q_id", "strand", F.array_distinct(S.naive_kmers("q", width)).alias("all"))
+        left = left.select("q_id", "strand", F.size("all").alias("n"), F.explode("all").alias("kmer"))
+        right = targets.select("s_id", F.explode(F.array_distinct(S.naive_kmers("s", width))).alias("kmer"))
+        shared = left.join(right, "kmer").groupBy("q_id", "strand", "s_id", "n").agg(F.count("*").alias("common"))
+        both = shared.join(turned.where(F.col("k") == width), ["q_id", "strand"]).join(targets, "s_id")
+        # each edit can cost as many k-mers as one has residues
+        found = found.union(both.where(near & (F.col("common") >= F.greatest(F.lit(1), F.col("n") - edits * width))).select(*pairs))
     distance = F.levenshtein("q", "s")
     if local:
-        spare = F.greatest(F.length("s") - F.length("q"), F.lit(0))
-        ident = 1 - (distance - spare) / F.length("q")
+        spare = F.greatest(m - n, F.lit(0))
+        ident = 1 - (distance - spare) / n
     else:
-        ident = 1 - distance / F.greatest(F.length("q"), F.length("s"))
-    return possible.withColumn("ident", ident).where(F.col("ident") >= identity).select("q_id", "q", "s_id", "s", "ident", "strand")
+        ident = 1 - distance / F.greatest(n, m)
+    return found.withColumn("ident", ident).where(F.col("ident") >= identity).select("q_id", "q", "s_id", "s", "ident", "strand")
 
 
 def _check_search(o: dict) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import search
 from helixframe.functions import sequence as S
 from helixframe.operators.external import align_pair
-from helixframe.operators.join import maximal_matches
+from helixframe.operators.join import maximal_matches, similar
 from helixframe.operators.taxonomy import build_index, classify
 from helixframe.pipeline import Pipeline as P
 from helixframe.schema import DataError
@@ -225,6 +225,34 @@ def test_clusters_and_searches(spark, tmp_path):
     assert [(r.q_beg, r.s_beg, r.hit_len) for r in found] == [(2, 0, 25)]
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+@pytest.mark.parametrize("identity", [0.5, 0.8, 0.9, 1.0])
+@pytest.mark.parametrize("letters", ["ACGT", "ACDEFGHIKLMNPQRSTVWY"])
+def test_similar_pairs_are_those_of_brute_force(spark, identity, letters):
+    rng = random.Random(2)
+    found = ["A", "AC", "ACGTACG"]
+    for n in (3, 6, 10, 12, 15, 22, 31, 60, 100):
+        one = [rng.choice(letters) for _ in range(n)]
+        found.append("".join(one))
+        for share in (0.06, 0.1, 0.2):
+            turned = [rng.choice(letters) if i % max(1, round(1 / share)) == 1 else x for i, x in enumerate(one)]
+            found += ["".join(turned), "".join(turned[: max(1, n - round(share * n))])]
+    rows = list(enumerate(dict.fromkeys(found)))
+    q, s = spark.createDataFrame(rows, "q_id long, q string"), spark.createDataFrame(rows, "s_id long, s string")
+    got = [(r.q_id, r.s_id) for r in similar(q, s, identity).collect()]
+    assert sorted(got) == [(i, j) for i, a in rows for j, b in rows if 1 - plain_distance(a, b) / max(len(a), len(b)) >= identity]
+    within = {(r.q_id, r.s_id) for r in similar(q, s, identity, local=True).collect()}
+    assert {(i, j) for i, a in rows for j, b in rows if a in b} <= within
+
+
 def test_assembly_and_alignment(spark):
     genome = "ATGCGTACGTTAGCCGATCGGATCCATTGCAACTG"
     reads = spark.createDataFrame([(i, f"r{i}", genome[i : i + 15]) for i in range(len(genome) - 14)], "__ord long, SEQ_NAME string, SEQ string")
