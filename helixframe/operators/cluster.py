@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,11 +13,12 @@ from ..schema import DataError, checkpointed, has, mixed, order_columns
 from .join import similar
 
 
-def greedy_centroids(seqs: DataFrame, identity: float, strand: str = "plus", kmer_size: int = 8, rounds: int = 1000) -> DataFrame:
+def greedy_centroids(seqs: DataFrame, identity: float, strand: str = "plus", kmer_size: int = 8, rounds: int | None = None) -> DataFrame:
     """(id, centroid, ident, strand) of sequences (id, seq, rank): each belongs to the centroid it is most similar to.
 
     In the order of ``rank`` a sequence is a centroid unless it is similar to an earlier one. All sequences whose similar
     earlier ones are decided are decided in one round, which gives the same centroids as going through them one by one.
+    Rounds go on until all are decided, each of them deciding the first that is left; more than ``rounds`` are an error.
     """
     q, s = seqs.select(F.col("id").alias("q_id"), F.col("seq").alias("q")), seqs.select(F.col("id").alias("s_id"), F.col("seq").alias("s"))
     ranks = seqs.select("id", "rank")
@@ -23,9 +26,11 @@ def greedy_centroids(seqs: DataFrame, identity: float, strand: str = "plus", kme
     pairs = pairs.join(ranks.select(F.col("id").alias("q_id"), F.col("rank").alias("q_rank")), "q_id").join(ranks.select(F.col("id").alias("s_id"), F.col("rank").alias("s_rank")), "s_id")
     earlier = checkpointed(pairs.where("s_rank < q_rank").groupBy("q_id", "s_id").agg(F.max(F.struct("ident", "strand")).alias("best")))
     state = checkpointed(seqs.select("id", F.lit(0).alias("kind")))  # 0 undecided, 1 centroid, 2 member
-    for _ in range(rounds):
+    for done in itertools.count():
         if state.where("kind = 0").isEmpty():
             break
+        if done == rounds:
+            raise DataError(f"sequences are undecided after {rounds} rounds")
         around = earlier.join(state.select(F.col("id").alias("s_id"), "kind"), "s_id").groupBy("q_id").agg(F.max((F.col("kind") == 1).cast("int")).alias("near"), F.max((F.col("kind") == 0).cast("int")).alias("open"))
         seen = state.join(around, F.col("id") == F.col("q_id"), "left")
         kind = F.when(F.col("kind") > 0, F.col("kind")).when(F.coalesce("near", F.lit(0)) == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import search
 from helixframe.functions import sequence as S
+from helixframe.operators.cluster import greedy_centroids
 from helixframe.operators.external import align_pair
 from helixframe.operators.join import maximal_matches, similar
 from helixframe.operators.taxonomy import build_index, classify
@@ -225,6 +226,14 @@ def test_clusters_and_searches(spark, tmp_path):
     assert [(r.q_beg, r.s_beg, r.hit_len) for r in found] == [(2, 0, 25)]
 
 
+def test_no_sequence_stays_undecided(spark):
+    chain = [(i, "G" * i + "A" * (10 - i), i) for i in range(6)]  # each is similar to the one before
+    df = spark.createDataFrame(chain, "id long, seq string, rank long")
+    assert sorted((r.id, r.centroid) for r in greedy_centroids(df, 0.9).collect()) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 4)]
+    with pytest.raises(DataError, match="undecided"):
+        greedy_centroids(df, 0.9, rounds=2)
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
