@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORD = "__ord"
@@ -66,11 +66,25 @@ def with_ordinal(df: DataFrame, name: str, order_by: str | list[str] | None = No
     return part.withColumn(name, F.row_number().over(inside)).join(shift, "__part").withColumn(name, (F.col(name) - 1 + F.col("__base")).cast("long")).drop("__part", "__base")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what was set as the checkpoint folder.
+
+    Where there is none, a local session (as in tests) gets a temporary one; on a cluster that is an error, as no executor
+    could read what another one wrote.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise DataError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="helixframe-checkpoint-"))
+    return (named or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir``; a temporary one is set where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-checkpoint-"))
+    """``df`` written to the shared folder, so that several jobs read it and lost executors don't redo it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
