@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..schema import checkpointed as frozen
+from ..schema import shared_folder
+
+__all__ = ["arrow_map", "default_vocabulary", "fold", "frozen", "heavy_keys", "id_and_text", "in_fold", "labelled_sample", "salted_join", "stored", "table", "utf8"]
+
+#: A key is hot if it has more than this part of the rows, so that there are fewer hot keys than that.
+HOT_SHARE = 1000
+#: Over how many salts the rows of a hot key are dealt.
+SALTS = 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table through Spark, which alone may be able to open its path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frozen(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, so that several jobs read it and lost executors don't redo it.
-
-    The folder is ``spark.checkpoint.dir``; a temporary one is set only where the session names none (local tests).
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-checkpoint-"))
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: :func:`frozen` for rows with whole texts."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def arrow_map(df: DataFrame, schema: str, each: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
@@ -48,25 +54,58 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id as ``doc_id`` (long) and the text as ``text``, whatever other columns there are."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def fold(id_col: str, parts: int):
+def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``; null ids have a null fold."""
     return F.crc32(F.col(id_col).cast("long").cast("string")) % F.lit(parts)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, parts: int, held_out: int, most: int) -> DataFrame:
-    """At most ``most`` labelled documents outside the held-out fold, as (doc_id, text, label).
+def in_fold(id_col: str, parts: int, held_out: int) -> Column:
+    """Whether the id is in the held-out fold; an id that is null has no remainder and isn't."""
+    return F.coalesce(fold(id_col, parts) == held_out, F.lit(False))
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, parts: int, held_out: int, most: int, most_bytes: int = 256 << 20) -> DataFrame:
+    """At most ``most`` labelled documents outside the held-out fold, of ``most_bytes`` together, as (doc_id, text, label).
 
-    The ids are drawn from ``labels`` by a hash of the id, so that the sample is the same at every run and of bounded size.
-    These ``most`` ids are broadcast, so that no text is shuffled but the sample's.
+    The ids are drawn from ``labels`` by a hash of the id, so that the sample is the same at every run. An id that is
+    labelled both ways teaches nothing and is left out; of rows that share an id the least text stands. The drawn ids are
+    broadcast, ``most`` of them, so that no text is shuffled but the sample's, which is written to the shared folder.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold("doc_id", parts) != held_out))
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return id_and_text(documents).where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")
+    texts = id_and_text(documents).where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")
+    sample = stored(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")))
+    sizes = sample.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).orderBy("h", "doc_id").collect()  # ``most`` rows
+    held = 0
+    for k, r in enumerate(sizes):
+        held += r.n
+        if held > most_bytes:
+            within = sample.sparkSession.createDataFrame([(r.doc_id,) for r in sizes[:k]], "doc_id long")
+            return sample.join(F.broadcast(within), "doc_id", "left_semi")
+    return sample
+
+
+def heavy_keys(counts: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """The hot keys of (keys, n): those with more than a ``HOT_SHARE``-th of ``total`` rows, of which there are fewer than that."""
+    return counts.where(F.col(n) * HOT_SHARE > F.lit(total)).select(*keys)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, a row a key; a hot key's rows are dealt over salts by the partition that they come from.
+
+    ``heavy`` has the hot keys, a bounded number (see :func:`heavy_keys`), which are broadcast. Keys must not be null.
+    """
+    hot = F.broadcast(heavy.select(*keys, F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)
+    salts = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    dealt = left.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
+    spread = right.join(hot, keys, "left").withColumn("__salt", salts).drop("__hot")
+    return dealt.join(spread, [*keys, "__salt"], how).drop("__salt")
 
 
 def default_vocabulary(name: str) -> str:

@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from helixframe.llm import byte_bpe, encoding, packing, quality_classifier, quality_rules, sharding, token_counts, topk, toxicity, urls
@@ -147,9 +148,37 @@ def test_url_verdicts(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df, urls.rule_frame(spark, RULES)).collect()}
     assert got == {i: plain_verdict(u, RULES) for i, u in enumerate(made)}
     assert {r.verdict for r in urls.filter_urls(df, urls.rule_frame(spark, []), otherwise="block").collect()} == {"block"}
+    twice = df.select(F.lit(5).cast("long").alias("page_id"), "url", "host")
+    want = Counter(plain_verdict(u, RULES) for u in made)
+    assert Counter((r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(twice, urls.rule_frame(spark, RULES)).collect()) == want
     assert urls.filter_urls(df.limit(0), urls.rule_frame(spark, RULES)).count() == 0
 
 
+def test_the_sweep_keeps_the_stack_of_open_rules(spark):
+    rng = random.Random(6)
+    paths = ["", "/", "/a", "/a/", "/a/b", "/ab", "/a/b/c", "/é", "/éa", "/\uffff", "/\U0010ffff", "/\U0010ffffx"]
+    rules = [(rng.choice(["allow", "block"]), h, p) for h in ("org", "a.org", "b.a.org") for p in paths if rng.random() < 0.6]
+    rules = list({(h, p): (v, h, p) for v, h, p in rules}.values())
+    made = ["x://" + h + p + tail for h in ("org", "a.org", "b.a.org", "z.b.a.org", "zorg") for p in paths for tail in ("", "x", "/b/c/d", "\U0010ffff")]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string").repartition(4)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df, urls.rule_frame(spark, rules)).collect()}
+    assert got == {i: plain_verdict(u, rules) for i, u in enumerate(made)}
+
+
+def test_a_hot_host_is_dealt_over_sweeps(spark):
+    made = [f"http://h{i % 7}.com/{'fr' if i % 3 else 'xx'}/{i}" for i in range(800)] + [f"http://other{i}.net/" for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = urls.filter_urls(df, urls.rule_frame(spark, urls.RULES))
+        plan = found._jdf.queryExecution().toString()
+        assert "hashpartitioning(host_key" in plan and re.search(r"hashpartitioning\(host_key#\d+, sweep#\d+, \d+\), REPARTITION_BY_COL", plan)
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: plain_verdict(u, urls.RULES) for i, u in enumerate(made)}
+
+
 # --- toxicity
 
 
