@@ -2,6 +2,7 @@ import base64
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -44,41 +46,60 @@ def odd_rows():
 # --- top-k
 
 
-def plain_top_k(vectors, every, k):
-    """vectors: id -> list of floats or None."""
-    ints = {i: [math.floor(256 * x) for x in v] for i, v in vectors.items() if v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    out = {}
-    for q in ints:
+def plain_top_k(rows, every, k):
+    """rows: (id, list of floats or None)."""
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    pairs = {}
+    for q, a in ints:
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)
-            out |= {(q, n): (i, -s) for n, (s, i) in enumerate(scored[:k], 1)}
-    return out
+            pairs.setdefault(q, []).extend((-sum(x * y for x, y in zip(a, b)), i) for i, b in ints if i != q)
+    return {(q, n): (i, -s) for q, scored in pairs.items() for n, (s, i) in enumerate(sorted(scored)[:k], 1)}
 
 
 def test_top_k_matches_brute_force(spark):
     rng = random.Random(3)
-    vectors = {i: [rng.gauss(0, 0.3) for _ in range(12)] for i in range(-20, 300)}
-    vectors |= {i: [0.25] * 12 for i in range(400, 460)}  # ties
-    vectors |= {500: None, 501: [float("nan")] * 12, 502: [1.0, None], 503: [0.5] * 5, 510: [], 511: [1e3] * 12}
-    rows = [(i, v, "x", 1) for i, v in vectors.items()] + [(0, vectors[0], "y", 2), (None, [1.0] * 12, "z", 3)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, rank int").repartition(5)
+    vectors = [(i, [rng.gauss(0, 0.3) for _ in range(12)]) for i in range(-20, 300)]
+    vectors += [(i, [0.25] * 12) for i in range(400, 460)]  # ties
+    vectors += [(500, None), (501, [float("nan")] * 12), (502, [1.0, None]), (503, [0.5] * 5), (510, []), (511, [1e3] * 12), (512, [3e6] * 12), (520, [-2e6] * 12)]
+    vectors += [(0, vectors[20][1]), (7, [0.9] * 12), (7, [0.9] * 12), (40, [0.3] * 12), (40, [-0.3] * 12), (None, [1.0] * 12)]  # repeated ids
+    df = spark.createDataFrame([(*r, "x", 1) for r in vectors], "vec_id long, embedding array<double>, query_id string, rank int").repartition(5)
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.exact_top_k(df, every=10, k=5, shard_rows=64, query_rows=16).collect()}
     assert got == plain_top_k(vectors, 10, 5)
     assert topk.exact_top_k(df.limit(0)).count() == 0
     assert topk.exact_top_k(df.where("vec_id = 0")).count() == 0
 
 
-@settings(deadline=None, max_examples=60)
-@given(st.integers(0, 10**6), st.integers(1, 40), st.integers(1, 6), st.sampled_from([3, 60, 3000]))
+@settings(deadline=None, max_examples=80)
+@given(st.integers(0, 10**6), st.integers(1, 40), st.integers(1, 6), st.sampled_from([0, 3, 60, 3000, 2**28]))
 def test_a_shard_stops_only_on_proof(seed, n, k, spread):
     rng = np.random.default_rng(seed)
     rows, queries = rng.integers(-spread, spread + 1, (n, 8)), rng.integers(-spread, spread + 1, (5, 8))
-    at_q, at_r = topk.Shard(rows).search(queries, k, few=k + 1)
+    own = (np.arange(min(5, n)), np.arange(min(5, n)))
+    at_q, at_r = topk.Shard(rows, 4).search(queries, k, own)
     scores = queries @ rows.T
     for q in range(5):
-        possible = set(at_r[at_q == q].tolist())
-        least = np.sort(scores[q])[::-1][min(k, n) - 1]
-        assert set(np.flatnonzero(scores[q] >= least).tolist()) <= possible
+        others = [r for r in range(n) if r != q or q >= len(own[0])]
+        possible = at_r[at_q == q].tolist()
+        assert len(set(possible)) == len(possible) and set(possible) <= set(others)
+        if others:
+            least = np.sort(scores[q, others])[::-1][min(k, len(others)) - 1]
+            assert {r for r in others if scores[q, r] >= least} <= set(possible)
+
+
+def test_a_score_of_more_than_64_bits_is_an_error():
+    with pytest.raises(OverflowError):
+        topk.Shard(np.full((1, 8), 2**40)).scores(np.full((1, 8), 2**40), np.array([0]), np.array([0]))
+
+
+def test_score_at_a_time_saves_products():
+    table = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(table):
+        pytest.skip("the tables aren't here")
+    x = np.array([np.floor(256 * np.asarray(v, float)) for v in pq.read_table(table)["embedding"].to_pylist()]).astype(np.int64)
+    shard, queries = topk.Shard(x), x[::50]
+    at_q, at_r = shard.search(queries, 5, (np.arange(len(queries)), np.arange(0, len(x), 50)))
+    shard.scores(queries, at_q, at_r)
+    assert shard.products < queries.size * len(x)
 
 
 # --- token counts and the encoder
