@@ -3,12 +3,15 @@
 The vocabulary lower-cases, drops white space and never merges across it or between its pre-tokens, so a text's ids are
 its pre-tokens' ids in a row. A block of texts is cut into pre-tokens at once, by the classes of its bytes; the distinct
 ones are looked up in a table of those seen before, and the rest are encoded by the tokenizers library. Only ASCII and
-the letters U+00C0 to U+00FF are cut here: a white-space delimited chunk with any other byte, an apostrophe (contractions)
-or a very long pre-token goes to the library as a whole.
+the letters U+00C0 to U+00FF are cut here: a white-space delimited chunk with any other byte, an apostrophe (contractions),
+a special token's string or a very long pre-token goes to the library as a whole. A file whose normaliser, pre-tokenizer or
+added tokens are others than those that this cutting stands for is left to the library wholly. The ids are those of the
+library's plain call without special tokens added, in which the strings of special tokens that a text holds become them.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
@@ -30,6 +33,25 @@ _MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
 _MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
+#: What the cutting stands for. The normaliser and the pre-tokenizer of the vocabulary file.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+
+
+def cut_here(path: str) -> tuple[bool, list[bytes]]:
+    """Whether a tokenizer file splits texts as this module does, and the strings of its added tokens."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    added = told.get("added_tokens") or []
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and t["content"].isascii() and not any(c.isspace() for c in t["content"]) for t in added)
+    same = told.get("normalizer") == _NORMALIZER and told.get("pre_tokenizer") == _PRE_TOKENIZER and not told.get("truncation") and not told.get("padding")
+    return plain and same and told["model"]["type"] == "BPE" and not told["model"].get("dropout"), [t["content"].encode() for t in added]
+
+
 class Encoder:
     """Encodes blocks of texts; what it remembers is bounded and emptied when full, which changes speed alone."""
 
@@ -38,7 +60,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._plain, self._special = cut_here(path)
         self._remembered = remembered
         self._forget()
 
@@ -56,13 +78,18 @@ class Encoder:
             ids.append(np.fromiter((i for each in found for i in each), np.uint32))
         return np.concatenate(ids), np.array(counts, np.int64)
 
-    def _pieces(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _pieces(self, raw: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Lower-cased bytes, and begin, length and kind (True: for the library) of each piece of text between white space."""
         kind = _CLASS[raw]
         space = kind == SPACE
         wide = raw >= 128
         follows = np.concatenate(([False], raw[:-1] == _LEAD))
         odd = (raw == 39) | (wide & ~follows & (raw != _LEAD)) | (follows & ((raw == 0x97) | (raw == 0xB7)))
+        for token in self._special:
+            at = text.find(token)
+            while at >= 0:
+                odd[at] = True
+                at = text.find(token, at + 1)
         low = _LOWER[raw]
         low[follows & (raw >= 0x80) & (raw <= 0x9E)] += 32
         change = np.concatenate(([True], kind[1:] != kind[:-1]))
@@ -90,9 +117,13 @@ class Encoder:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
         if not texts:
             return []
+        if not self._plain:
+            ids, counts = self._library(texts)
+            ends = np.cumsum(counts)
+            return [ids[b - n : b].astype("<u4").tobytes() for n, b in zip(counts.tolist(), ends.tolist(), strict=True)]
         text = b"\n".join([*texts, b""])
         raw = np.frombuffer(text, np.uint8)
-        low, at, size, library = self._pieces(raw)
+        low, at, size, library = self._pieces(raw, text)
         begin_of_text = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
         start, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         if len(self._keys) > self._remembered:

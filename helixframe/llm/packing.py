@@ -93,7 +93,8 @@ def placed_pieces(documents: DataFrame, path: str, capacity: int, open_bins: int
 def repacked(left: DataFrame, capacity: int, open_bins: int, fan_in: int) -> DataFrame:
     """(bin, sequence_id, shift) for the bins left open, packed by groups of ``fan_in`` partitions, then of such groups.
 
-    ``left`` has (bin, used, part). An item carries the bins it is made of; it has at most ``capacity`` of them.
+    ``left`` has (bin, used, part). An item carries the bins it is made of; it has at most ``capacity`` of them. Within a
+    group, of ``fan_in * open_bins`` items at most, all bins stay open; of these the ``open_bins`` emptiest go on to the next.
     """
     kind = "members array<struct<bin:long,shift:long>>, used long, part long, open boolean"
     here = F.array(F.struct("bin", F.lit(0).cast("long").alias("shift")))
@@ -102,14 +103,14 @@ def repacked(left: DataFrame, capacity: int, open_bins: int, fan_in: int) -> Dat
     out = to_arrow_schema(T.StructType.fromDDL(kind))
 
     def each(group: pa.Table) -> pa.Table:
-        pack, made, part = BestFit(capacity, open_bins), [], group["part"][0].as_py()
+        pack, made, part = BestFit(capacity, max(1, group.num_rows)), [], group["part"][0].as_py()
         members, used = group["members"].to_pylist(), group["used"].to_pylist()
         for i in sorted(range(len(used)), key=lambda i: (-used[i], members[i][0]["bin"])):
             b, at = pack.place(used[i], len(made))
             if b == len(made):
                 made.append([])
             made[b] += [{"bin": m["bin"], "shift": m["shift"] + at} for m in members[i]]
-        is_open = dict(pack.still_open())
+        is_open = dict(sorted(pack.still_open(), key=lambda b: b[1])[:open_bins])
         columns = made, [is_open.get(b, capacity) for b in range(len(made))], [part // fan_in] * len(made), [b in is_open for b in range(len(made))]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ def length_histogram(documents: DataFrame, path: str | None = None, text_col: st
                 lengths, docs = np.unique([len(ids) // 4 for ids in encode(texts[i:j])], return_counts=True)
                 yield {"n_tokens": lengths, "n": docs}
 
-    counted = arrow_map(documents.select(F.col(text_col).cast("string").alias("text")), "n_tokens long, n long", each)
+    counted = arrow_map(documents.select(F.col(f"`{text_col}`").cast("string").alias("text")), "n_tokens long, n long", each)
     return counted.groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
 
 
-def _suffix_sums(histogram: DataFrame, step: int = 1024) -> DataFrame:
+def _suffix_sums(histogram: DataFrame, step: int = 128) -> DataFrame:
     """Adds docs_from and tokens_from: documents, and their tokens, of this length or more.
 
     Lengths are summed by ranges of ``step`` first, so that no window holds more than a range or the list of ranges.
@@ -61,26 +62,42 @@ def context_limits(histogram: DataFrame) -> DataFrame:
     over = F.col("docs_from") - F.col("n_docs")
     return _suffix_sums(histogram).select(
         "n_tokens", "n_docs", "docs_from", "tokens_from", F.lit(docs).cast("long").alias("docs_total"), F.lit(tokens).cast("long").alias("tokens_total"),
-        kept.alias("truncated_total"), over.alias("docs_over"), (F.lit(1.0) - over / F.lit(max(1, docs))).alias("quantile"),
+        kept.alias("truncated_total"), over.alias("docs_over"), ((F.lit(docs) - over) / F.lit(max(1, docs))).alias("quantile"),
     )
 
 
 def answers(limits: DataFrame, context: list[int]) -> DataFrame:
-    """(context, truncated_total, docs_over) for given context limits, from :func:`context_limits`."""
-    asked = limits.sparkSession.createDataFrame([(int(c),) for c in context], "context long")
-    rows = limits.select(F.explode(F.array(*[F.lit(int(c)).cast("long") for c in context])).alias("context"), "n_tokens", "n_docs") if context else None
-    if rows is None:
-        return asked.selectExpr("context", "0L AS truncated_total", "0L AS docs_over")
-    return rows.groupBy("context").agg(
-        F.sum(F.least("n_tokens", "context") * F.col("n_docs")).alias("truncated_total"), F.sum(F.when(F.col("n_tokens") > F.col("context"), F.col("n_docs")).otherwise(0)).alias("docs_over")
-    )
+    """(context, truncated_total, docs_over) for given context limits, from :func:`context_limits`.
+
+    Each is answered by the suffix sums of the least length above it: the documents from there on are cut to the limit, and
+    what is left of all tokens are those of the other documents. One aggregation finds these lengths for all limits.
+    """
+    spark = limits.sparkSession
+    if not context:
+        return spark.createDataFrame([], "context long, truncated_total long, docs_over long")
+    above = [F.min_by(F.struct("docs_from", "tokens_from"), F.when(F.col("n_tokens") > int(c), F.col("n_tokens"))) for c in context]
+    found = limits.agg(F.max("tokens_total"), *[F.max(F.col("n_tokens") > int(c)) for c in context], *above).first()
+    rows = []
+    for k, c in enumerate(context):
+        docs, tokens = found[1 + len(context) + k] if found[1 + k] else (0, 0)
+        rows.append((int(c), (found[0] or 0) - tokens + int(c) * docs, docs))
+    return spark.createDataFrame(rows, "context long, truncated_total long, docs_over long")
 
 
 def quantile_lengths(limits: DataFrame, quantiles: list[float]) -> DataFrame:
-    """(quantile, n_tokens): the least length that at least that share of the documents doesn't exceed."""
-    asked = F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("asked")
-    rows = limits.select(asked, "n_tokens", "quantile").where("quantile >= asked")
-    return rows.groupBy(F.col("asked").alias("quantile")).agg(F.min("n_tokens").alias("n_tokens"))
+    """(quantile, n_tokens): the least length that at least that share of the documents doesn't exceed; null without documents.
+
+    Documents are counted in integers: a share q of n documents is the least whole number that isn't below q * n, q being
+    the decimal number that was written.
+    """
+    spark = limits.sparkSession
+    if not quantiles:
+        return spark.createDataFrame([], "quantile double, n_tokens long")
+    docs = limits.agg(F.max("docs_total")).first()[0] or 0
+    upto = F.col("docs_total") - F.col("docs_over")
+    needed = [-(-(Fraction(str(q)) * docs) // 1) for q in quantiles]
+    found = limits.agg(*[F.min(F.when(upto >= F.lit(int(n)), F.col("n_tokens"))) for n in needed]).first()
+    return spark.createDataFrame([(float(q), n) for q, n in zip(quantiles, found, strict=True)], "quantile double, n_tokens long")
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:

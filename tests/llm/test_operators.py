@@ -27,9 +27,7 @@ SCHEMA = "doc_id long, text string, lang string, score double, spans int, sequen
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORD_BPE)
 
 
 def documents(spark, rows):
@@ -40,7 +38,7 @@ def documents(spark, rows):
 def odd_rows():
     """Nulls, empty, very long, repeated and equal texts."""
     long = " ".join(f"w{i % 977}é" for i in range(30_000))
-    return [(1, "a plain text."), (2, None), (3, ""), (4, " \n "), (5, long), (6, "a plain text."), (6, "a plain text."), (None, "no id"), (7, "x" * 5000)]
+    return [(1, "a plain text."), (2, None), (3, ""), (4, " \n "), (5, long), (6, "a plain text."), (6, "a plain text."), (None, "no id"), (7, "x" * 5000), (8, "a <|endoftext|> b<|startoftext|>")]
 
 
 # --- top-k
@@ -106,10 +104,9 @@ def test_score_at_a_time_saves_products():
 
 
 @settings(deadline=None)
-@given(st.lists(TEXTS, max_size=6))
+@given(st.lists(st.one_of(TEXTS, st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "a", " ", "'s", "é", "endoftext"]), max_size=8).map("".join)), max_size=6))
 def test_encoder_gives_the_library_s_ids(texts):
     t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
     got = encoding.Encoder(WORD_BPE).encode([x.encode() for x in texts])
     assert got == [np.asarray(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
@@ -124,6 +121,30 @@ def test_encoder_forgets_and_tells_equal_keys_apart(tokenizer):
     assert e.encode([b"alpha beta"])[0] == np.asarray(tokenizer.encode("alpha beta", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_other_tokenizer_files_are_left_to_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, texts = Tokenizer.from_file(path), ["Two  words, it's\n <|endoftext|> É", "", "x" * 99]
+    assert encoding.Encoder(path).encode([x.encode() for x in texts]) == [np.asarray(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_the_whole_table_has_the_library_s_ids(tokenizer):
+    table = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(table):
+        pytest.skip("the tables aren't here")
+    texts = [t or "" for t in pq.read_table(table)["text"].to_pylist()]
+    assert encoding.Encoder(WORD_BPE).encode([t.encode() for t in texts]) == [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+@settings(deadline=None, max_examples=5)
+@given(lengths=st.lists(st.integers(0, 300), min_size=1, max_size=12), quantiles=st.lists(st.sampled_from([0.0, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9, 0.99, 1.0]), min_size=1, max_size=3, unique=True), context=st.lists(st.integers(0, 310), max_size=3, unique=True))
+def test_quantiles_and_limits_match_plain_counting(spark, lengths, quantiles, context):
+    counts = spark.createDataFrame(list(Counter(lengths).items()), "n_tokens long, n_docs long")
+    limits = token_counts.context_limits(counts)
+    want = {q: sorted(lengths)[max(0, -(-int(q * 100) * len(lengths) // 100) - 1)] for q in quantiles}
+    assert {r["quantile"]: r.n_tokens for r in token_counts.quantile_lengths(limits, quantiles).collect()} == want
+    assert {r.context: (r.truncated_total, r.docs_over) for r in token_counts.answers(limits, context).collect()} == {c: (sum(min(n, c) for n in lengths), sum(n > c for n in lengths)) for c in context}
+
+
 def test_token_counts(spark, tokenizer):
     rows = odd_rows()
     lengths = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
@@ -293,6 +314,12 @@ def test_the_tightest_bin_is_taken_and_the_fullest_closes():
     assert pack.place(8, 3) == (3, 0) and [b for b, _ in pack.still_open()] in ([0, 3], [3, 0])  # bin 2 (9 of 10) closed
 
 
+def test_bins_left_open_take_the_small_ones_that_come_last(spark):
+    left = [(k, 30 if k % 2 else 20, k % 64) for k in range(512)]
+    df = spark.createDataFrame(left, "bin long, used long, part long")
+    assert packing.repacked(df, 50, 8, 64).select("sequence_id").distinct().count() == 256
+
+
 def test_packing(spark, tokenizer):
     rng = random.Random(5)
     rows = odd_rows() + [(100 + i, " ".join(f"word{rng.randrange(500)}" for _ in range(rng.randrange(300)))) for i in range(300)]
