@@ -7,6 +7,7 @@ assign; operators that need an order take it, or the columns named by ``order_by
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -83,9 +84,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so that several jobs read it and lost executors don't redo it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written to the shared folder, so that several jobs read it and lost executors don't redo it.
+
+    It is a Parquet table, whose size Spark knows: the size that it keeps for a checkpoint is an estimate of the plan
+    before, which in a loop of joins grows without bound. Only rows with types that Parquet lacks are checkpointed.
+    """
+    folder = shared_folder(df.sparkSession)
+    if any(t in df.schema.simpleString() for t in ("void", "interval")):
+        return df.checkpoint()
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sequence_records(df: DataFrame, source) -> DataFrame:
