@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,9 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import checkpointed as frozen
-from ..schema import shared_folder
 
-__all__ = ["arrow_map", "default_vocabulary", "fold", "frozen", "heavy_keys", "id_and_text", "in_fold", "labelled_sample", "salted_join", "stored", "table", "utf8"]
+__all__ = ["arrow_map", "default_vocabulary", "fold", "frozen", "heavy_keys", "id_and_text", "in_fold", "labelled_sample", "salted_join", "table", "utf8"]
 
 #: A key is hot if it has more than this part of the rows, so that there are fewer hot keys than that.
 HOT_SHARE = 1000
@@ -28,13 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: :func:`frozen` for rows with whole texts."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def arrow_map(df: DataFrame, schema: str, each: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """``mapInArrow`` for functions that yield a dict of columns for each batch."""
     out = to_arrow_schema(T.StructType.fromDDL(schema))
@@ -79,7 +70,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, parts:
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = id_and_text(documents).where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")
-    sample = stored(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")))
+    sample = frozen(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")))
     sizes = sample.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).orderBy("h", "doc_id").collect()  # ``most`` rows
     held = 0
     for k, r in enumerate(sizes):

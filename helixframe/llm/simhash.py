@@ -1,11 +1,12 @@
 """SimHash near-duplicates: exact linking of 64-bit fingerprints by bit-sliced comparison.
 
 Fingerprints at most ``radius`` bits apart agree wholly on at least ``shared`` of ``radius + shared`` blocks of bits, so
-each distinct fingerprint goes to one bucket for every choice of ``shared`` blocks and no link can be missed. Buckets with
-more than ``cell`` members are cut into chunks, and each pair of chunks is a cell of its own. Within a cell the bits are
+each distinct fingerprint goes to one bucket for every choice of ``shared`` blocks and no link can be missed; the more
+fingerprints there are, the more blocks, so that buckets by chance stay small. Buckets with more than ``cell`` members are cut into chunks, and each pair of chunks is a cell of its own. Within a cell the bits are
 stored as vertical planes (big integers, a bit for each member); all members are compared with their s-th neighbours at
 once by adding differing planes into carry-save counters, and a shift is abandoned once every pair exceeds the radius.
-A cell yields a spanning forest of its links, never all pairs; components come from alternating star contraction.
+A cell yields a spanning forest of its links, never all pairs; components come from alternating star contraction. Joins
+deal the rows of hot buckets, nodes, components and fingerprints over salts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, frozen, id_and_text, utf8
+from .common import arrow_map, frozen, heavy_keys, id_and_text, salted_join, utf8
 
 #: Byte value -> its eight bits in the eight byte lanes of a 64-bit integer (lowest bit in the lowest lane).
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).view(np.uint64).ravel()
@@ -54,15 +55,19 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts.ravel() > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): a signed 64-bit integer with the fingerprint's bits. Null and empty texts have fingerprint 0."""
+def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): a signed 64-bit integer with the fingerprint's bits. Null and empty texts have fingerprint 0.
+
+    ``carried`` names columns of longs that go along.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             fps = np.array([fingerprint(t, width) for t in utf8(b.column("text"))], dtype=np.uint64)
-            yield {"doc_id": b.column("doc_id"), "fp": fps.view(np.int64)}
+            yield {"doc_id": b.column("doc_id"), "fp": fps.view(np.int64), **{c: b.column(c) for c in carried}}
 
-    return arrow_map(id_and_text(documents, id_col, text_col), "doc_id long, fp long", each)
+    columns = F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
+    return arrow_map(documents.select(*columns, *carried), ", ".join(["doc_id long", "fp long", *[f"{c} long" for c in carried]]), each)
 
 
 def _masks(radius: int, shared: int) -> list[int]:
@@ -74,6 +79,14 @@ def _masks(radius: int, shared: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def blocks_for(count: int, radius: int) -> int:
+    """How many shared blocks make buckets that hold, by chance, about 64 of ``count`` fingerprints or fewer."""
+    shared = 2
+    while shared < 8 and count >> 64 * shared // (radius + shared) > 64:
+        shared += 1
+    return shared
+
+
 def planes(fps: np.ndarray) -> list[int]:
     """The 64 vertical bit planes of the fingerprints, each as one big integer with a bit for each fingerprint."""
     bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -151,14 +164,20 @@ def _union(parent: np.ndarray, a: list[int], b: list[int]) -> None:
         parent[:] = up
 
 
-def links(distinct: DataFrame, radius: int = 4, shared: int = 2, cell: int = 2048) -> DataFrame:
-    """Links (a, b) with a > b that span the same components as all pairs of ``distinct.fp`` within ``radius`` bits."""
+def links(distinct: DataFrame, radius: int = 4, shared: int | None = None, cell: int = 2048) -> DataFrame:
+    """Links (a, b) with a > b that span the same components as all pairs of ``distinct.fp`` within ``radius`` bits.
+
+    Without ``shared`` the number of blocks is chosen by the number of fingerprints (see :func:`blocks_for`).
+    """
+    count = distinct.count()
+    shared = shared or blocks_for(count, radius)
     keys = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(_masks(radius, shared))])
     members = distinct.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
     crowded = members.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / cell).cast("int")
     own = F.pmod(F.xxhash64("fp"), chunks.cast("long")).cast("int")
-    split = members.join(crowded, ["t", "key"]).select("t", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    hot = heavy_keys(crowded, ["t", "key"], count * len(_masks(radius, shared)))
+    split = salted_join(members, crowded, ["t", "key"], hot).select("t", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
     cells = split.select(F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -183,29 +202,42 @@ def links(distinct: DataFrame, radius: int = 4, shared: int = 2, cell: int = 204
     return arrow_map(near_by, "a long, b long", each).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component, for all nodes that have an edge (a, b).
 
-    Alternating large-star and small-star contraction; each round is aggregations and joins on the node, which Spark can
-    split where a node is hot, and is written to the checkpoint folder. It ends when a round changes nothing.
+    Alternating large-star and small-star contraction; each round is aggregations and joins on the node, in which hot nodes
+    are salted, and is written to the shared folder. Every round keeps what is connected. It ends when each node has one
+    edge, to a node that has none itself: then these are the roots, however many rounds it took.
     """
     edges = frozen(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    state = None
-    for _ in range(rounds):
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+    while True:
+        count, nodes = edges.agg(F.count("*"), F.countDistinct("a")).first()
+        roots = edges.select(F.col("b").alias("node")).distinct()
+        if count == nodes and roots.join(edges.select(F.col("a").alias("node")), "node", "left_semi").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        both = edges.union(edges.select("b", "a")).withColumnRenamed("a", "node")
+        low = both.groupBy("node").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        hot = heavy_keys(low, ["node"], 2 * count)
         low = low.select("node", F.least("node", "low").alias("low"))
         # large star: every larger neighbour of a node goes to the smallest of its neighbourhood
-        large = both.where("b > a").join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = frozen(salted_join(both.where("b > node"), low, ["node"], hot).select(F.col("b").alias("node"), "low").distinct())
         # small star: every smaller neighbour, and the node itself, goes to the smallest of them
-        least = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-        small = large.join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = frozen(small.union(least.select("node", "low")).where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
-        if now[0] == now[2] and now == state:
-            break
-        state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        least = large.groupBy("node").agg(F.min("low").alias("least"), F.count("*").alias("n"))
+        small = salted_join(large, least.select("node", "least"), ["node"], heavy_keys(least, ["node"], 2 * count)).select(F.col("low").alias("a"), F.col("least").alias("b"))
+        edges = frozen(small.union(least.select("node", "least")).where("a <> b").distinct())
+
+
+def component_roots(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, n, root) of the distinct ``fp`` values of ``fps``: how many rows have it, and the smallest fingerprint it reaches."""
+    distinct = frozen(fps.groupBy("fp").agg(F.count("*").alias("n")))
+    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return frozen(distinct.join(roots, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")))
+
+
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows``, which have fp, with the root of :func:`component_roots`; fingerprints that many rows share are salted."""
+    total = roots.agg(F.sum("n")).first()[0] or 0
+    return salted_join(rows, roots.select("fp", "root"), ["fp"], heavy_keys(roots, ["fp"], total))
 
 
 def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,12 +247,12 @@ def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4, id_co
     other. Repeated rows each get a row; rows with a null doc_id are members but never name a component (null if all are).
     """
     docs = frozen(fingerprints(documents, id_col, text_col, width))
-    distinct = docs.groupBy("fp").agg(F.min("doc_id").alias("low_id"))
-    roots = components(links(distinct.select("fp"), radius))
-    member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "low_id")
-    named = member.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    ids = member.join(named, "root").select("fp", "component_id")
-    return docs.join(ids, "fp").select("doc_id", "fp", "component_id")
+    roots = component_roots(docs.select("fp"), radius)
+    rooted = with_roots(docs, roots)
+    named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    sizes = roots.groupBy("root").agg(F.sum("n").alias("n"))
+    total = roots.agg(F.sum("n")).first()[0] or 0
+    return salted_join(rooted, named, ["root"], heavy_keys(sizes, ["root"], total)).select("doc_id", "fp", "component_id")
 
 
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -100,6 +100,26 @@ def test_a_chain_is_one_component(spark):
     assert {r.node: r.root for r in simhash.components(edges).collect()} == {**{i: 0 for i in range(1, 41)}, 100: 99}
 
 
+def test_a_long_chain_is_one_component(spark):
+    order = list(range(10_001))
+    random.Random(3).shuffle(order)
+    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    assert {(r.node, r.root) for r in simhash.components(edges).collect()} == {(i, 0) for i in range(1, 10_001)}
+
+
+def test_more_blocks_find_the_same_links(spark):
+    rng = random.Random(9)
+    fps = sorted({rng.getrandbits(64) for _ in range(40)})
+    fps = sorted({f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for f in fps for _ in range(6)})
+    df = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "fp long")
+    want = plain_components(fps, 4)
+    for shared in (2, 3, 4):
+        roots = {r.node % 2**64: r.root for r in simhash.components(simhash.links(df, shared=shared)).collect()}
+        got = [roots.get(f, f - 2**64 if f >> 63 else f) for f in fps]
+        assert [got.index(g) for g in got] == [want.index(w) for w in want]
+    assert [simhash.blocks_for(10**k, 4) for k in (3, 6, 8, 10, 13)] == [2, 2, 2, 4, 6]
+
+
 def test_empty_tables_repeated_rows_and_null_ids(spark):
     schema = "doc_id long, text string"
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).collect() == []
