@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold, id_and_text, labelled_sample, table, utf8
+from .common import arrow_map, id_and_text, in_fold, labelled_sample, table, utf8
 
 #: Byte classes that statistics count.
 _CLASSES = {
@@ -19,7 +19,7 @@ _CLASSES = {
 _OF_BYTE = np.full(256, len(_CLASSES))
 for _k, _chars in enumerate(_CLASSES.values()):
     _OF_BYTE[list(_chars)] = _k
-N_STATISTICS = len(_CLASSES) + 1 + 7
+N_STATISTICS = len(_CLASSES) + 1 + 9
 
 
 def statistics(text: bytes) -> list[float]:
@@ -39,19 +39,21 @@ def statistics(text: bytes) -> list[float]:
         len(set(lines)) / n_lines,
         len(set(words)) / n_words * min(1.0, np.sqrt(n_words / 200)),
         float(-(p * np.log2(p)).sum()) / 4,
-        sum(1 for w in words if w in _FUNCTION_WORDS) / n_words * 3,
+        sum(map(bytes.isalpha, words)) / n_words,
+        sum(1 for w in words if len(w) <= 3) / n_words * 3,
+        repeated_pairs(words),
     ]
 
 
-#: Frequent function words of English, French, German and Spanish, as fixed values.
-_FUNCTION_WORDS = frozenset(
-    "the of and to in is that it for was on are as with be by at this from or an le la les des et en un une que qui dans pour pas sur au du der die das und den von zu mit sich auf ist ein eine nicht el los las y por con para su al lo como".encode().split()
-)
+def repeated_pairs(words: list[bytes]) -> float:
+    """The share of pairs of neighbouring words that occurred before in the text."""
+    pairs = list(zip(words, words[1:], strict=False))
+    return 1 - len(set(pairs)) / len(pairs) if pairs else 0.0
 
 
 @dataclass
 class QualityModel:
-    """Standardisation, random frequencies and phases, ridge weights, and the steps of the calibration."""
+    """Standardisation, random frequencies and phases, ridge weights, and the knots of the calibration."""
 
     centre: np.ndarray
     scale: np.ndarray
@@ -74,18 +76,32 @@ class QualityModel:
         return np.interp(raw, self.knots, self.values)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots and values of the non-decreasing step fit of y over x (pool adjacent violators), smoothed at both ends."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []  # sum of y, number, first x, last x
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([b, 1.0, a, a])
+def pooled(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, mean, number) of the pools of the non-decreasing least-squares fit of y over x (pool adjacent violators).
+
+    Points with one x are one point, of their mean and number, so that their order doesn't matter.
+    """
+    different, at, number = np.unique(x, return_inverse=True, return_counts=True)
+    pools: list[list[float]] = []  # sum of y, number, sum of x
+    for v, s, n in zip(different.tolist(), np.bincount(at.ravel(), weights=y, minlength=len(different)).tolist(), number.tolist(), strict=True):
+        pools.append([s, n, v * n])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             last = pools.pop()
-            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
-    knots = [v for p in pools for v in (p[2], p[3])]
-    values = [(p[0] + 0.5) / (p[1] + 1) for p in pools for _ in range(2)]
-    return np.array(knots), np.maximum.accumulate(np.array(values))
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    total, n, weight = np.array(pools).T
+    return weight / n, total / n, n
+
+
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots and values of the calibration: the pools' means at their centres, between which it is linear.
+
+    Each pool is smoothed by half a label of either kind; beyond the outer centres values go on half way to 0 and to 1 over
+    a length of the whole range, so that scores differ there too.
+    """
+    centre, mean, n = pooled(x, y)
+    values = np.maximum.accumulate((mean * n + 0.5) / (n + 1))
+    reach = max(1e-6, float(x.max() - x.min()))
+    return np.concatenate(([centre[0] - reach], centre, [centre[-1] + reach])), np.concatenate(([values[0] / 2], values, [(1 + values[-1]) / 2]))
 
 
 def fit(sample: DataFrame, features: int = 256, width: float = 4.0, ridge: float = 1e-3, parts: int = 8, seed: int = 7) -> QualityModel:
@@ -173,4 +189,4 @@ def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """The quality score of all ``documents``."""
     documents = table(spark, sf_dir, "documents")
     model = fit(training_rows(documents, table(spark, sf_dir, "labels")))
-    return score_quality(documents, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return score_quality(documents, model).select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "score", "predicted")

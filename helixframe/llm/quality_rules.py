@@ -1,4 +1,7 @@
-"""Quality rules as weak supervision: rules vote or abstain, and expectation-maximisation weighs them without labels."""
+"""Quality rules as weak supervision: rules vote or abstain, and expectation-maximisation weighs them without labels.
+
+Texts are read as UTF-8; bytes that aren't are read as U+FFFD.
+"""
 
 from __future__ import annotations
 
@@ -8,19 +11,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, frozen, id_and_text, table, utf8
 
-#: Name, statistic, threshold of a good vote, threshold of a bad vote. Where bad lies above good, low values are good.
-#: Between the two, or where a threshold is None, the rule abstains: a defect that is absent says little.
+#: Name, statistic, the most of a good vote and the least of a bad one; between the two the rule abstains.
 RULES = (
-    ("symbols", "symbols_per_word", None, 0.3),
-    ("duplicate_lines", "dup_line_share", None, 0.5),
-    ("repetition", "repeat_share", None, 0.4),
-    ("capitals", "capital_share", None, 0.5),
-    ("exclamations", "exclaim_per_word", None, 0.4),
-    ("long_words", "word_length", None, 14.0),
-    ("separators", "bare_token_share", None, 0.2),
+    ("symbols", "symbols_per_word", 0.05, 0.3),
+    ("duplicate_lines", "dup_line_share", 0.1, 0.5),
+    ("repetition", "repeat_share", 0.15, 0.4),
+    ("capitals", "capital_share", 0.2, 0.5),
+    ("exclamations", "exclaim_per_word", 0.05, 0.4),
+    ("long_words", "word_length", 10.0, 14.0),
+    ("separators", "bare_token_share", 0.05, 0.2),
     ("plain_words", "odd_word_share", 0.1, 0.4),
 )
 SYMBOLS = b"#*$%&|<>"
@@ -38,7 +41,7 @@ def base_statistics(text: bytes) -> tuple[int, int, int, int, int]:
             duplicates += 1
         elif line and not line.isspace():
             seen.add(line)
-    code_points = len(text.decode("utf-8", "surrogatepass"))
+    code_points = len(text.decode("utf-8", "replace"))
     spaces = len(text) - len(text.translate(None, _SPACE))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     return len(words), code_points - spaces, symbols, duplicates, _repeated(words)
@@ -65,17 +68,15 @@ def failed_base(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 50 or 100 * n_repeat_words > 50 * n_words
 
 
-def votes(text: bytes, base: tuple[int, int, int, int, int]) -> list[int]:
-    """A vote of each rule: 1 good, 2 bad, 0 abstains."""
+def values(text: bytes, base: tuple[int, int, int, int, int]) -> dict[str, float]:
+    """The statistics that the rules look at, of a text with words."""
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat = base
-    if not n_words:
-        return [0] * len(RULES)
     capital, small = len(text.translate(None, _CAPITAL)), len(text.translate(None, _SMALL))
     lines = sum(1 for line in text.split(b"\n") if line and not line.isspace())
     ends = [w.rstrip(b".,;:!?)\"'") for w in text.split()]  # what is left of a word without punctuation after it
     bare = sum(1 for w in ends if not w.strip(SYMBOLS + b"-=_~"))
     odd = sum(1 for w in ends if w.strip(SYMBOLS) != w)
-    value = {
+    return {
         "symbols_per_word": n_symbols / n_words,
         "dup_line_share": n_dup_lines / lines,
         "repeat_share": n_repeat / n_words,
@@ -85,17 +86,27 @@ def votes(text: bytes, base: tuple[int, int, int, int, int]) -> list[int]:
         "bare_token_share": bare / n_words,
         "odd_word_share": odd / n_words,
     }
-    return [1 if good is not None and value[k] <= good else 2 if bad is not None and value[k] >= bad else 0 for _, k, good, bad in RULES]
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
+def votes(text: bytes, base: tuple[int, int, int, int, int]) -> list[int]:
+    """A vote of each rule: 1 good, 2 bad, 0 abstains, as all do on a text without words."""
+    if not base[0]:
+        return [0] * len(RULES)
+    value = values(text, base)
+    return [1 if value[k] <= good else 2 if value[k] >= bad else 0 for _, k, good, bad in RULES]
+
+
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, close: float = 1e-9, rounds: int = 100_000) -> np.ndarray:
     """The posterior probability of good quality for each vote pattern.
 
     Votes are independent given the quality; each rule has its own rates of good, bad and abstaining for either quality.
     It begins with every document suspect that a rule votes against. The rates are smoothed by fixed pseudo counts; a rule
-    that always abstains says nothing. Data without any bad vote leave every document good.
+    that always abstains says nothing. Data without any bad vote leave every document good. It ends when no posterior
+    moves by ``close`` any more; more than ``rounds`` are an error.
     """
     post = np.where((patterns == 2).any(axis=1), 0.05, 0.95)
+    if not (patterns == 2).any():
+        return post
     onehot = np.stack([patterns == v for v in range(3)], axis=2).astype(float)
     for _ in range(rounds):
         logs = []
@@ -105,10 +116,10 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
             share = (weight.sum() + 1) / (counts.sum() + 2)
             logs.append(np.log(share) + np.einsum("prv,rv->p", onehot, np.log(rates)))
         new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -500, 500)))
-        if np.abs(new - post).max(initial=0) < 1e-9:
-            break
+        if np.abs(new - post).max(initial=0) < close:
+            return new
         post = new
-    return post
+    raise ArithmeticError(f"the posteriors still move after {rounds} rounds")
 
 
 def _code(pattern: list[int]) -> int:
@@ -156,19 +167,25 @@ def quality_rules(documents: DataFrame, threshold: float = 0.5, id_col: str = "d
 def keep_good(documents: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` that :func:`quality_rules` keeps, with all their columns.
 
-    The rules are voted on twice, to fit and to filter, so that no text is shuffled or stored.
+    Each text is voted on once: the rows are written to the shared folder with their votes, which are fitted and then
+    filtered by, so that no text is shuffled.
     """
-    quality = fit_votes(statistics(documents, id_col, text_col).select("pattern"))
+    code = "__votes"
+    while code in documents.columns:
+        code += "_"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
+            codes = []
             for t in utf8(batch.column(text_col)):
                 base = base_statistics(t)
-                kept.append(not failed_base(base[0], base[4]) and quality.get(_code(votes(t, base)), 0.0) >= threshold)
-            yield batch.filter(pa.array(kept, pa.bool_()))
+                codes.append(2 * _code(votes(t, base)) + failed_base(base[0], base[4]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int32())], names=[*batch.schema.names, code])
 
-    return documents.mapInArrow(each, documents.schema)
+    voted = frozen(documents.mapInArrow(each, T.StructType([*documents.schema.fields, T.StructField(code, T.IntegerType())])))
+    quality = fit_votes(voted.select(F.shiftright(code, 1).alias("pattern")))
+    kept = [2 * pattern for pattern, q in quality.items() if q >= threshold]  # no more than there are patterns
+    return voted.where(F.col(code).isin(kept)).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

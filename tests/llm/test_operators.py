@@ -18,6 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from helixframe.llm.common import in_fold, labelled_sample
 from helixframe.llm import byte_bpe, encoding, packing, quality_classifier, quality_rules, sharding, token_counts, topk, toxicity, urls
 
 TEXTS = st.text(alphabet="ab Éß1'.\n\tx×’-", max_size=50)
@@ -420,11 +421,57 @@ def test_quality_without_labels_and_on_odd_rows(spark):
 
 
 @settings(deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 1)), min_size=1, max_size=40))
-def test_calibration_never_falls(points):
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 1)), min_size=1, max_size=40), st.randoms())
+def test_calibration_is_the_least_squares_fit_in_any_order(points, shuffled):
     x, y = np.array([p[0] for p in points], float), np.array([p[1] for p in points], float)
+    different = sorted(set(x.tolist()))
+    mean, number = [y[x == v].mean() for v in different], [(x == v).sum() for v in different]
+    # the fit at a point is the greatest over starts of the least over ends of the means between
+    block = lambda a, b: np.average(mean[a : b + 1], weights=number[a : b + 1])
+    want = [max(min(block(a, b) for b in range(k, len(different))) for a in range(k + 1)) for k in range(len(different))]
+    centre, value, n = quality_classifier.pooled(x, y)
+    assert np.allclose(np.repeat(value, n.astype(int)), np.repeat(want, number))
     knots, values = quality_classifier.isotonic(x, y)
-    assert (np.diff(knots) >= 0).all() and (np.diff(values) >= 0).all() and 0 < values.min() and values.max() < 1
+    assert (np.diff(knots) > 0).all() and (np.diff(values) >= 0).all() and 0 < values.min() and values.max() < 1
+    shuffled.shuffle(points)
+    again = quality_classifier.isotonic(np.array([p[0] for p in points], float), np.array([p[1] for p in points], float))
+    assert np.array_equal(knots, again[0]) and np.array_equal(values, again[1])
+
+
+def test_the_fit_matches_plain_code(spark):
+    rows, labels = quality_corpus(120)
+    rows, labels = rows + [(900 + k, *rows[1][1:]) for k in range(30)], labels + [(900 + k, 1, 0) for k in range(30)]  # repeated texts
+    df, known = documents(spark, rows).repartition(5), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality_classifier.fit(quality_classifier.training_rows(df, known))
+    used = [(i, t, q) for (i, t), (_, q, _) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = np.array([quality_classifier.statistics(t.encode()) for _, t, _ in used])
+    y = np.array([float(q) for _, _, q in used])
+    assert np.allclose(model.centre, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-3))
+    z = np.cos(np.clip((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-3), -6, 6) @ model.frequencies + model.phases) * np.sqrt(2 / len(model.phases))
+    z = np.hstack([z, np.ones((len(x), 1))])
+    w = np.where(y == 1, np.sqrt(len(y) / y.sum()), np.sqrt(len(y) / (len(y) - y.sum())))
+    a = (z * w[:, None]).T @ z
+    want = np.linalg.solve(a + (1e-3 * np.trace(a) / len(a) + 1e-9) * np.eye(len(a)), (z * w[:, None]).T @ y)
+    assert np.allclose(z @ model.weights, z @ want, atol=1e-6)
+    scores = {r.doc_id: r.score for r in quality_classifier.score_quality(df, model).collect()}
+    assert np.allclose([scores[i] for i, _, _ in used], np.interp(z @ want, model.knots, model.values), atol=1e-5)
+
+
+def test_a_null_id_is_in_no_fold(spark):
+    df = spark.createDataFrame([(None,), (1,), (2,), (3,), (5,)], "doc_id long")
+    got = {r[0]: r[1] for r in df.select("doc_id", in_fold("doc_id", 4, 2)).collect()}
+    assert got == {None: False, **{i: zlib.crc32(str(i).encode()) % 4 == 2 for i in (1, 2, 3, 5)}}
+
+
+def test_the_sample_is_bounded_and_without_contradictions(spark):
+    docs = documents(spark, [(i, "text " * i) for i in range(1, 40)] + [(1, "another text of the same id")] * 5)
+    known = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 40)] + [(7, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = labelled_sample(docs, known, "toxic", 5, 0, 10).collect()
+    assert len(rows) <= 10 and len({r.doc_id for r in rows}) == len(rows)
+    every = labelled_sample(docs, known, "toxic", 5, 0, 1000).collect()
+    assert {r.doc_id for r in every} == {i for i in range(1, 40) if i != 7 and zlib.crc32(str(i).encode()) % 5}
+    few = labelled_sample(docs, known, "toxic", 5, 0, 1000, most_bytes=300).collect()
+    assert 0 < sum(len(r.text) for r in few) <= 300
 
 
 # --- sharding
@@ -490,6 +537,52 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(df.limit(0)).count() == 0
 
 
+def plain_posteriors(rows):
+    """Expectation-maximisation over documents one by one; a row of votes for each."""
+    post = [0.05 if 2 in r else 0.95 for r in rows]
+    for _ in range(5000):
+        model = []
+        for side, lean in ((1, (0.5, 0.45, 0.05)), (0, (0.5, 0.2, 0.3))):
+            weight = [p if side else 1 - p for p in post]
+            rates = []
+            for k in range(len(rows[0])):
+                sums = [lean[v] + sum(w for w, r in zip(weight, rows, strict=True) if r[k] == v) for v in range(3)]
+                rates.append([s / sum(sums) for s in sums])
+            model.append(((sum(weight) + 1) / (len(rows) + 2), rates))
+        new = []
+        for r in rows:
+            good, bad = (math.log(share) + sum(math.log(rates[k][v]) for k, v in enumerate(r)) for share, rates in model)
+            new.append(1 / (1 + math.exp(min(500, max(-500, bad - good)))))
+        if max(abs(a - b) for a, b in zip(new, post, strict=True)) < 1e-9:
+            return new
+        post = new
+
+
+def test_posteriors_and_verdicts_match_plain_code(spark):
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in "ra lo mi ne su ta vo ki".split() for b in "da fe gi ho ju".split()]
+    rows = []
+    for i in range(150):
+        text = [rng.choice(words) for _ in range(rng.randint(40, 160))]
+        kind = rng.choice(["fine", "fine", "fine", "symbols", "capitals", "repeated", "bare", "mixed", "long"])
+        text = {"symbols": [w + "###" for w in text], "capitals": [w.upper() + "!" for w in text], "repeated": text[:9] * 9, "bare": [x for w in text for x in (w, "|")], "mixed": [w + "$" * (k % 9 == 0) for k, w in enumerate(text)], "long": [w * 5 for w in text]}.get(kind, text)
+        rows.append((i, " ".join(text) + "\n" + "one line more\n" * rng.choice([0, 0, 0, 2])))
+    rows += odd_rows()
+    bases = [plain_statistics(t) for _, t in rows]
+    voted = [quality_rules.votes((t or "").encode(), b) for (_, t), b in zip(rows, bases, strict=True)]
+    post = plain_posteriors(voted)
+    want = Counter((i, round(p, 6), p >= 0.5 and b[0] >= 50 and 100 * b[4] <= 50 * b[0]) for (i, _), p, b in zip(rows, post, bases, strict=True))
+    got = Counter((r.doc_id, round(r.quality, 6), r.kept) for r in quality_rules.quality_rules(documents(spark, rows)).collect())
+    assert got == want and 20 < sum(n for (_, _, kept), n in got.items() if kept) < 150
+
+
+def test_rules_vote_both_ways():
+    text = " ".join(f"word{i}" for i in range(60)).encode()
+    assert set(quality_rules.votes(text, quality_rules.base_statistics(text))) == {1}
+    assert quality_rules.votes(b"", quality_rules.base_statistics(b"")) == [0] * len(quality_rules.RULES)
+    assert quality_rules.base_statistics(b"a \xff\xfe b") == (3, 4, 0, 0, 0)
+
+
 def test_expectation_maximisation_finds_the_accuracies():
     rng = np.random.default_rng(4)
     good = rng.random(20_000) < 0.8
