@@ -1,4 +1,7 @@
-"""Byte-level BPE: encoding with a segment tree over byte positions, and decoding."""
+"""Byte-level BPE: encoding with a segment tree over byte positions, and decoding.
+
+Texts are read as UTF-8; bytes that aren't are read as U+FFFD, which is then what is encoded and decoded.
+"""
 
 from __future__ import annotations
 
@@ -74,51 +77,61 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class ByteBPE:
     """Encoder and decoder for one rank file and split pattern.
 
-    A text is taken apart at single spaces between two characters that aren't white space: no match of the pattern goes on
-    across such a space, which begins the next match. The ids of the parts, and of the matches within, are remembered in
-    two bounded memories that are emptied when full; that changes speed alone.
+    With the pattern of the public files, a text is taken apart at single spaces between two characters that aren't white
+    space: no match of that pattern goes on across such a space, which begins the next match. With any other pattern, the
+    matches of the whole text are found. The ids of the parts, and of the matches within, are remembered in two bounded
+    memories that are emptied when full; that changes speed alone.
     """
 
     def __init__(self, path: str, pattern: str, remembered: int = 800_000, longest: int = 32):
+        import public_tokenizers
+
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self._bytes = {rank: token for token, rank in self.ranks.items()}
-        self._matches = regex.compile(pattern).findall
+        self._bytes = {str(rank): token for token, rank in self.ranks.items()}
+        self._matches = regex.compile(pattern).finditer
+        self._apart = pattern == public_tokenizers.PATTERN
         self._remembered, self._longest = remembered, longest
-        self._pieces: dict[str, tuple[str, bytes]] = {}
-        self._parts: dict[str, tuple[str, bytes]] = {}
+        self._pieces: dict[str, str] = {}
+        self._parts: dict[str, str] = {}
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
-        return [int(i) for i in " ".join([ids for ids, _ in self._coded(text)]).split()]
+        return [int(i) for i in self.listed(text).split()]
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids."""
-        return b"".join([self._bytes[i] for i in ids])
+        return b"".join([self._bytes[str(i)] for i in ids])
+
+    def listed(self, text: str) -> str:
+        """The ids of a whole text in decimal, joined by spaces."""
+        return " ".join([ids for ids in self._coded(text) if ids])
 
-    def _learn(self, part: str) -> tuple[str, bytes]:
-        """A part's ids as text, and what they decode to."""
+    def _learn(self, part: str) -> str:
+        """A part's ids in decimal."""
         known, out = self._pieces, []
-        for match in self._matches(part):
+        for m in self._matches(part):
+            match = m[0]
+            if not match:
+                continue
             coded = known.get(match)
             if coded is None:
-                ids = merge(match.encode("utf-8"), self.ranks)
-                coded = " ".join(map(str, ids)), self.decode(ids)
+                coded = " ".join(map(str, merge(match.encode("utf-8"), self.ranks)))
                 if len(match) <= self._longest:
                     known[match] = coded
             out.append(coded)
-        if len(out) == 1:
-            return out[0]
-        return " ".join([ids for ids, _ in out]), b"".join([decoded for _, decoded in out])
+        return " ".join(out)
 
-    def _coded(self, text: str) -> list[tuple[str, bytes]]:
-        """For the parts of a text in a row: the ids as text, and what they decode to."""
+    def _coded(self, text: str) -> list[str]:
+        """The ids of the parts of a text in a row."""
         if len(self._pieces) > self._remembered:
             self._pieces.clear()
         if 2 * len(self._parts) > self._remembered:
             self._parts.clear()
         if not text:
             return []
+        if not self._apart:
+            return [self._learn(text)]
         words = text.split(" ")
         known = self._parts
         out = list(map(known.get, words))
@@ -136,7 +149,7 @@ class ByteBPE:
                     out[i] = coded
         return out
 
-    def _joined(self, words: list[str]) -> list[tuple[str, bytes]]:
+    def _joined(self, words: list[str]) -> list[str]:
         """The same where some words begin or end with white space: these stay in one part with their neighbours."""
         parts = [words[0]]
         for before, word in zip(words, words[1:], strict=False):
@@ -148,12 +161,11 @@ class ByteBPE:
         return [self._learn(p) for p in parts if p]
 
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids as decimal text, SHA-256 of the bytes they decode to."""
-        coded = self._coded(text)
-        ids, decoded = zip(*coded, strict=True) if coded else ((), ())
-        listed = " ".join(ids)
-        n = listed.count(" ") + 1 if listed else 0
-        return n, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
+        """Number of ids, SHA-256 of the ids in decimal, SHA-256 of the bytes that these ids decode to."""
+        listed = self.listed(text)
+        ids = listed.split(" ") if listed else []
+        decoded = b"".join(map(self._bytes.__getitem__, ids))
+        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def whole(word: str) -> bool:
@@ -180,7 +192,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, pattern: str
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         bpe = codec(*settings)
         for batch in batches:
-            yield {"doc_id": batch.column("doc_id"), "ids": [bpe.encode(t.decode()) for t in utf8(batch.column("text"))]}
+            yield {"doc_id": batch.column("doc_id"), "ids": [bpe.encode(t.decode("utf-8", "replace")) for t in utf8(batch.column("text"))]}
 
     return arrow_map(id_and_text(documents, id_col, text_col), "doc_id long, ids array<int>", each)
 
@@ -206,7 +218,7 @@ def round_trip_digests(documents: DataFrame, path: str | None = None, pattern: s
         for batch in batches:
             texts, ids = utf8(batch.column("text")), batch.column("doc_id")
             for i, j in blocks(texts):
-                n, coded, decoded = zip(*[bpe.digest(t.decode()) for t in texts[i:j]], strict=True)
+                n, coded, decoded = zip(*[bpe.digest(t.decode("utf-8", "replace")) for t in texts[i:j]], strict=True)
                 yield {"doc_id": ids.slice(i, j - i), "n_tokens": n, "ids_sha256": coded, "decoded_sha256": decoded}
 
     return arrow_map(id_and_text(documents, id_col, text_col), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", each)

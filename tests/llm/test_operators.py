@@ -368,6 +368,22 @@ def test_ids_are_tiktoken_s(own_codec, text):
     assert own_codec.decode(ids) == text.encode()
 
 
+@settings(deadline=None, max_examples=100)
+@given(text=st.text(alphabet="ab \n1é", max_size=30))
+def test_other_patterns_match_in_the_whole_text(text):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), r"[a-z ]+\n?|\S|\s"
+    plain = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=CODEC._mergeable_ranks, special_tokens={})
+    assert byte_bpe.codec(path, pattern).encode(text) == plain.encode_ordinary(text)
+
+
+def test_bytes_that_are_not_utf8_are_read_as_the_replacement_character(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(unhex('61FF2062') AS STRING) AS text")
+    (r,) = byte_bpe.round_trip_digests(df).collect()
+    ids = CODEC.encode_ordinary("a\ufffd b")
+    assert (r.n_tokens, r.decoded_sha256) == (len(ids), hashlib.sha256("a\ufffd b".encode()).hexdigest())
+    assert quality_rules.quality_rules(df).collect()[0].word_chars == 3
+
+
 CODEC = reference_codec()
 
 
