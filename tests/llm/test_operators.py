@@ -513,8 +513,42 @@ def test_shards_are_near_equal_and_keep_groups(spark):
     assert sharding.vector_shards(documents(spark, [])).count() == 0
 
 
+def test_placement_matches_plain_code(spark, tokenizer):
+    rng = random.Random(18)
+    rows = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(60))) + "é" * rng.randrange(3)) for i in range(400)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 60, 2)] + [(2000 + i, "once more") for i in range(30)] + [(None, None), (3, "")]
+    sizes = {}
+    for _, t in rows:
+        t = t or ""
+        old = sizes.get(t, (0, 0, 0))
+        sizes[t] = old[0] + len(t.encode()) + 1, old[1] + len(tokenizer.encode(t, add_special_tokens=False).ids), old[2] + 1
+    total = [sum(v[d] for v in sizes.values()) for d in range(3)]
+    digest = {t: hashlib.md5(t.encode()).digest() for t in sizes}
+    share = {t: [v[d] / (total[d] / 4) for d in range(3)] for t, v in sizes.items()}
+    heavy = {t for t, v in sizes.items() if any(v[d] * 50 > total[d] for d in range(3))}
+    left, want = [[1.0] * 3 for _ in range(4)], {}
+    for t in sorted(sizes, key=lambda t: (t not in heavy, -max(share[t]), digest[t])):
+        fits = [s for s in range(4) if left[s][0] >= share[t][0] - 1e-12]
+        s = max(fits, key=lambda s: (round(sum(w * a * b for w, a, b in zip(sharding.WEIGHTS, left[s], share[t])), 12), -s)) if fits else max(range(4), key=lambda s: (left[s][0], -s))
+        left[s], want[t] = [a - b for a, b in zip(left[s], share[t])], s
+    got = {(r["size"], r.text_crc32): (r.shard, r.tokens) for r in sharding.vector_shards(documents(spark, rows), shards=4, heavy_part=50).collect()}
+    assert 0 < len(heavy) < len(sizes)
+    assert {(len(t.encode()) + 1, zlib.crc32(t.encode())): (s, sizes[t][1] // sizes[t][2]) for t, s in want.items()} == got
+
+
+def test_light_groups_are_placed_by_many_tasks(spark):
+    rng = random.Random(19)
+    rows = [(i, " ".join(f"w{rng.randrange(999)}" for _ in range(rng.randrange(1, 60)))) for i in range(3000)]
+    got = sharding.vector_shards(documents(spark, rows), groups_per_task=200).collect()
+    check_shards(rows, got, 8, 1500)
+    counts = Counter(r.shard for r in got)
+    assert max(counts.values()) < 1.1 * min(counts.values())
+    tokens = [sum(r.tokens for r in got if r.shard == s) for s in range(8)]
+    assert max(tokens) < 1.1 * min(tokens)
+
+
 def test_a_group_larger_than_a_shard_is_split(spark):
-    rows = [(i, "the same text for a third of the rows") for i in range(1000)] + [(5000 + i, f"text number {i} of the others") for i in range(2000)]
+    rows = [(None if i % 2 else i, "the same text for a third of the rows") for i in range(1000)] + [(5000 + i, f"text number {i} of the others") for i in range(2000)]
     check_shards(rows, sharding.vector_shards(documents(spark, rows)).collect(), 8, 500)
 
 
