@@ -242,6 +242,54 @@ def test_marginals_match_the_sum_over_all_labellings():
         assert math.isclose(any_toxic, 1 - 1 / z, rel_tol=1e-7, abs_tol=1e-9)
 
 
+def enumerated(chains_docs, theta, penalty, own):
+    """The penalised log likelihood by going through all labellings."""
+    bias, stay = theta[-2:]
+    value = -penalty / 2 * sum(w * w for w in theta)
+    for label, n, at, hit, ids in chains_docs:
+        potential = [0.0] * n
+        suspect = [False] * n
+        for h, f in zip(hit, ids):
+            potential[at[h]] += theta[f]
+            suspect[at[h]] |= bool(own[f])
+        score = lambda y: sum(bias + potential[i] for i in range(n) if y[i]) + stay * sum(a and b for a, b in zip(y, y[1:]))
+        value += score([int(label and s) for s in suspect]) - math.log(sum(math.exp(score(y)) for y in itertools.product((0, 1), repeat=n)))
+    return value
+
+
+def test_the_field_is_fitted_to_the_likelihood_of_the_token_labels():
+    rng = np.random.default_rng(8)
+    own = np.array([True, True, False, True])
+    docs = []
+    for _ in range(14):
+        n = int(rng.integers(0, 8))
+        at = np.sort(rng.choice(n, int(rng.integers(0, n + 1)), replace=False)) if n else np.empty(0, int)
+        pairs = sorted({(h, int(rng.integers(0, 4))) for h in range(len(at)) for _ in range(2)})
+        docs.append((int(rng.integers(0, 2)), n, at, np.array([h for h, _ in pairs], int), np.array([f for _, f in pairs], int)))
+    chains = toxicity.Chains(docs, 4, own)
+    theta = rng.normal(size=6)
+    value, gradient = chains.likelihood(theta, 0.3)
+    assert math.isclose(value, enumerated(docs, theta, 0.3, own), rel_tol=1e-9)
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-5
+        assert math.isclose(gradient[k], (enumerated(docs, theta + step, 0.3, own) - enumerated(docs, theta - step, 0.3, own)) / 2e-5, rel_tol=1e-3, abs_tol=1e-4)
+    best = chains.climb(200, 0.3)
+    top = enumerated(docs, best, 0.3, own)
+    assert all(enumerated(docs, best + rng.normal(size=6) * 0.2, 0.3, own) < top + 1e-3 for _ in range(50))
+    field = toxicity.ToxicField(bias=best[-2], stay=best[-1])
+    potentials = chains.potentials(best)
+    p = chains.marginals(potentials, chains.forward(potentials, best[-2:-1], best[-1:])[1], *best[-2:])
+    for n, first, size in zip(chains.n.tolist(), chains.first.tolist(), chains.size.tolist()):
+        mine = slice(first, first + size)
+        assert np.allclose(p[mine], field.marginals(n, chains.at[mine].tolist(), potentials[mine].tolist())[0])
+
+
+def test_neighbours_count_in_the_potential():
+    field = toxicity.ToxicField(weights={b"=bad": 2.0, b"<very": 1.0, b">word": 0.5, b">": 0.25})
+    assert field.featured(b"very bad word bad") == (4, [1, 3], [3.5, 2.25])
+    assert field.featured(b"") == (0, [], [])
+
+
 def toxic_corpus(n=400):
     rng = random.Random(11)
     words = [f"{a}{b}" for a in "the and of to in is was for on with".split() for b in ("", "ra", "lo", "mi", "ne")]
