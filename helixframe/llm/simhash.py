@@ -255,6 +255,35 @@ def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4, id_co
     return salted_join(rooted, named, ["root"], heavy_keys(sizes, ["root"], total)).select("doc_id", "fp", "component_id")
 
 
+def one_of_each_component(documents: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 2_000_000) -> DataFrame:
+    """Of each component one row of ``documents``, with all its columns: the one with the smallest id, then the least digest.
+
+    Rows without an id come last. The decision is taken on narrow rows (fingerprint, id and a 128-bit digest of the whole
+    row), so that texts are read again but not shuffled while the digests of the rows to drop are few enough to be broadcast
+    (``most_broadcast``, checked by counting them); if there are more, they are joined by a shuffle. Rows that repeat a kept
+    row in all columns are reduced to one among themselves.
+    """
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    simple = [c.cast("string") for c in columns]
+    there = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in columns])
+    h1, h2 = (F.xxhash64(F.lit(seed), there, *simple) for seed in (1, 2))
+    marked = documents.withColumns({"__h1": h1, "__h2": h2})
+    rows = frozen(fingerprints(marked, id_col, text_col, width, ("__h1", "__h2")))
+    roots = component_roots(rows.select("fp"), radius)
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__h1", "__h2")
+    each = rows.groupBy("fp").agg(F.min(rank).alias("first")).join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = frozen(each.select("first.__h1", "first.__h2"))
+    counted = rows.groupBy("__h1", "__h2").agg(F.count("*").alias("n"))
+    judged = frozen(counted.join(kept.withColumn("kept", F.lit(True)), ["__h1", "__h2"], "left"))
+    dropped = judged.where("kept IS NULL OR n > 1").select("__h1", "__h2", F.col("kept").isNotNull().alias("twice"))
+    few = dropped.count() <= most_broadcast
+    dropped = F.broadcast(dropped) if few else dropped
+    looked = marked.join(dropped, ["__h1", "__h2"], "left")
+    once = looked.where("twice IS NULL").select(*columns)
+    repeated = looked.where("twice").dropDuplicates(["__h1", "__h2"]).select(*columns)
+    return once.union(repeated)
+
+
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates of all ``documents``."""
     from .common import table
