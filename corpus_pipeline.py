@@ -6,14 +6,13 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from helixframe.llm import packing, quality_classifier, quality_rules, simhash
 from helixframe.llm.common import table
+from helixframe.schema import shared_folder
 
 
 def reject_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,23 +27,11 @@ def reject_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near-duplicates, the document with the smallest doc_id.
+    """Keeps, of each group of near-duplicates, the row with the smallest doc_id; see :func:`simhash.one_of_each_component`.
 
-    A doc_id that occurs in several rows names one document and is kept once at most. A group without any doc_id keeps the
-    least of its texts.
+    Rows that share a doc_id but not the text are documents of their own. A group without any doc_id keeps one row too.
     """
-    found = simhash.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id IS NULL")
-    if nameless.isEmpty():
-        return kept.select(*docs.columns)
-    groups = simhash.near_duplicates(nameless.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"))
-    named = found.where("doc_id IS NOT NULL").select("fp").distinct()
-    alone = found.where("component_id IS NULL").select("fp").distinct()
-    least = groups.join(alone, "fp", "left_semi").join(named, "fp", "left_anti").where("doc_id = component_id").select(F.col("doc_id").alias("__text_hash")).distinct()
-    rest = nameless.withColumn("__text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).join(least, "__text_hash", "left_semi").dropDuplicates(["__text_hash"])
-    return kept.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return simhash.one_of_each_component(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +46,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, all stages applied to ``documents`` one after another."""
+    """The rows of the last stage, all stages applied to ``documents`` one after another.
+
+    Each stage's rows are written to the shared folder; those that the next one has read are then removed.
+    """
     docs = table(spark, sf_dir, "documents")
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="helixframe-pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            read = path(f"{folder}/{k - 1}")
+            read.getFileSystem(spark._jsc.hadoopConfiguration()).delete(read, True)
     return docs
