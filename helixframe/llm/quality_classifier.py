@@ -178,11 +178,14 @@ def score_quality(documents: DataFrame, model: QualityModel, threshold: float =
 def keep_predicted(documents: DataFrame, model: QualityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``documents``, with all their columns, whose score reaches ``threshold``."""
 
+    names = documents.columns
+    numbered, text = documents.toDF(*map(str, range(len(names)))), names.index(text_col)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(model.score(utf8(b.column(text_col))) >= threshold, pa.bool_()))
+            yield b.filter(pa.array(model.score(utf8(b.column(text))) >= threshold, pa.bool_()))
 
-    return documents.mapInArrow(each, documents.schema)
+    return numbered.mapInArrow(each, numbered.schema).toDF(*names)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

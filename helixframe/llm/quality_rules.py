@@ -170,22 +170,22 @@ def keep_good(documents: DataFrame, threshold: float = 0.5, id_col: str = "doc_i
     Each text is voted on once: the rows are written to the shared folder with their votes, which are fitted and then
     filtered by, so that no text is shuffled.
     """
-    code = "__votes"
-    while code in documents.columns:
-        code += "_"
+    names = documents.columns
+    numbered = documents.toDF(*map(str, range(len(names))))  # whatever the names are, and whichever they clash with
+    text = names.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = []
-            for t in utf8(batch.column(text_col)):
+            for t in utf8(batch.column(text)):
                 base = base_statistics(t)
                 codes.append(2 * _code(votes(t, base)) + failed_base(base[0], base[4]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int32())], names=[*batch.schema.names, code])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int32())], names=[*batch.schema.names, "votes"])
 
-    voted = frozen(documents.mapInArrow(each, T.StructType([*documents.schema.fields, T.StructField(code, T.IntegerType())])))
-    quality = fit_votes(voted.select(F.shiftright(code, 1).alias("pattern")))
+    voted = frozen(numbered.mapInArrow(each, T.StructType([*numbered.schema.fields, T.StructField("votes", T.IntegerType())])))
+    quality = fit_votes(voted.select(F.shiftright("votes", 1).alias("pattern")))
     kept = [2 * pattern for pattern, q in quality.items() if q >= threshold]  # no more than there are patterns
-    return voted.where(F.col(code).isin(kept)).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return voted.where(F.col("votes").isin(kept)).drop("votes").toDF(*names)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

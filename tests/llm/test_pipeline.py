@@ -61,3 +61,19 @@ def test_empty_and_repeated_documents(spark, folder):
         assert stage(spark, docs.limit(0), folder).count() == 0
     twice = docs.where("doc_id IN (1, 2)").union(docs.where("doc_id IN (1, 2)"))
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, twice, folder).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_rows_that_share_an_id_or_have_none_are_documents_of_their_own(spark, most):
+    schema = "doc_id long, `lang.code` string, text string, __votes string"
+    texts = ["first text of some words here", "quite another text with other words", "a third one"]
+    rows = [(7, "en", texts[0], "a"), (7, "en", texts[1], "a"), (8, "en", texts[2], None), (None, "en", texts[2], "c"), (None, "x", "nameless words only in here", "d"), (None, "y", "nameless words only in here", "d")]
+    rows += [(9, None, texts[0], "b"), (7, None, texts[0], None), (7, "en", texts[1], "a"), (7, "en", texts[1], "a"), (12, "en", "", "e"), (11, "en", None, "e")]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    got = simhash.one_of_each_component(df, most_broadcast=most)
+    assert got.columns == df.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert sorted((r[0] or 0, r[2] or "") for r in kept) == sorted([(7, texts[0]), (7, texts[1]), (8, texts[2]), (0, "nameless words only in here"), (11, "")]) and set(kept) <= set(rows)
+    assert set(simhash.one_of_each_component(df.repartition(1), most_broadcast=most).collect()) == set(map(tuple, kept))
+    voted = quality_rules.keep_good(df)
+    assert voted.columns == df.columns and voted.count() == 0
