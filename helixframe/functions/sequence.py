@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BASE_33, GAPS, SCORE_MAX
@@ -161,10 +163,33 @@ def scores_convert(scores: Column | str, from_base: int, to_base: int) -> Column
     return F.translate(_c(scores), "".join(map(chr, moved)), "".join(chr(c + shift) for c in moved))
 
 
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+_IS_GAP = np.isin(np.arange(256), [ord(c) for c in GAPS])
+
+
+def _masked(seq: str | None, scores: str | None, quality_min: int, hard: bool) -> str | None:
+    if seq is None or scores is None:
+        return None
+    seq = seq.upper()
+    q = np.frombuffer(scores.encode("latin-1", "replace"), np.uint8)[: len(seq)]
+    low = q < BASE_33 + quality_min
+    if not seq.isascii():
+        return "".join([("N" if hard else c.lower()) if k < len(low) and low[k] and c not in GAPS else c for k, c in enumerate(seq)])
+    residues = np.frombuffer(seq.encode(), np.uint8).copy()
+    part = residues[: len(low)]
+    part[:] = np.where(low & ~_IS_GAP[part], ord("N") if hard else _LOW[part], part)
+    return residues.tobytes().decode()
+
+
 def mask(seq: Column | str, scores: Column | str, quality_min: int, hard: bool = False) -> Column:
-    """Upper case, but residues whose score is too low in lower case, or N; gaps stay."""
-    low = (lambda s: F.lit("N")) if hard else F.lower
-    return F.array_join(F.zip_with(letters(F.upper(_c(seq))), letters(scores), lambda s, q: F.when((F.ascii(q) - BASE_33 < quality_min) & ~s.isin(*GAPS), low(s)).otherwise(s)), "")
+    """Upper case, but residues whose score is too low in lower case, or N; gaps and residues without a score stay."""
+
+    @F.pandas_udf("string")
+    def masked(seqs: pd.Series, qualities: pd.Series) -> pd.Series:
+        return pd.Series([_masked(s, q, quality_min, hard) for s, q in zip(seqs, qualities, strict=True)], dtype=object)
+
+    return masked(_c(seq), _c(scores))
 
 
 def trim_bounds(scores: Column | str, quality_min: int, length_min: int) -> tuple[Column, Column]:
@@ -172,10 +197,17 @@ def trim_bounds(scores: Column | str, quality_min: int, length_min: int) -> tupl
 
     Without such a run the left cut is -1 and the end is 0.
     """
-    good = F.translate(_c(scores), "".join(chr(c) for c in range(33, 127)), "".join("B" if c - BASE_33 < quality_min else "G" for c in range(33, 127)))
-    run = "G" * length_min
-    left, right = F.locate(run, good), F.locate(run, F.reverse(good))
-    return left - 1, F.when(right == 0, 0).otherwise(F.length(good) - right + 1)
+    good = bytes(ord("G") if BASE_33 + quality_min <= c < 127 else ord("B") for c in range(256))
+    run = b"G" * length_min
+
+    @F.pandas_udf("struct<left:int,end:int>")
+    def bounds(texts: pd.Series) -> pd.DataFrame:
+        marks = [None if t is None else (t.encode() if t.isascii() else bytes(ord(c) if c < "\x7f" else 255 for c in t)).translate(good) for t in texts]
+        rows = [(None, None) if m is None else (m.find(run), m.rfind(run) + length_min if run in m else 0) for m in marks]
+        return pd.DataFrame(rows, columns=["left", "end"]).astype("Int32")
+
+    found = bounds(_c(scores))
+    return found["left"], found["end"]
 
 
 def trim(text: Column | str, scores: Column | str, quality_min: int = 20, length_min: int = 3, mode: str = "both") -> Column:
@@ -209,6 +241,37 @@ def edit_distance(a: Column | str, b: Column | str) -> Column:
     return F.levenshtein(F.upper(_c(a)), F.upper(_c(b)))
 
 
+def _kmers_of(text: str | None, quality: str | None, size: int, step: int = 1, score_min: int = 40) -> np.ndarray | None:
+    if text is None:
+        return None
+    codes = _TWO_BITS[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+    if quality is not None:
+        low = np.frombuffer(quality.encode("latin-1", "replace"), np.uint8)[: len(codes)] < BASE_33 + score_min
+        codes = np.where(np.pad(low, (0, len(codes) - len(low))), -1, codes)
+    n = len(codes) - size + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    value = np.zeros(n, np.int64)
+    for i in range(size):
+        value = value * 4 + np.maximum(codes[i : i + n], 0)
+    bad = np.concatenate(([0], np.cumsum(codes < 0)))
+    whole = (bad[size:] == bad[:-size]) & ((np.arange(n) + size - 1) % step == 0)
+    return np.unique(value[whole])
+
+
+def kmer_counts(df: DataFrame, seq: str = "SEQ", size: int = 8, step: int = 1) -> DataFrame:
+    """(kmer, n): in how many sequences each k-mer occurs, summed within each batch before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_kmers_of(t, None, size, step) for t in batch.column(0).to_pylist() if t]
+            if found:
+                kmer, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kmer, pa.int64()), pa.array(n, pa.int64())], names=["kmer", "n"])
+
+    return df.select(_c(seq).alias("s")).mapInArrow(count, "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
 def kmers(seq: Column | str, size: int = 8, step: int = 1, scores: Column | str | None = None, score_min: int = 40) -> Column:
     """Sorted distinct k-mers as integers of two bits a residue (A 0, T and U 1, C 2, G 3).
 
@@ -219,21 +282,7 @@ def kmers(seq: Column | str, size: int = 8, step: int = 1, scores: Column | str
         raise ValueError(f"bad k-mer size: {size}")
 
     def of(text: str | None, quality: str | None) -> np.ndarray | None:
-        if text is None:
-            return None
-        codes = _TWO_BITS[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
-        if quality is not None:
-            low = np.frombuffer(quality.encode("latin-1", "replace"), np.uint8)[: len(codes)] < BASE_33 + score_min
-            codes = np.where(np.pad(low, (0, len(codes) - len(low))), -1, codes)
-        n = len(codes) - size + 1
-        if n < 1:
-            return np.empty(0, np.int64)
-        value = np.zeros(n, np.int64)
-        for i in range(size):
-            value = value * 4 + np.maximum(codes[i : i + n], 0)
-        bad = np.concatenate(([0], np.cumsum(codes < 0)))
-        whole = (bad[size:] == bad[:-size]) & ((np.arange(n) + size - 1) % step == 0)
-        return np.unique(value[whole])
+        return _kmers_of(text, quality, size, step, score_min)
 
     if scores is None:
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,15 +80,54 @@ def collapse_otus(df: DataFrame, order_by=None) -> DataFrame:
     return mixed(df.where("TAXONOMY IS NULL"), grouped.select("r.*", *[f"`{c}`" for c in counts]))
 
 
-def residue_counts(df: DataFrame, most: int | None = None) -> DataFrame:
-    """(pos, residue, n): upper-case residues at each place from 0; the long form, for alignments of any width."""
+def residue_counts(df: DataFrame, most: int | None = None, block: int = 1 << 22) -> DataFrame:
+    """(pos, residue, n): upper-case residues at each place from 0; the long form, for alignments of any width.
+
+    Residues are counted by blocks of ``block`` of them within each batch, and only the counts are shuffled.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            held, size = [], 0
+            for t in texts:
+                held.append(t)
+                size += len(t)
+                if size >= block:
+                    yield _counted(held)
+                    held, size = [], 0
+            if held:
+                yield _counted(held)
+
     seq = F.upper("SEQ") if most is None else F.substring(F.upper("SEQ"), 1, most)
-    return df.where("SEQ IS NOT NULL").select(F.posexplode(S.letters(seq)).alias("pos", "residue")).groupBy("pos", "residue").agg(F.count("*").alias("n"))
+    counted = df.where("SEQ IS NOT NULL").select(seq.alias("s")).mapInArrow(count, "pos int, residue string, n long")
+    return counted.groupBy("pos", "residue").agg(F.sum("n").alias("n"))
+
+
+def _counted(texts: list[str]) -> pa.RecordBatch:
+    """The residues of some sequences, counted by place."""
+    size = np.array([len(t) for t in texts])
+    raw = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    pos = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
+    letters, code = np.unique(raw, return_inverse=True)
+    key = pos * len(letters) + code.ravel()
+    if int(size.max()) * len(letters) <= 4 * len(raw):
+        n = np.bincount(key)
+        key = np.flatnonzero(n)
+        n = n[key]
+    else:
+        key, n = np.unique(key, return_counts=True)
+    residue = [chr(letters[c]) for c in range(len(letters))]
+    columns = pa.array(key // len(letters), pa.int32()), pa.array([residue[c] for c in key % len(letters)], pa.string()), pa.array(n, pa.int64())
+    return pa.RecordBatch.from_arrays(list(columns), names=["pos", "residue", "n"])
 
 
 @command(percent=False)
 def analyze_residue_distribution(df: DataFrame, percent: bool = False) -> DataFrame:
-    """Appends a record for each residue: V0 the residue, V1 and on how often it occurs at each place, or its whole percentage."""
+    """Appends a record for each residue: V0 the residue, V1 and on how often it occurs at each place, or its whole percentage.
+
+    There is a column for each place; :func:`residue_counts` has the same as rows.
+    """
     if "SEQ" not in df.columns:
         return df
     width = df.agg(F.max(F.length("SEQ"))).first()[0] or 0
@@ -94,11 +137,13 @@ def analyze_residue_distribution(df: DataFrame, percent: bool = False) -> DataFr
         total = counts.groupBy("pos").agg(F.sum("n").alias("total"))
         counts = counts.join(total, "pos")
         value = F.floor(100 * F.col("n") / F.col("total"))
-    columns = [F.coalesce(F.max(F.when(F.col("pos") == p, value)), F.lit(0)).cast("long").alias(f"V{p + 1}") for p in range(width)]
-    if not columns:
+    if not width:
         return df
-    rows = counts.groupBy(F.col("residue").alias("V0")).agg(*columns)
-    return mixed(df, rows.select(F.lit("residue distribution").alias("RECORD_TYPE"), "*"))
+    places = F.map_from_entries(F.collect_list(F.struct("pos", value.cast("long").alias("value"))))  # no more than the width
+    rows = counts.groupBy(F.col("residue").alias("V0")).agg(places.alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda p: F.coalesce(F.try_element_at("m", p), F.lit(0)))
+    rows = rows.select("V0", dense.alias("d"))
+    return mixed(df, rows.select(F.lit("residue distribution").alias("RECORD_TYPE"), "V0", *[F.col("d")[p].alias(f"V{p + 1}") for p in range(width)]))
 
 
 def n50(df: DataFrame, length: str = "SEQ_LEN") -> DataFrame:

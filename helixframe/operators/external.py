@@ -78,7 +78,8 @@ def _fasta_frame(folder: str, target: str) -> pd.DataFrame:
 def genecall(df: DataFrame, type: str = "dna", procedure: str = "single", closed_ends: bool = False, masked: bool = False, size_min: int = 90, tool: str = "native") -> DataFrame:
     """Appends gene records with S_BEG, S_END, S_LEN and STRAND.
 
-    Natively the genes are the longest open reading frames of each stop on both strands, of at least ``size_min`` residues.
+    Natively the genes are the longest open reading frames of each stop on both strands, of at least ``size_min`` residues:
+    from the first start codon to the next stop codon in its frame, whatever stops there are in other frames.
     """
     if not has(df, "SEQ", "SEQ_NAME"):
         return df
@@ -90,7 +91,7 @@ def genecall(df: DataFrame, type: str = "dna", procedure: str = "single", closed
     else:
         seqs = df.where("SEQ IS NOT NULL AND SEQ_NAME IS NOT NULL").select("SEQ_NAME", "SEQ", F.length("SEQ").alias("n"))
         strands = seqs.select("SEQ_NAME", "n", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("SEQ").alias("s")), F.struct(F.lit("-").alias("strand"), S.reverse_complement("SEQ").alias("s")))).alias("x"))
-        genes = strands.select("SEQ_NAME", "n", "x.strand", F.explode(search.orfs(F.col("x.s"), size_min=size_min, longest=True)).alias("g"))
+        genes = strands.select("SEQ_NAME", "n", "x.strand", F.explode(search.genes(F.col("x.s"), size_min)).alias("g"))
         plus = F.col("strand") == "+"
         found = genes.select("SEQ_NAME", F.col("g.seq").alias("SEQ"), F.when(plus, F.col("g.start") + 1).otherwise(F.col("n") - F.col("g.stop")).cast("long").alias("S_BEG"), F.when(plus, F.col("g.stop") + 1).otherwise(F.col("n") - F.col("g.start")).cast("long").alias("S_END"), F.col("strand").alias("STRAND"))
         if type == "protein":

@@ -12,12 +12,15 @@ from pyspark.sql import types as T
 from .. import options as O
 from ..functions import sequence as S
 from ..pipeline import command
-from ..schema import ORD, has
+from ..schema import ORD, DataError, has
 from .aggregate import residue_counts
 
 
-def histogram(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
-    """(key, n): how many records, or the sum of another key, for each value; whole numbers from 0 on without gaps."""
+def histogram(df: DataFrame, key: str, value: str | None = None, widest: int = 10_000_000) -> DataFrame:
+    """(key, n): how many records, or the sum of another key, for each value; whole numbers from 0 on without gaps.
+
+    Whole numbers of ``widest`` or more are an error, as there would be a row for every number up to them.
+    """
     here = df.where(F.col(f"`{key}`").isNotNull())
     counts = here.groupBy(F.col(f"`{key}`").alias("key")).agg((F.sum(f"`{value}`") if value else F.count("*")).alias("n"))
     if not isinstance(df.schema[key].dataType, (T.IntegerType, T.LongType, T.ShortType)):
@@ -25,6 +28,8 @@ def histogram(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
     top = here.agg(F.max(f"`{key}`")).first()[0]
     if top is None or top < 0:
         return counts
+    if top >= widest:
+        raise DataError(f"{key} reaches {top}; a histogram without gaps ends before {widest}")
     all_keys = df.sparkSession.range(int(top) + 1).select(F.col("id").alias("key"))
     return all_keys.join(counts.withColumn("key", F.col("key").cast("long")), "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -62,7 +67,15 @@ def _check_plot(o: dict) -> None:
     O.at_most_one(o, "keys", "skip")
 
 
-_PLOT = {"output": None, "force": False, "terminal": "dumb", "title": None, "xlabel": None, "ylabel": None, "most": 10_000}
+_PLOT = {"output": None, "force": False, "terminal": "dumb", "title": None, "xlabel": None, "ylabel": None, "most": 100_000}
+
+
+def _bounded(rows: DataFrame, most: int) -> list:
+    """All rows, for the driver to draw; more than ``most`` are an error."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise DataError(f"more than {most} things to draw; raise most, or draw fewer")
+    return found
 
 
 def _draw(rows: list, kind: str, output, terminal: str, title, xlabel, ylabel) -> None:
@@ -94,18 +107,18 @@ def _svg(rows: list, kind: str, title, xlabel, ylabel) -> str:
 
 
 @command(check=lambda o: (_check_plot(o), O.required(o, "key")) and None, key=None, value=None, ylogscale=False, test=False, **_PLOT)
-def plot_histogram(df: DataFrame, key: str, value=None, ylogscale=False, test=False, output=None, force=False, terminal="dumb", title=None, xlabel=None, ylabel=None, most=10_000) -> DataFrame:
+def plot_histogram(df: DataFrame, key: str, value=None, ylogscale=False, test=False, output=None, force=False, terminal="dumb", title=None, xlabel=None, ylabel=None, most=100_000) -> DataFrame:
     """Draws :func:`histogram` and passes the records on."""
     if key in df.columns:
-        _draw([(r.key, r.n) for r in histogram(df, key, value).orderBy("key").limit(most).collect()], "bars", output, terminal, title, xlabel or key, ylabel or value or "n")
+        _draw([(r.key, r.n) for r in _bounded(histogram(df, key, value).orderBy("key"), most)], "bars", output, terminal, title, xlabel or key, ylabel or value or "n")
     return df
 
 
 @command(check=_check_plot, keys=None, skip=None, logscale=False, **_PLOT)
-def plot_heatmap(df: DataFrame, keys=None, skip=None, logscale=False, output=None, force=False, terminal="dumb", title=None, xlabel=None, ylabel=None, most=10_000) -> DataFrame:
-    """Draws the numeric columns of up to ``most`` records as a matrix and passes the records on."""
+def plot_heatmap(df: DataFrame, keys=None, skip=None, logscale=False, output=None, force=False, terminal="dumb", title=None, xlabel=None, ylabel=None, most=100_000) -> DataFrame:
+    """Draws the numeric columns as a matrix and passes the records on."""
     names = heatmap_columns(df, keys, skip)
-    rows = (df.orderBy(ORD) if ORD in df.columns else df).select(*names).dropna(how="all").limit(most).collect()
+    rows = _bounded((df.orderBy(ORD) if ORD in df.columns else df).select(*names).dropna(how="all"), most)
     text = "\n".join([*([title] if title else []), "\t".join(names), *("\t".join("" if v is None else str(v) for v in r) for r in rows)])
     if output:
         with open(output, "w", encoding="utf-8") as f:
@@ -123,27 +136,27 @@ def heatmap_columns(df: DataFrame, keys=None, skip=None) -> list[str]:
 
 
 @command(check=lambda o: (_check_plot(o), O.allowed_values(o, direction=("both", "forward", "reverse"))) and None, direction="both", **_PLOT)
-def plot_matches(df: DataFrame, direction="both", output=None, force=False, terminal="svg", title=None, xlabel=None, ylabel=None, most=10_000) -> DataFrame:
+def plot_matches(df: DataFrame, direction="both", output=None, force=False, terminal="svg", title=None, xlabel=None, ylabel=None, most=100_000) -> DataFrame:
     """Draws :func:`match_vectors` and passes the records on."""
     if has(df, "Q_BEG", "Q_END", "S_BEG", "S_END"):
-        rows = [tuple(r) for r in match_vectors(df, direction).limit(most).collect()]
+        rows = [tuple(r) for r in _bounded(match_vectors(df, direction), most)]
         _draw(rows, "segments", output, "svg", title, xlabel, ylabel)
     return df
 
 
 @command(check=_check_plot, count=False, **_PLOT)
-def plot_residue_distribution(df: DataFrame, count=False, output=None, force=False, terminal="dumb", title=None, xlabel=None, ylabel=None, most=10_000) -> DataFrame:
+def plot_residue_distribution(df: DataFrame, count=False, output=None, force=False, terminal="dumb", title=None, xlabel=None, ylabel=None, most=100_000) -> DataFrame:
     """Draws the most frequent residue's share at each place and passes the records on."""
     if "SEQ" in df.columns:
-        rows = residue_distribution(df).groupBy("pos").agg(F.max(F.struct("percent", "residue")).alias("m"), F.max("depth").alias("depth")).orderBy("pos").limit(most).collect()
+        rows = _bounded(residue_distribution(df).groupBy("pos").agg(F.max(F.struct("percent", "residue")).alias("m"), F.max("depth").alias("depth")).orderBy("pos"), most)
         _draw([(f"{r.pos} {r.m.residue}", r.depth if count else r.m.percent) for r in rows], "bars", output, terminal, title, xlabel, ylabel)
     return df
 
 
 @command(check=_check_plot, count=False, **_PLOT)
-def plot_scores(df: DataFrame, count=False, output=None, force=False, terminal="dumb", title=None, xlabel=None, ylabel=None, most=10_000) -> DataFrame:
+def plot_scores(df: DataFrame, count=False, output=None, force=False, terminal="dumb", title=None, xlabel=None, ylabel=None, most=100_000) -> DataFrame:
     """Draws the mean score at each place and passes the records on."""
     if "SCORES" in df.columns:
-        rows = score_profile(df).orderBy("pos").limit(most).collect()
+        rows = _bounded(score_profile(df).orderBy("pos"), most)
         _draw([(r.pos, r.depth if count else r.mean) for r in rows], "bars", output, terminal, title, xlabel, ylabel)
     return df

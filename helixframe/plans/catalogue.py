@@ -6,18 +6,20 @@ onto scores. Every query works on its whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import alphabet as A
 from ..functions import search
 from ..functions import sequence as S
 from ..operators import aggregate, plots, taxonomy
 from ..operators.join import maximal_matches
 from ..operators.order import first_records, last_records
 from ..pipeline import Pipeline
-from ..schema import ORD
+from ..schema import ORD, shared_folder
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _AS_DNA = ("acgt" * 7)[:26]
@@ -61,6 +63,54 @@ def _named(df: DataFrame) -> DataFrame:
     return df.drop(ORD)
 
 
+# --- files: written to the shared folder, in parts, and read back
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@_query("SELECT SEQ_NAME, SEQ, SEQ_LEN FROM seqs WHERE SEQ_LEN > 0")
+def fasta_written_and_read(spark, sf_dir):
+    folder = _folder(spark)
+    Pipeline().write_fasta(output=folder, wrap=70, single=False).run(sequences(spark, sf_dir).where("SEQ_LEN > 0"))
+    return _named(Pipeline().read_fasta(input=folder).run(spark=spark))
+
+
+@_query("SELECT SEQ_NAME, SEQ, SEQ_LEN, SCORES FROM seqs WHERE SEQ_LEN > 0")
+def fastq_written_and_read(spark, sf_dir):
+    folder = _folder(spark)
+    Pipeline().write_fastq(output=folder, encoding="base_64", single=False).run(sequences(spark, sf_dir).where("SEQ_LEN > 0"))
+    return _named(Pipeline().read_fastq(input=folder, encoding="base_64").run(spark=spark))
+
+
+@_query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
+def table_written_and_read(spark, sf_dir):
+    folder = _folder(spark)
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias(ORD), "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    Pipeline().write_table(output=folder, header=True, gzip=True, delimiter=";", single=False).run(orders)
+    return _named(Pipeline().read_table(input=folder, delimiter=";").run(spark=spark))
+
+
+@_query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS n FROM orders")
+def file_order(spark, sf_dir):
+    """Records keep, through a file of parts, the order in which a sort left them."""
+    folder = _folder(spark)
+    orders = Pipeline().add_key(key=ORD, prefix="", order_by=["o_totalprice", "o_orderkey"]).run(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
+    Pipeline().write_table(output=folder, keys="o_orderkey", single=False).run(orders.withColumn(ORD, F.col(ORD).cast("long")))
+    rows = Pipeline().read_table(input=folder, keys="o_orderkey").run(spark=spark)
+    return rows.select("o_orderkey", F.col(ORD).alias("n"))
+
+
+@_query("SELECT event_id, user_id FROM events WHERE event_type IN ('click', 'view')")
+def select_file(spark, sf_dir):
+    """Exact values from a file that another operator wrote."""
+    folder = _folder(spark)
+    wanted = spark.createDataFrame([(0, "click"), (1, "view")], f"{ORD} long, event_type string")
+    Pipeline().write_table(output=folder, single=False).run(wanted)
+    return Pipeline().grab(select_file=folder, keys="event_type", exact=True, values_only=True).run(_events(spark, sf_dir)).select("event_id", "user_id")
+
+
 # --- filters
 
 
@@ -81,9 +131,9 @@ def grab_reject(spark, sf_dir):
     return Pipeline().grab(reject=["S", "#1"], keys="p_type,p_brand", values_only=True).run(_table(spark, sf_dir, "part"))
 
 
-@_query("SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE regexp_matches(c_custkey::VARCHAR, '77') OR regexp_matches(c_name, '77') OR regexp_matches(c_nationkey::VARCHAR, '77') OR regexp_matches(c_mktsegment, '77')")
+@_query("SELECT * FROM customer WHERE regexp_matches(c_acctbal::VARCHAR, '77') OR regexp_matches(c_custkey::VARCHAR, '77') OR regexp_matches(c_name, '77') OR regexp_matches(c_nationkey::VARCHAR, '77') OR regexp_matches(c_mktsegment, '77')")
 def grab_any_column(spark, sf_dir):
-    return Pipeline().grab(select="77").run(_table(spark, sf_dir, "customer").drop("c_acctbal"))
+    return Pipeline().grab(select="77").run(_table(spark, sf_dir, "customer"))
 
 
 @_query("SELECT * FROM customer WHERE regexp_matches(c_mktsegment, '(?i)mach|AUTO')")
@@ -174,9 +224,9 @@ def slice_seq(spark, sf_dir):
     return Pipeline().slice_seq(start=5, stop=-10).run(sequences(spark, sf_dir)).select("SEQ_NAME", "SEQ")
 
 
-@_query("SELECT SEQ_NAME, replace(SEQ, 'a', '') AS SEQ, length(replace(SEQ, 'a', '')) AS SEQ_LEN FROM seqs")
+@_query("SELECT SEQ_NAME, replace(SEQ, 'a', '') AS SEQ, length(replace(SEQ, 'a', '')) AS SEQ_LEN, array_to_string([SCORES[i] FOR i IN range(1, SEQ_LEN + 1) IF SEQ[i] <> 'a'], '') AS SCORES FROM seqs")
 def degap_seq(spark, sf_dir):
-    gapped = sequences(spark, sf_dir).withColumn("SEQ", F.translate("SEQ", "a", "-")).drop("SCORES")
+    gapped = sequences(spark, sf_dir).withColumn("SEQ", F.translate("SEQ", "a", "-"))
     return _named(Pipeline().degap_seq().run(gapped))
 
 
@@ -309,21 +359,25 @@ def residue_counts(spark, sf_dir):
     return aggregate.residue_counts(sequences(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
 
 
-_WIDE = """
+_PLACES = """
 WITH p AS (SELECT unnest(range(1, length(n_name) + 1)) AS pos, upper(n_name) AS s FROM nation), w AS (SELECT pos, s[pos] AS r FROM p), t AS (SELECT pos, count(*) AS total FROM w GROUP BY pos), c AS (SELECT pos, r, count(*) AS n FROM w GROUP BY ALL)
-SELECT r AS "V0", """
+SELECT all_r.r AS residue, 'V' || t.pos AS place, {value} AS n FROM (SELECT DISTINCT r FROM w) all_r CROSS JOIN t LEFT JOIN c ON c.r = all_r.r AND c.pos = t.pos"""
 
 
-@_query(_WIDE + ", ".join(f'coalesce(max(CASE WHEN c.pos = {p} THEN n END), 0) AS "V{p}"' for p in range(1, 5)) + " FROM c GROUP BY r")
+def _distribution(spark, sf_dir, **options):
+    """Every column of the operator's records, as rows."""
+    out = Pipeline().analyze_residue_distribution(**options).run(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("SEQ"))).where("V0 IS NOT NULL")
+    return out.unpivot([F.col("V0").alias("residue")], [c for c in out.columns if c.startswith("V") and c != "V0"], "place", "n")
+
+
+@_query(_PLACES.format(value="coalesce(n, 0)"))
 def residue_distribution(spark, sf_dir):
-    out = Pipeline().analyze_residue_distribution().run(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("SEQ")))
-    return out.where("V0 IS NOT NULL").select("V0", "V1", "V2", "V3", "V4")
+    return _distribution(spark, sf_dir)
 
 
-@_query(_WIDE + ", ".join(f'coalesce(max(CASE WHEN c.pos = {p} THEN 100 * n // total END), 0) AS "V{p}"' for p in range(1, 5)) + " FROM c JOIN t USING (pos) GROUP BY r")
+@_query(_PLACES.format(value="coalesce(100 * n // total, 0)"))
 def residue_distribution_percent(spark, sf_dir):
-    out = Pipeline().analyze_residue_distribution(percent=True).run(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("SEQ")))
-    return out.where("V0 IS NOT NULL").select("V0", "V1", "V2", "V3", "V4")
+    return _distribution(spark, sf_dir, percent=True)
 
 
 @_query("SELECT l_linenumber::BIGINT AS key, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT 0, 0")
@@ -398,8 +452,7 @@ def assemble_pairs(spark, sf_dir):
 @_query(", k AS (SELECT SEQ_NAME, unnest(list_distinct([substr(SEQ, i, 8) FOR i IN range(1, SEQ_LEN - 6)])) AS k FROM seqs WHERE SEQ_LEN >= 8) SELECT upper(k) AS oligo, count(*) AS n FROM k GROUP BY 1")
 def kmer_sharing(spark, sf_dir):
     """How many sequences have each 8-mer."""
-    kmers = sequences(spark, sf_dir).select(F.explode(S.kmers("SEQ", 8)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
-    return kmers.select(S.kmer_oligo("kmer", 8).alias("oligo"), "n")
+    return S.kmer_counts(sequences(spark, sf_dir), "SEQ", 8).select(S.kmer_oligo("kmer", 8).alias("oligo"), "n")
 
 
 @_query("SELECT c_custkey, hamming(c_mktsegment, reverse(c_mktsegment)) AS d FROM customer")
@@ -437,7 +490,10 @@ def commify(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select("o_orderkey", S.commify(F.col("o_orderkey") * 1000).alias("text"))
 
 
-@_query()
+@_query("""
+, p AS (SELECT SEQ_NAME, upper(SEQ) AS s, unnest(range(SEQ_LEN)) AS pos FROM seqs), r AS (SELECT SEQ_NAME, pos, s[pos + 1] AS r FROM p),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY SEQ_NAME, r ORDER BY pos) AS island FROM r)
+SELECT SEQ_NAME, repeat(r, count(*)) AS pattern, count(*)::INTEGER AS length, min(pos)::INTEGER AS pos FROM g GROUP BY SEQ_NAME, r, island HAVING count(*) >= 4""")
 def homopolymers(spark, sf_dir):
     return sequences(spark, sf_dir).select("SEQ_NAME", F.explode(search.homopolymers("SEQ", 4)).alias("h")).select("SEQ_NAME", "h.*")
 
@@ -447,25 +503,49 @@ def patscan_fuzzy(spark, sf_dir):
     return sequences(spark, sf_dir).select("SEQ_NAME", search.patmatch("SEQ", "gtaccgatcgtaag", 2, 1, 1).alias("m")).select("SEQ_NAME", "m.*")
 
 
-@_query()
+#: Start codons and the stop codon that comes next, in any frame (or with ``frame`` in the same), of the sequences ``strands``.
+_CODONS = """, places AS (SELECT SEQ_NAME, strand, s, unnest(range(length(s) - 2)) AS pos FROM strands), codons AS (SELECT SEQ_NAME, strand, pos, substr(s, pos + 1, 3) AS c FROM places),
+starts AS (SELECT *{frame} FROM codons WHERE c IN ('atg', 'gtg')), stops AS (SELECT *{frame} FROM codons WHERE c IN ('taa', 'tga', 'tag')),
+pairs AS (SELECT a.SEQ_NAME, a.strand, a.pos AS a, z.pos + 2 AS z FROM starts a ASOF JOIN stops z ON a.SEQ_NAME = z.SEQ_NAME AND a.strand = z.strand{same} AND a.pos <= z.pos) """
+_PLUS = ", strands AS (SELECT SEQ_NAME, '+' AS strand, SEQ AS s, SEQ_LEN FROM seqs)"
+_NEXT = _CODONS.format(frame="", same="")
+_OPEN = "JOIN strands USING (SEQ_NAME, strand) WHERE (z - a + 1) % 3 = 0 AND z - a + 1 >= 60 AND a < SEQ_LEN - 60"
+
+
+@_query(f"""{_PLUS}{_NEXT}, longest AS (SELECT SEQ_NAME, min(a) AS a, z, any_value(s) AS s FROM pairs {_OPEN} GROUP BY SEQ_NAME, z)
+SELECT SEQ_NAME, a::INTEGER AS start, z::INTEGER AS stop, substr(s, a + 1, z - a + 1) AS seq FROM longest""")
 def orfs(spark, sf_dir):
     return sequences(spark, sf_dir).select("SEQ_NAME", F.explode(search.orfs("SEQ", size_min=60, longest=True)).alias("o")).select("SEQ_NAME", "o.*")
 
 
-@_query()
+@_query("""
+, parts AS (SELECT SEQ_NAME, SEQ, SEQ_LEN, string_split(SEQ, 'gaattc') AS p FROM seqs WHERE SEQ_LEN > 0),
+edges AS (SELECT SEQ_NAME, SEQ, list_concat([0], [list_sum([length(p[j]) FOR j IN range(1, i + 1)]) + 6 * (i - 1) + 1 FOR i IN range(1, len(p))], [SEQ_LEN])::BIGINT[] AS e FROM parts),
+pieces AS (SELECT SEQ_NAME, SEQ, e, unnest(range(1, len(e))) AS i FROM edges)
+SELECT SEQ_NAME, e[i]::INTEGER AS begin, (e[i + 1] - 1)::INTEGER AS "end", substr(SEQ, e[i] + 1, e[i + 1] - e[i]) AS seq FROM pieces
+UNION ALL SELECT SEQ_NAME, 0, -1, '' FROM seqs WHERE SEQ_LEN = 0""")
 def digest(spark, sf_dir):
     return sequences(spark, sf_dir).select("SEQ_NAME", F.explode(search.digest("SEQ", "GAATTC", 1)).alias("f")).select("SEQ_NAME", "f.*")
 
 
-@_query()
+_AMINO = "MAP {" + ", ".join(f"'{c.lower()}': '{a}'" for c, a in A.CODONS.items()) + "}"
+
+
+@_query(f"""{_PLUS}{_NEXT}, genes AS (SELECT SEQ_NAME, a AS start, substr(s, a + 1, z - a + 1) AS g FROM pairs {_OPEN})
+SELECT SEQ_NAME, start::INTEGER AS start, 'M' || array_to_string([{_AMINO}[substr(g, 3 * i + 1, 3)] FOR i IN range(1, length(g) // 3 - 1)], '') AS protein FROM genes""")
 def proteins(spark, sf_dir):
     genes = sequences(spark, sf_dir).select("SEQ_NAME", F.explode(search.orfs("SEQ", size_min=60)).alias("o"))
     return genes.select("SEQ_NAME", "o.start", S.translate("o.seq").alias("protein"))
 
 
-@_query()
+@_query(f"""
+, strands AS (SELECT SEQ_NAME, '+' AS strand, SEQ AS s, SEQ_LEN FROM seqs UNION ALL SELECT SEQ_NAME, '-', reverse(translate(SEQ, 'acgt', 'tgca')), SEQ_LEN FROM seqs)
+{_CODONS.format(frame=", pos % 3 AS frame", same=" AND a.frame = z.frame")}, longest AS (SELECT SEQ_NAME, strand, min(a) AS a, z, any_value(s) AS s, any_value(SEQ_LEN) AS n FROM pairs JOIN strands USING (SEQ_NAME, strand) GROUP BY SEQ_NAME, strand, z)
+SELECT SEQ_NAME, substr(s, a + 1, z - a + 1) AS SEQ, z - a + 1 AS "SEQ_LEN", CASE strand WHEN '+' THEN a + 1 ELSE n - z END AS "S_BEG", CASE strand WHEN '+' THEN z + 1 ELSE n - a END AS "S_END", z - a + 1 AS "S_LEN", strand AS "STRAND"
+FROM longest WHERE z - a + 1 >= 120""")
 def genecall(spark, sf_dir):
-    return _named(Pipeline().genecall(size_min=120).run(sequences(spark, sf_dir))).where("RECORD_TYPE = 'genecall'")
+    found = Pipeline().genecall(size_min=120).run(sequences(spark, sf_dir)).where("RECORD_TYPE = 'genecall'")
+    return found.select("SEQ_NAME", "SEQ", "SEQ_LEN", "S_BEG", "S_END", "S_LEN", "STRAND")
 
 
 # --- taxonomy and similarity
@@ -553,15 +633,15 @@ def align_seq_mothur(spark, sf_dir):
 @_query()
 def classify_seq_mothur(spark, sf_dir):
     taxa = _taxa(spark, sf_dir).select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("SEQ_NAME"), "SEQ", F.regexp_replace("SEQ_NAME", "[KPC]#|;[OFG]#;?|;?S#", "").alias("taxon"))
-    found = Pipeline().classify_seq_mothur(database=taxa, taxonomy=taxa, bootstraps=10, confidence=50).run(taxa.select("SEQ_NAME", "SEQ"))
+    found = Pipeline().classify_seq_mothur(database=taxa, taxonomy=taxa).run(taxa.select("SEQ_NAME", "SEQ"))
     return found.select("SEQ_NAME", "TAXONOMY")
 
 
 @_query()
 def assemble_seq(spark, sf_dir):
-    """The benchmark passages from overlapping reads."""
+    """The benchmark passages from overlapping reads, by the operator's own lengths of k-mers."""
     reads = _items(spark, sf_dir).select("SEQ_NAME", F.explode(S.naive_kmers("SEQ", 60, 10)).alias("SEQ"))
-    return Pipeline().assemble_seq_spades(kmers="31", contig_min=60).run(reads)
+    return Pipeline().assemble_seq_spades().run(reads)
 
 
 @_query("SELECT event_id, user_id, CASE WHEN event_type = 'click' THEN 'forward' ELSE 'reverse' END AS dir FROM events WHERE event_type IN ('click', 'view')")

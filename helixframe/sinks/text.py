@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import itertools
 import os
 import pickle
 import re
@@ -18,22 +19,27 @@ from .. import options as O
 from ..functions import sequence as S
 from ..operators.order import check_first_last, first_records, last_records
 from ..pipeline import command
-from ..schema import BASE_33, BASE_64, ORD, has, present
+from ..schema import BASE_33, BASE_64, ORD, DataError, has, present
 
 
-def write_lines(rows: DataFrame, output: str, force: bool = False, codec: str | None = None, single: bool = True) -> None:
+def write_lines(rows: DataFrame, output: str, force: bool = False, codec: str | None = None, single: bool | None = None) -> None:
     """Write ``value`` (in the order of ``__ord`` if there is one) as lines of one local file, or as a folder of parts.
 
-    The parts are written in parallel and sorted by ranges; for one file they are then put together, which compressed
-    parts allow too. Paths with a scheme, such as a store's, always become folders.
+    The parts are written in parallel and sorted by ranges. For one file (``single``; by default in local sessions only) the
+    driver puts them together, which compressed parts allow too; it is an error if it doesn't see what the executors wrote.
+    Paths with a scheme, such as a store's, always become folders.
     """
     if ORD in rows.columns:
         rows = rows.orderBy(ORD)
+    if single is None:
+        single = rows.sparkSession.sparkContext.master.startswith("local")
     single = single and "://" not in output
     folder = f"{output}.parts" if single else output
     writer = rows.select("value").write.mode("overwrite" if force or single else "errorifexists")
     (writer.option("compression", codec) if codec else writer).text(folder)
     if single:
+        if not os.path.exists(os.path.join(folder, "_SUCCESS")):
+            raise DataError(f"the driver doesn't see {folder}; give single=False, or a path that is shared with the executors")
         with open(output, "wb") as out:
             for part in sorted(glob.glob(os.path.join(folder, "part-*"))):
                 with open(part, "rb") as f:
@@ -64,8 +70,8 @@ def _check_fasta(o: dict) -> None:
     O.check(o, "wrap > 0")
 
 
-@command(check=_check_fasta, output=None, force=False, wrap=None, gzip=False, bzip2=False, single=True)
-def write_fasta(df: DataFrame, output: str, force: bool = False, wrap: int | None = None, gzip: bool = False, bzip2: bool = False, single: bool = True) -> DataFrame:
+@command(check=_check_fasta, output=None, force=False, wrap=None, gzip=False, bzip2=False, single=None)
+def write_fasta(df: DataFrame, output: str, force: bool = False, wrap: int | None = None, gzip: bool = False, bzip2: bool = False, single: bool | None = None) -> DataFrame:
     """Records with SEQ_NAME and SEQ as FASTA."""
     if has(df, "SEQ_NAME", "SEQ"):
         rows = df.where(present("SEQ_NAME", "SEQ")).select(*[ORD] * (ORD in df.columns), F.concat(_checked("SEQ_NAME", "SEQ"), S.to_fasta("SEQ_NAME", "SEQ", wrap)).alias("value"))
@@ -78,8 +84,8 @@ def _check_fastq(o: dict) -> None:
     O.allowed_values(o, encoding=("base_33", "base_64"))
 
 
-@command(check=_check_fastq, output=None, force=False, encoding="base_33", gzip=False, bzip2=False, single=True)
-def write_fastq(df: DataFrame, output: str, force: bool = False, encoding: str = "base_33", gzip: bool = False, bzip2: bool = False, single: bool = True) -> DataFrame:
+@command(check=_check_fastq, output=None, force=False, encoding="base_33", gzip=False, bzip2=False, single=None)
+def write_fastq(df: DataFrame, output: str, force: bool = False, encoding: str = "base_33", gzip: bool = False, bzip2: bool = False, single: bool | None = None) -> DataFrame:
     """Records with SEQ_NAME, SEQ and SCORES as FASTQ."""
     if has(df, "SEQ_NAME", "SEQ", "SCORES"):
         scores = S.scores_convert("SCORES", BASE_33, BASE_64) if encoding == "base_64" else F.col("SCORES")
@@ -108,14 +114,13 @@ def _headings(df: DataFrame, keys, skip) -> list[str]:
     return names
 
 
-@command(check=_check_table, keys=None, skip=None, output=None, force=False, header=False, pretty=False, commify=False, delimiter=None, first=None, last=None, gzip=False, bzip2=False, single=True)
+@command(check=_check_table, keys=None, skip=None, output=None, force=False, header=False, pretty=False, commify=False, delimiter=None, first=None, last=None, gzip=False, bzip2=False, single=None)
 def write_table(
-    df: DataFrame, keys=None, skip=None, output=None, force=False, header=False, pretty=False, commify=False, delimiter=None, first=None, last=None, gzip=False, bzip2=False, single=True
+    df: DataFrame, keys=None, skip=None, output=None, force=False, header=False, pretty=False, commify=False, delimiter=None, first=None, last=None, gzip=False, bzip2=False, single=None
 ) -> DataFrame:
     """Values as delimited lines, or as a boxed table for reading (``pretty``, with thousands separators by ``commify``).
 
-    Records without any of the columns aren't written. All are written to ``output``; without it lines are
-    printed, no more than 1000, or 10,000 in a box.
+    Records without any of the columns aren't written. All others are written to ``output``, or printed without it.
     """
     names = _headings(df, keys, skip)
     if not names:
@@ -131,16 +136,17 @@ def write_table(
         boxed = rows.select(*[ORD] * (ORD in df.columns), *[f"`{n}`" for n in names])
         if output:
             with open(output, "w", encoding="utf-8") as f:
-                f.writelines(line + "\n" for line in pretty_table(boxed, names, header, commify, most=None))
+                f.writelines(line + "\n" for line in pretty_table(boxed, names, header, commify))
         else:
-            print("\n".join(pretty_table(boxed, names, header, commify)))
+            for line in pretty_table(boxed, names, header, commify):
+                print(line)
         return df
     joined = F.concat_ws(delimiter or "\t", *[F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names])
     lines = rows.select(*[ORD] * (ORD in df.columns), joined.alias("value"))
     title = "#" + (delimiter or "\t").join(names)
     if not output:
-        shown = (lines.orderBy(ORD) if ORD in lines.columns else lines).limit(1000).toLocalIterator()
-        print("\n".join([title] * header + [r.value for r in shown]))
+        for line in itertools.chain([title] * header, (r.value for r in (lines.orderBy(ORD) if ORD in lines.columns else lines).toLocalIterator())):
+            print(line)
         return df
     if header:
         top = df.sparkSession.createDataFrame([(-1, title)], f"{ORD} long, value string")
@@ -149,13 +155,12 @@ def write_table(
     return df
 
 
-def pretty_table(df: DataFrame, names: list[str], header: bool = True, commify: bool = False, most: int | None = 10_000) -> Iterator[str]:
-    """The lines of a boxed table of at most ``most`` records (None: all), numbers to the right.
+def pretty_table(df: DataFrame, names: list[str], header: bool = True, commify: bool = False) -> Iterator[str]:
+    """The lines of a boxed table of all records, numbers to the right.
 
     Records are streamed through a temporary file while the widths are taken, so that the driver holds few at once.
     """
     rows = df.orderBy(ORD) if ORD in df.columns else df
-    rows = rows if most is None else rows.limit(most)
     number = {n: isinstance(df.schema[n].dataType, (T.LongType, T.IntegerType, T.DoubleType, T.FloatType)) for n in names}
     cell = lambda v, n: "" if v is None else f"{v:,}" if commify and number[n] else str(v)
     width = [len(n) if header else 0 for n in names]

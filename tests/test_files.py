@@ -4,6 +4,7 @@ import gzip
 import pytest
 
 from helixframe.pipeline import Pipeline as P
+from helixframe.schema import DataError
 from helixframe.sinks.text import newick
 
 
@@ -96,6 +97,20 @@ def test_boxed_tables_hold_every_record(spark, tmp_path):
     assert lines[0] == lines[-1] == "+-------+--------+"
 
 
+def test_files_that_the_driver_does_not_see_and_drawings_that_are_too_large_are_errors(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(0, 1, "a"), (1, 3, "b")], "__ord long, LEN long, value string")
+    P().write_table(output=str(tmp_path / "parts"), single=False).run(df)
+    assert (tmp_path / "parts" / "_SUCCESS").exists()
+    monkeypatch.setattr("helixframe.sinks.text.os.path.exists", lambda p: False)
+    with pytest.raises(DataError, match="see"):
+        P().write_table(output=str(tmp_path / "one"), keys="LEN").run(df)
+    monkeypatch.undo()
+    with pytest.raises(DataError, match="more than 2"):
+        P().plot_histogram(key="LEN", most=2).run(df)
+    with pytest.raises(DataError, match="reaches"):
+        P().plot_histogram(key="LEN").run(spark.range(1).selectExpr("1000000000000 AS LEN"))
+
+
 def test_uc(spark, tmp_path):
     f = tmp_path / "x.uc"
     f.write_text("S\t0\t10\t*\t.\t*\t*\t*\tq1\t*\nH\t0\t10\t97.5\t+\t0\t0\t10M\tq2\tq1\nC\t0\t2\t*\t*\t*\t*\t*\tq1\t*\n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import search
 from helixframe.functions import sequence as S
+from helixframe.operators.aggregate import residue_counts
 from helixframe.operators.cluster import greedy_centroids
 from helixframe.operators.external import align_pair
 from helixframe.operators.join import maximal_matches, similar
@@ -154,6 +155,48 @@ def test_search_columns(spark):
     assert [(h.pattern, h.length, h.pos) for h in value(spark, search.homopolymers("s", 3), s="aaccctttt")] == [("CCC", 3, 2), ("TTTT", 4, 5)]
 
 
+def test_genes_end_at_the_next_stop_in_frame():
+    rng = random.Random(14)
+    for _ in range(200):
+        s = "".join(rng.choice("ACGT") for _ in range(rng.randint(3, 120)))
+        want = {}
+        for i in range(len(s) - 2):
+            if s[i : i + 3] in ("ATG", "GTG"):
+                stop = next((e for e in range(i, len(s) - 2, 3) if s[e : e + 3] in ("TAA", "TGA", "TAG")), None)
+                if stop is not None and stop + 3 - i >= 12 and stop not in want:
+                    want[stop] = (i, stop + 2)
+        assert search.genes_of(s, 12) == sorted(want.values())
+
+
+def test_digests_hold_every_residue(spark):
+    s = "cgatcgatcGGATCCgagagggtgtgtagtgGAATTCcgctgc"
+    v = lambda pattern, cut: [(f.begin, f.end, f.seq) for f in value(spark, search.digest("s", pattern, cut), s=s)]
+    assert v("GGATCC", 1) == [(0, 9, "cgatcgatcG"), (10, 42, "GATCCgagagggtgtgtagtgGAATTCcgctgc")]
+    assert v("CGATCG", -1) == [(0, 42, s)] and v("AATTCcgctgc", 15) == [(0, 42, s)]
+    assert [f[2] for f in v("GAATTC", 11)] == [s[:-1], s[-1]]  # a cut before the last residue
+    rng = random.Random(2)
+    for _ in range(200):
+        t = "".join(rng.choice("AC") for _ in range(rng.randint(0, 12)))
+        cut = rng.randint(-3, 5)
+        pieces = search.fragments_of(t, rng.choice(["A", "CA", "AAC"]), cut)
+        assert "".join(t[a:b] for a, b in pieces) == t and all(a < b for a, b in pieces) or not t
+
+
+def test_masks_and_counts_of_odd_sequences(spark):
+    assert value(spark, S.mask("s", "q", 20), s="aT-éG", q="!I!!") == "aT-éG"
+    assert value(spark, S.mask("s", "q", 20, True), s="aT-éGc", q="!I!I") == "NT-ÉGC"
+    assert value(spark, S.mask("s", "q", 20), s=None, q="I") is None and value(spark, S.mask("s", "q", 20), s="", q="") == ""
+    rows = [("acé",), ("aC",), (None,), ("",), ("x" * 5000,)]
+    found = {(r.pos, r.residue): r.n for r in residue_counts(spark.createDataFrame(rows, "SEQ string").repartition(1), block=4).collect()}
+    want = {}
+    for (t,) in rows:
+        for k, c in enumerate((t or "").upper()):
+            want[k, c] = want.get((k, c), 0) + 1
+    assert found == want
+    counts = {r.kmer: r.n for r in S.kmer_counts(spark.createDataFrame([("acgt",), ("acg",), (None,), ("nn",)], "SEQ string"), "SEQ", 3).collect()}
+    assert sorted(counts.values()) == [1, 2]
+
+
 def test_open_reading_frames_are_those_with_the_next_stop_in_frame():
     rng = random.Random(4)
     for _ in range(300):
@@ -270,5 +313,5 @@ def test_assembly_and_alignment(spark):
     ring = spark.createDataFrame([(0, "r", "ACGTTGCA" * 4)], "__ord long, SEQ_NAME string, SEQ string")
     assert P().assemble_seq_spades(kmers="7").run(ring).count() >= 1
     assert align_pair("ACGT", "A-CGGT") in ("A-CG-T", "A-C-GT")
-    genes = P().genecall(size_min=9).run(seqs(spark, ("CCATGCCCTAACC", None))).where("RECORD_TYPE = 'genecall'").collect()
-    assert [(r.S_BEG, r.S_END, r.STRAND, r.SEQ) for r in genes] == [(3, 11, "+", "ATGCCCTAA")]
+    genes = P().genecall(size_min=9).run(seqs(spark, ("CCATGAAATAACC", None))).where("RECORD_TYPE = 'genecall'").collect()
+    assert [(r.S_BEG, r.S_END, r.STRAND, r.SEQ) for r in genes] == [(3, 11, "+", "ATGAAATAA")]
