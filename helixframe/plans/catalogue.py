@@ -102,6 +102,44 @@ def file_order(spark, sf_dir):
     return rows.select("o_orderkey", F.col(ORD).alias("n"))
 
 
+@_query("SELECT SEQ_NAME, SEQ, SEQ_LEN FROM seqs WHERE SEQ_LEN > 0")
+def fasta_read_by_pattern(spark, sf_dir):
+    """Compressed parts, each of them a file that a pattern names."""
+    folder = _folder(spark)
+    Pipeline().write_fasta(output=folder, bzip2=True, single=False).run(sequences(spark, sf_dir).where("SEQ_LEN > 0"))
+    return _named(Pipeline().read_fasta(input=f"{folder}/part-*").run(spark=spark))
+
+
+@_query("""
+, h AS (SELECT ord, SEQ_NAME, SEQ, SCORES, (SEQ_LEN + 1) // 2 AS half FROM seqs WHERE SEQ_LEN > 1)
+SELECT 2 * row_number() OVER (ORDER BY ord) - 2 AS n, SEQ_NAME || '/1' AS SEQ_NAME, left(SEQ, half) AS SEQ, left(SCORES, half) AS SCORES FROM h
+UNION ALL SELECT 2 * row_number() OVER (ORDER BY ord) - 1, SEQ_NAME || '/2', reverse(translate(right(SEQ, half), 'acgt', 'tgca')), reverse(right(SCORES, half)) FROM h""")
+def fastq_mates(spark, sf_dir):
+    """Mates of two files, one after the other, the second ones turned."""
+    folder = _folder(spark)
+    half = F.floor((F.col("SEQ_LEN") + 1) / 2).cast("int")
+    seqs = sequences(spark, sf_dir).where("SEQ_LEN > 1")
+    for k, at in ((1, F.lit(1)), (2, F.length("SEQ") - half + 1)):
+        mates = seqs.select(ORD, F.concat("SEQ_NAME", F.lit(f"/{k}")).alias("SEQ_NAME"), *[F.substring(F.col(c), at, half).alias(c) for c in ("SEQ", "SCORES")])
+        Pipeline().write_fastq(output=f"{folder}/{k}", single=False).run(mates)
+    rows = Pipeline().read_fastq(input=f"{folder}/1", input2=f"{folder}/2", encoding="base_33", reverse_complement=True).run(spark=spark)
+    return rows.select(F.col(ORD).alias("n"), "SEQ_NAME", "SEQ", "SCORES")
+
+
+@_query("""
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS n, CASE event_type WHEN 'click' THEN 'H' WHEN 'view' THEN 'C' ELSE 'S' END AS "TYPE", user_id AS "CLUSTER", CASE event_type WHEN 'view' THEN event_id END AS "CLUSTER_SIZE",
+  CASE event_type WHEN 'view' THEN NULL ELSE event_id END AS "SEQ_LEN", CASE event_type WHEN 'click' THEN 97.5::DOUBLE END AS "IDENT", CASE event_type WHEN 'view' THEN NULL ELSE '+' END AS "STRAND", 'Q' || event_id AS "Q_ID", CASE event_type WHEN 'click' THEN 'S' || user_id END AS "S_ID" FROM events""")
+def uc_read(spark, sf_dir):
+    """Lines of the .uc format, made of events."""
+    folder = _folder(spark)
+    kind = F.when(F.col("event_type") == "click", "H").when(F.col("event_type") == "view", "C").otherwise("S")
+    hit, text = F.col("event_type") == "click", lambda c: F.col(c).cast("string")
+    fields = [kind, text("user_id"), text("event_id"), F.when(hit, "97.5").otherwise("*"), F.lit("+"), F.lit("0"), F.lit("0"), F.lit("*"), F.concat(F.lit("Q"), text("event_id")), F.when(hit, F.concat(F.lit("S"), text("user_id"))).otherwise("*")]
+    _table(spark, sf_dir, "events").orderBy("event_id").select(F.concat_ws("\t", *fields).alias("value")).write.text(folder)
+    rows = Pipeline().read_uc(input=folder).run(spark=spark)
+    return rows.select(F.col(ORD).alias("n"), "TYPE", "CLUSTER", "CLUSTER_SIZE", "SEQ_LEN", "IDENT", "STRAND", "Q_ID", "S_ID")
+
+
 @_query("SELECT event_id, user_id FROM events WHERE event_type IN ('click', 'view')")
 def select_file(spark, sf_dir):
     """Exact values from a file that another operator wrote."""
@@ -238,6 +276,12 @@ def degap_columns(spark, sf_dir):
     return Pipeline().degap_seq(columns_only=True).run(orders)
 
 
+@_query("SELECT o_orderkey, substr(lpad(o_orderkey::VARCHAR, 12, '-'), 5, 7) AS SEQ, 7::BIGINT AS SEQ_LEN FROM orders")
+def slice_align(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 12, "-").alias("SEQ"))
+    return Pipeline().slice_align(start=4, stop=10).run(orders)
+
+
 _MASKED = "SELECT SEQ_NAME, array_to_string([CASE WHEN ascii(SCORES[i]) - 33 < 20 THEN {low} ELSE upper(SEQ[i]) END FOR i IN range(1, SEQ_LEN + 1)], '') AS SEQ FROM seqs"
 
 
@@ -304,6 +348,28 @@ def trim_primer_exact(spark, sf_dir):
     return Pipeline().trim_primer(primer="gtac", direction="forward", overlap_min=2).run(sequences(spark, sf_dir)).select("SEQ_NAME", "SEQ", "TRIM_PRIMER_LEN")
 
 
+@_query(f"""
+, p AS (SELECT *, list_min([i FOR i IN range(1, SEQ_LEN - 8) IF hamming(substr(SEQ, i, 10), 'gtaccgatcg') <= 2]) AS i FROM seqs)
+SELECT SEQ_NAME, CASE WHEN i > 0 THEN substr(SEQ, 1, i - 1) ELSE SEQ END AS SEQ, CASE WHEN i > 0 THEN i - 1 ELSE SEQ_LEN END AS SEQ_LEN, i - 1 AS "CLIP_PRIMER_POS", substr(SEQ, i, 10) AS "CLIP_PRIMER_PAT" FROM p""")
+def clip_primer_mismatches(spark, sf_dir):
+    """What comes before the first place that differs from a primer in a fifth of it at most."""
+    found = Pipeline().clip_primer(primer="gtaccgatcg", direction="reverse", mismatch_percent=20).run(sequences(spark, sf_dir))
+    return found.select("SEQ_NAME", "SEQ", "SEQ_LEN", "CLIP_PRIMER_POS", "CLIP_PRIMER_PAT")
+
+
+#: Length of a primer's part and the mismatches that are a quarter of it, rounded.
+_TRIM = "gtaccgat"
+_TRIM_PARTS = [(n, int(n / 4 + 0.5)) for n in range(len(_TRIM), 3, -1)]
+
+
+@_query(f"""
+, p AS (SELECT *, CASE {" ".join(f"WHEN SEQ_LEN >= {n} AND hamming(left(SEQ, {n}), '{_TRIM[-n:]}') <= {e} THEN {n}" for n, e in _TRIM_PARTS)} END::BIGINT AS n FROM (SELECT SEQ_NAME, SEQ_LEN, rpad(SEQ, greatest(8, SEQ_LEN)::INTEGER, ' ') AS SEQ FROM seqs))
+SELECT SEQ_NAME, rtrim(substr(SEQ, coalesce(n, 0) + 1)) AS SEQ, n AS "TRIM_PRIMER_LEN", left(SEQ, n) AS "TRIM_PRIMER_PAT" FROM p""")
+def trim_primer_mismatches(spark, sf_dir):
+    found = Pipeline().trim_primer(primer=_TRIM, direction="forward", overlap_min=4, mismatch_percent=25).run(sequences(spark, sf_dir))
+    return found.select("SEQ_NAME", "SEQ", "TRIM_PRIMER_LEN", "TRIM_PRIMER_PAT")
+
+
 # --- joins and aggregations
 
 
@@ -380,6 +446,13 @@ def residue_distribution_percent(spark, sf_dir):
     return _distribution(spark, sf_dir, percent=True)
 
 
+@_query(""", p AS (SELECT unnest(range(SEQ_LEN)) AS pos, upper(SEQ) AS s FROM seqs), c AS (SELECT pos, s[pos + 1] AS residue, count(*) AS n FROM p GROUP BY ALL)
+SELECT pos, residue, 100.0::DOUBLE * n / sum(n) OVER (PARTITION BY pos) AS percent, 100.0::DOUBLE * sum(n) OVER (PARTITION BY pos) / (SELECT count(*) FROM seqs) AS depth FROM c""")
+def residue_plot(spark, sf_dir):
+    """What the plot of residues draws."""
+    return plots.residue_distribution(sequences(spark, sf_dir)).withColumn("pos", F.col("pos").cast("long"))
+
+
 @_query("SELECT l_linenumber::BIGINT AS key, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT 0, 0")
 def histogram_count(spark, sf_dir):
     return plots.histogram(_table(spark, sf_dir, "lineitem"), "l_linenumber")
@@ -498,6 +571,13 @@ def homopolymers(spark, sf_dir):
     return sequences(spark, sf_dir).select("SEQ_NAME", F.explode(search.homopolymers("SEQ", 4)).alias("h")).select("SEQ_NAME", "h.*")
 
 
+@_query("""
+, p AS (SELECT SEQ_NAME, SEQ, unnest([i FOR i IN range(1, SEQ_LEN - 10) IF hamming(substr(SEQ, i, 12), 'gtaccgatcgta') <= 3]) AS i FROM seqs WHERE SEQ_LEN >= 12)
+SELECT SEQ_NAME, (i - 1)::INTEGER AS pos, 12 AS length, substr(SEQ, i, 12) AS match FROM p""")
+def patscan_mismatches(spark, sf_dir):
+    return sequences(spark, sf_dir).select("SEQ_NAME", F.explode(search.patscan("SEQ", "gtaccgatcgta", 3)).alias("m")).select("SEQ_NAME", "m.*")
+
+
 @_query()
 def patscan_fuzzy(spark, sf_dir):
     return sequences(spark, sf_dir).select("SEQ_NAME", search.patmatch("SEQ", "gtaccgatcgtaag", 2, 1, 1).alias("m")).select("SEQ_NAME", "m.*")
@@ -558,20 +638,48 @@ def _taxa(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", taxon.alias("SEQ_NAME"), seq.alias("SEQ"))
 
 
-@_query()
+_AS_NODE = "regexp_replace({}, '[^A-Za-z0-9]+', '_', 'g')"
+_TAXA = f"""
+WITH taxa AS (SELECT [{", ".join(map(_AS_NODE.format, ("p_brand", "p_type", "p_name")))}] AS names, translate(regexp_replace(lower(p_name || p_type || p_brand), '[^a-z]', '', 'g'), '{_LETTERS}', '{_AS_DNA}') AS s FROM part),
+steps AS (SELECT s, names, unnest(range(0, 4)) AS depth FROM taxa),
+node_kmers AS (SELECT DISTINCT depth, array_to_string(names[1:depth], ';') AS path, unnest([substr(s, i, 8) FOR i IN range(1, length(s) - 6)]) AS k FROM steps) """
+
+
+@_query(f"""{_TAXA}, nodes AS (SELECT depth, array_to_string(names[1:depth], ';') AS path, CASE depth WHEN 0 THEN 'R' ELSE 'KPC'[depth] END AS level, CASE depth WHEN 0 THEN 'root' ELSE names[depth] END AS name,
+  CASE WHEN depth < 2 THEN '' ELSE array_to_string(names[1:depth - 1], ';') END AS parent, min('K#' || names[1] || ';P#' || names[2] || ';C#' || names[3] || ';O#;F#;G#;S#') AS seq_id FROM steps GROUP BY ALL)
+SELECT path, nodes.depth::INTEGER AS depth, level, name, parent, seq_id, kmers FROM nodes LEFT JOIN (SELECT path, count(*) AS kmers FROM node_kmers GROUP BY path) USING (path)""")
 def index_taxonomy(spark, sf_dir):
     nodes, kmers = taxonomy.build_index(_taxa(spark, sf_dir), 8)
     return nodes.join(kmers.groupBy("path").agg(F.count("*").alias("kmers")), "path", "left")
 
 
-@_query()
+@_query(f"""{_TAXA}, asked AS (SELECT s, unnest(list_distinct([substr(s, i, 8) FOR i IN range(1, length(s) - 6)])) AS k FROM (SELECT DISTINCT s FROM taxa)),
+sizes AS (SELECT s, count(*) AS n FROM asked GROUP BY s),
+shared AS (SELECT s, depth, path, count(*) AS common FROM asked JOIN node_kmers USING (k) GROUP BY ALL),
+enough AS (SELECT s, depth, path, common FROM shared JOIN sizes USING (s) WHERE common >= n * 0.9::DOUBLE),
+best AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY s ORDER BY depth DESC, common DESC) AS place FROM enough) WHERE place = 1 QUALIFY row_number() OVER (PARTITION BY s ORDER BY path) <= 50),
+hits AS (SELECT s, count(*) AS hits FROM best GROUP BY s),
+levels AS (SELECT s, unnest(range(depth)) AS level, string_split(path, ';') AS names FROM best),
+words AS (SELECT s, level, unnest(range(len(string_split(names[level + 1], '_')))) AS pos, string_split(names[level + 1], '_') AS w FROM levels),
+counted AS (SELECT s, level, pos, w[pos + 1] AS word, count(*) AS c FROM words GROUP BY ALL),
+agreed AS (SELECT s, level, string_agg(word, ' ' ORDER BY pos, c DESC, word) AS names, string_agg((100 * c // hits)::VARCHAR, '/' ORDER BY pos, c DESC, word) AS percents FROM counted JOIN hits USING (s) WHERE c >= hits * 0.51::DOUBLE GROUP BY s, level),
+unbroken AS (SELECT * FROM agreed QUALIFY level = row_number() OVER (PARTITION BY s ORDER BY level) - 1),
+texts AS (SELECT s, string_agg('KPC'[level + 1] || '#' || names || '(' || percents || ')', ';' ORDER BY level) AS t FROM unbroken GROUP BY s)
+SELECT d.s AS seq, coalesce(t, 'Unclassified') AS "TAXONOMY", coalesce(hits, 0) AS "TAXONOMY_HITS" FROM (SELECT DISTINCT s FROM taxa) d LEFT JOIN hits USING (s) LEFT JOIN texts USING (s)""")
 def classify_seq(spark, sf_dir):
     taxa = _taxa(spark, sf_dir)
     _, kmers = taxonomy.build_index(taxa, 8)
     return taxonomy.classify(taxa.select(F.col("SEQ").alias("seq")), kmers, 8)
 
 
-@_query()
+_ITEMS = f"(SELECT item_id, 'B' || item_id AS name, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{_LETTERS}', '{_AS_DNA}') AS s FROM benchmark)"
+
+
+@_query(f"""
+, q AS (SELECT item_id, unnest(range(length(s) - 59)) AS q_pos, s FROM {_ITEMS} WHERE length(s) >= 60), d AS (SELECT ord, unnest(range(SEQ_LEN - 59)) AS s_pos, SEQ AS s FROM seqs WHERE SEQ_LEN >= 60),
+seeds AS (SELECT item_id, ord, q_pos, s_pos - q_pos AS diagonal FROM (SELECT item_id, q_pos, substr(s, q_pos + 1, 60) AS k FROM q) JOIN (SELECT ord, s_pos, substr(s, s_pos + 1, 60) AS k FROM d) USING (k)),
+islands AS (SELECT *, q_pos - row_number() OVER (PARTITION BY item_id, ord, diagonal ORDER BY q_pos) AS island FROM seeds)
+SELECT item_id AS q_id, ord AS s_id, 'forward' AS dir, min(q_pos)::INTEGER AS q_beg, (min(q_pos) + diagonal)::INTEGER AS s_beg, count(*) + 59 AS hit_len FROM islands GROUP BY item_id, ord, diagonal, island""")
 def maximal_exact_matches(spark, sf_dir):
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _AS_DNA).alias("seq"))
     documents = sequences(spark, sf_dir).select(F.col(ORD).alias("id"), F.col("SEQ").alias("seq"))
@@ -590,12 +698,15 @@ def _items(spark, sf_dir):
 
 
 def _mutated(spark, sf_dir):
-    """The same with a residue near the end replaced."""
+    """The same with a residue near the end replaced, where there are ten at least."""
     changed = F.concat(F.expr("substring(SEQ, 1, length(SEQ) - 3)"), F.lit("n"), F.expr("right(SEQ, 2)"))
-    return _items(spark, sf_dir).where(F.length("SEQ") >= 10).withColumn("SEQ", changed).withColumn("SEQ_NAME", F.concat(F.lit("M"), "SEQ_NAME"))
+    return _items(spark, sf_dir).withColumn("SEQ", F.when(F.length("SEQ") >= 10, changed).otherwise(F.col("SEQ"))).withColumn("SEQ_NAME", F.concat(F.lit("M"), "SEQ_NAME"))
 
 
-@_query()
+@_query(f"""
+WITH q AS (SELECT 'M' || name AS q_id, CASE WHEN length(s) >= 10 THEN left(s, -3) || 'n' || right(s, 2) ELSE s END AS q FROM {_ITEMS} WHERE s <> ''),
+pairs AS (SELECT q_id, q, name, 1 - levenshtein(q, s)::DOUBLE / greatest(length(q), length(s)) AS ident FROM q JOIN {_ITEMS} ON length(s) BETWEEN 0.8 * length(q) AND 1.25 * length(q))
+SELECT q_id AS "Q_ID", name AS "S_ID", round(100 * ident, 1) AS "IDENT", '+' AS "STRAND", length(q) AS "SEQ_LEN" FROM pairs WHERE ident >= 0.9::DOUBLE QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY ident DESC, name) = 1""")
 def usearch_global(spark, sf_dir):
     out = Pipeline().usearch_global(database=_items(spark, sf_dir), identity=0.9).run(_mutated(spark, sf_dir))
     return out.where("RECORD_TYPE = 'usearch'").select("Q_ID", "S_ID", "IDENT", "STRAND", "SEQ_LEN")
@@ -603,7 +714,7 @@ def usearch_global(spark, sf_dir):
 
 @_query()
 def usearch_local(spark, sf_dir):
-    part = _items(spark, sf_dir).where(F.length("SEQ") >= 40).withColumn("SEQ", F.expr("substring(SEQ, 11, length(SEQ) - 20)"))
+    part = _items(spark, sf_dir).withColumn("SEQ", F.expr("if(length(SEQ) >= 40, substring(SEQ, 11, length(SEQ) - 20), SEQ)"))
     out = Pipeline().usearch_local(database=_items(spark, sf_dir), identity=0.9, strand="both").run(part)
     return out.where("RECORD_TYPE = 'usearch'").select("Q_ID", "S_ID", "IDENT", "STRAND", "SEQ_LEN")
 
@@ -614,7 +725,12 @@ def cluster_otus(spark, sf_dir):
     return _named(Pipeline().dereplicate_seq().cluster_otus(identity=0.95).run(both))
 
 
-@_query()
+@_query(f"""
+, refs AS (SELECT s FROM {_ITEMS} UNION ALL SELECT reverse(translate(s, 'acgt', 'tgca')) FROM {_ITEMS}),
+known AS (SELECT DISTINCT unnest([substr(s, i, 12) FOR i IN range(1, length(s) - 10)]) AS k FROM refs),
+mine AS (SELECT SEQ, unnest(list_distinct([substr(SEQ, i, 12) FOR i IN range(1, SEQ_LEN - 10)])) AS k FROM (SELECT DISTINCT SEQ, SEQ_LEN FROM seqs)),
+near AS (SELECT SEQ FROM mine LEFT JOIN known USING (k) GROUP BY SEQ HAVING count(known.k) >= 0.2::DOUBLE * count(*))
+SELECT SEQ_NAME, SEQ_LEN FROM seqs WHERE SEQ NOT IN (SELECT SEQ FROM near)""")
 def filter_rrna(spark, sf_dir):
     """The documents that share few k-mers with the benchmark passages."""
     return Pipeline().filter_rrna(ref_fasta=_items(spark, sf_dir), shared=0.2).run(sequences(spark, sf_dir)).select("SEQ_NAME", "SEQ_LEN")
