@@ -43,6 +43,16 @@ def test_fasta_round_trip(spark, fasta, tmp_path, kind, opener):
     assert records(P().read_fasta(input=out).run(spark=spark), "SEQ") == records(df, "SEQ")
 
 
+@pytest.mark.parametrize("opener,name", [(gzip.open, "a.fasta"), (bz2.open, "a"), (gzip.open, "a.bz2"), (open, "a.gz")])
+def test_compression_is_told_by_content(spark, tmp_path, opener, name):
+    with opener(tmp_path / name, "wt") as f:
+        f.write("".join(f">s{i}\nAC\nGT\n" for i in range(200_000)))
+    (tmp_path / "z.fasta").write_text(">last\nA\n")
+    rows = P().read_fasta(input=[str(tmp_path / name), str(tmp_path / "z.fasta")]).run(spark=spark)
+    assert [r[0] for r in records(rows, "SEQ_NAME")] == [*(f"s{i}" for i in range(200_000)), "last"]
+    assert {r[0] for r in records(rows, "SEQ")} == {"ACGT", "A"}
+
+
 def test_fastq(spark, tmp_path):
     one, two = tmp_path / "1.fq", tmp_path / "2.fq"
     one.write_text("@a/1\nATCG\n+\n!IJ@\n@b/1\nGG\n+b/1\n@I\n")
