@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import options as O
+from ..functions import search
+from ..functions import sequence as S
 from ..pipeline import command
 from ..schema import DataError, checkpointed, has, mixed, order_columns
 from .join import similar
@@ -53,24 +55,42 @@ def _ranked(df: DataFrame, order: list) -> DataFrame:
     return first.select(F.xxhash64("seq").alias("id"), "seq", "rank")
 
 
+def _aligned(found: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(id, __aligned): each sequence laid over its centroid, with room for what any of the cluster has between its places."""
+    centre = seqs.select(F.col("id").alias("centroid"), F.col("seq").alias("centre"))
+    pairs = found.join(seqs.select("id", "seq"), "id").join(centre, "centroid")
+    turned = F.when(F.col("strand") == "-", S.reverse_complement("seq")).otherwise(F.col("seq"))
+    laid = checkpointed(pairs.select("id", "centroid", search.laid_over(turned, "centre").alias("l")).select("id", "centroid", "l.*"))
+    room = laid.select("centroid", F.explode("runs").alias("at", "run")).groupBy("centroid", "at").agg(F.max(F.length("run")).alias("room"))
+    rooms = room.groupBy("centroid").agg(F.map_from_entries(F.collect_list(F.struct("at", "room"))).alias("rooms"))  # no more than the centroid's places
+    before = lambda p: F.rpad(F.coalesce(F.try_element_at("runs", p), F.lit("")), F.coalesce(F.try_element_at("rooms", p), F.lit(0)), F.lit("-"))
+    whole = S.let(S.letters("columns"), lambda c: F.transform(F.sequence(F.lit(0), F.size(c)), lambda p: F.concat(before(p), F.coalesce(F.try_element_at(c, p + 1), F.lit("")))))
+    return laid.join(rooms, "centroid", "left").select("id", F.array_join(whole, "").alias("__aligned"))
+
+
 @command(check=_check_uclust, identity=None, strand="plus", align=False, cpus=1, kmer_size=8, order_by=None)
 def uclust(df: DataFrame, identity: float, strand: str = "plus", align: bool = False, cpus: int = 1, kmer_size: int = 8, order_by=None) -> DataFrame:
     """Adds CLUSTER, TYPE (S for centroids, else H), IDENT and STRAND to sequences; a native greedy clustering.
 
-    Clusters are numbered by the order of their centroids. ``align`` isn't offered.
+    Clusters are numbered by the order of their centroids. With ``align`` SEQ becomes the sequence in upper case, on its
+    centroid's strand and with gaps, as long as all of its cluster.
     """
     if not has(df, "SEQ"):
         return df
-    if align:
-        raise DataError("clusters can't be aligned natively")
     order = [F.col(f"`{c}`") for c in order_columns(df, order_by)]
     seqs = checkpointed(_ranked(df, order))
     found = greedy_centroids(seqs, identity, strand, kmer_size)
     heads = found.where("id = centroid").join(seqs, "id").select(F.col("id").alias("centroid"), (F.row_number().over(Window.orderBy("rank")) - 1).cast("long").alias("CLUSTER"))
     rows = found.join(heads, "centroid").join(seqs.select("id", "seq"), "id")
     kind = F.when(F.col("id") == F.col("centroid"), "S").otherwise("H").alias("TYPE")
-    rows = rows.select(F.col("seq").alias("__seq"), "CLUSTER", kind, F.round(100 * F.col("ident"), 1).alias("IDENT"), F.col("strand").alias("STRAND"))
-    return df.drop("CLUSTER", "TYPE", "IDENT", "STRAND").withColumn("__s", F.upper("SEQ")).join(rows, F.col("__s") == F.col("__seq"), "left").drop("__s", "__seq")
+    extra = []
+    if align:
+        rows, extra = rows.join(_aligned(found, seqs), "id"), ["__aligned"]
+    rows = rows.select(*extra, F.col("seq").alias("__seq"), "CLUSTER", kind, F.round(100 * F.col("ident"), 1).alias("IDENT"), F.col("strand").alias("STRAND"))
+    out = df.drop("CLUSTER", "TYPE", "IDENT", "STRAND").withColumn("__s", F.upper("SEQ")).join(rows, F.col("__s") == F.col("__seq"), "left").drop("__s", "__seq")
+    if align:
+        out = out.withColumn("SEQ", F.coalesce("__aligned", "SEQ")).withColumn("SEQ_LEN", F.length("SEQ").cast("long")).drop("__aligned")
+    return out
 
 
 def _check_cluster(o: dict) -> None:

@@ -109,28 +109,11 @@ def align_pair(query: str, template: str) -> str:
     Global alignment to the template without its gaps (match 1, mismatch -1, gap -2); residues between two columns of the
     template are left out, so that all sequences aligned to it are equally long.
     """
-    import numpy as np
-
     places = [i for i, c in enumerate(template) if c not in ".-_~"]
-    t = np.frombuffer("".join(template[i] for i in places).upper().encode("latin-1", "replace"), np.uint8)
-    q = np.frombuffer(query.upper().encode("latin-1", "replace"), np.uint8)
-    score = np.zeros((len(q) + 1, len(t) + 1), np.int32)
-    score[0], score[:, 0] = -2 * np.arange(len(t) + 1), -2 * np.arange(len(q) + 1)
-    along = 2 * np.arange(len(t) + 1)
-    for i in range(1, len(q) + 1):
-        diagonal = score[i - 1, :-1] + np.where(t == q[i - 1], 1, -1)
-        best = np.concatenate(([score[i, 0]], np.maximum(diagonal, score[i - 1, 1:] - 2)))
-        score[i] = np.maximum.accumulate(best + along) - along
     out = ["-" if c not in ".-_~" else c for c in template]
-    i, j = len(q), len(t)
-    while i and j:
-        if score[i, j] == score[i - 1, j - 1] + (1 if q[i - 1] == t[j - 1] else -1):
-            out[places[j - 1]] = query[i - 1]
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] - 2:
-            i -= 1
-        else:
-            j -= 1
+    for i, j, paired in search.alignment_path(query, "".join(template[p] for p in places)):
+        if paired:
+            out[places[j]] = query[i]
     return "".join(out)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import options as O
+from ..functions import search
 from ..functions import sequence as S
 from ..pipeline import command
 from ..schema import DataError, mixed, sequence_records
@@ -56,8 +57,8 @@ def similar(queries: DataFrame, targets: DataFrame, identity: float, size: int =
     them into at most e + 1 runs that stay whole, so that it shares a k-mer of k = n / (e + 1) residues (``size`` at most) with each
     similar target; residues are of any alphabet. Pairs that share enough k-mers are found by joining them. Queries for which k
     is below ``LEAST_KMER``, unless no edit is allowed, are compared with all targets of a length that fits. All pairs are then
-    verified: identity is 1 less edit distance by the greater length, or for ``local`` by the length of the query, which may
-    lie within the target.
+    verified: identity is 1 less edit distance by the greater length, or for ``local`` 1 less the fewest edits between the query
+    and any stretch of the target, by the length of the query.
     """
     turned = queries.withColumn("strand", F.lit("+"))
     if strand == "both":
@@ -89,12 +90,11 @@ def similar(queries: DataFrame, targets: DataFrame, identity: float, size: int =
         # each edit can cost as many k-mers as one has residues
         found = found.union(both.where(near & (F.col("common") >= F.greatest(F.lit(1), F.col("n") - edits * width))).select(*pairs))
     distance = F.levenshtein("q", "s")
-    if local:
-        spare = F.greatest(m - n, F.lit(0))
-        ident = 1 - (distance - spare) / n
+    if local:  # the rest of the target costs its residues, and up to as many more as there are edits
+        found = found.where(distance - F.greatest(m - n, F.lit(0)) <= 2 * allowed(n)).withColumn("ident", 1 - search.fitting_distance("q", "s") / n)
     else:
-        ident = 1 - distance / F.greatest(n, m)
-    return found.withColumn("ident", ident).where(F.col("ident") >= identity).select("q_id", "q", "s_id", "s", "ident", "strand")
+        found = found.withColumn("ident", 1 - distance / F.greatest(n, m))
+    return found.where(F.col("ident") >= identity - 1e-9).select("q_id", "q", "s_id", "s", "ident", "strand")
 
 
 def _check_search(o: dict) -> None:
@@ -127,7 +127,7 @@ def usearch_global(df: DataFrame, database, identity: float, strand: str = "plus
 
 @command(check=_check_search, database=None, identity=None, strand="plus", cpus=1, kmer_size=8)
 def usearch_local(df: DataFrame, database, identity: float, strand: str = "plus", cpus: int = 1, kmer_size: int = 8) -> DataFrame:
-    """Appends a hit record for the most similar database sequence that each sequence may lie within."""
+    """Appends a hit record for the database sequence with the stretch that is most similar to each whole sequence."""
     return _search(df, database, identity, strand, True, kmer_size)
 
 

@@ -691,6 +691,13 @@ def uclust(spark, sf_dir):
     return _named(Pipeline().uclust(identity=0.9).run(_items(spark, sf_dir)))
 
 
+@_query()
+def uclust_align(spark, sf_dir):
+    """Clusters of the passages and of the same with a residue replaced, aligned."""
+    both = _items(spark, sf_dir).unionByName(_mutated(spark, sf_dir).withColumn(ORD, F.col(ORD) + (1 << 40)))
+    return _named(Pipeline().uclust(identity=0.9, align=True).run(both))
+
+
 def _items(spark, sf_dir):
     """The benchmark passages as sequences."""
     seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), _LETTERS, _AS_DNA)
@@ -753,11 +760,24 @@ def classify_seq_mothur(spark, sf_dir):
     return found.select("SEQ_NAME", "TAXONOMY")
 
 
+def _reads(spark, sf_dir):
+    """Overlapping reads of the benchmark passages; assemblers take them by their own lengths of k-mers."""
+    return _items(spark, sf_dir).select("SEQ_NAME", F.explode(S.naive_kmers("SEQ", 60, 10)).alias("SEQ"))
+
+
 @_query()
 def assemble_seq(spark, sf_dir):
-    """The benchmark passages from overlapping reads, by the operator's own lengths of k-mers."""
-    reads = _items(spark, sf_dir).select("SEQ_NAME", F.explode(S.naive_kmers("SEQ", 60, 10)).alias("SEQ"))
-    return Pipeline().assemble_seq_spades().run(reads)
+    return Pipeline().assemble_seq_spades().run(_reads(spark, sf_dir))
+
+
+@_query()
+def assemble_seq_idba(spark, sf_dir):
+    return Pipeline().assemble_seq_idba().run(_reads(spark, sf_dir))
+
+
+@_query()
+def assemble_seq_ray(spark, sf_dir):
+    return Pipeline().assemble_seq_ray().run(_reads(spark, sf_dir))
 
 
 @_query("SELECT event_id, user_id, CASE WHEN event_type = 'click' THEN 'forward' ELSE 'reverse' END AS dir FROM events WHERE event_type IN ('click', 'view')")

@@ -41,7 +41,7 @@ def test_query_matches_sql(spark, oracle, name):
     assert rows(got, columns) == rows(want, columns)
 
 
-@pytest.mark.parametrize("name", ["patscan_fuzzy", "usearch_global", "maximal_exact_matches"])
+@pytest.mark.parametrize("name", ["patscan_fuzzy", "usearch_local", "uclust_align"])
 def test_other_queries_run(spark, name):
     got = catalogue.queries()[name](spark, TABLES).toPandas()
     assert len(got.columns) and not any(isinstance(v, float) and math.isinf(v) for r in got.itertuples(index=False) for v in r)

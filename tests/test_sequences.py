@@ -277,13 +277,13 @@ def test_no_sequence_stays_undecided(spark):
         greedy_centroids(df, 0.9, rounds=2)
 
 
-def plain_distance(a, b):
-    row = list(range(len(b) + 1))
+def plain_distance(a, b, anywhere=False):
+    row = [0] * (len(b) + 1) if anywhere else list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
+    return min(row) if anywhere else row[-1]
 
 
 @pytest.mark.parametrize("identity", [0.5, 0.8, 0.9, 1.0])
@@ -301,8 +301,21 @@ def test_similar_pairs_are_those_of_brute_force(spark, identity, letters):
     q, s = spark.createDataFrame(rows, "q_id long, q string"), spark.createDataFrame(rows, "s_id long, s string")
     got = [(r.q_id, r.s_id) for r in similar(q, s, identity).collect()]
     assert sorted(got) == [(i, j) for i, a in rows for j, b in rows if 1 - plain_distance(a, b) / max(len(a), len(b)) >= identity]
-    within = {(r.q_id, r.s_id) for r in similar(q, s, identity, local=True).collect()}
-    assert {(i, j) for i, a in rows for j, b in rows if a in b} <= within
+    within = {(r.q_id, r.s_id): r.ident for r in similar(q, s, identity, local=True).collect()}
+    fits = {(i, j): 1 - fewest / len(a) for i, a in rows for j, b in rows if 1 - (fewest := plain_distance(a, b, anywhere=True)) / len(a) >= identity - 1e-9}
+    assert within == pytest.approx(fits)
+
+
+def test_aligned_clusters_keep_every_residue(spark):
+    given = ["ACGTACGTACGTACGTACGT", "ACGTACGTTACGTACGTACGT", "ACGTACGTACGTACGTACG", "GGACGTACGTACGTACGTACGT", "TTTTTTTTTTTTTTTTTTTT", "AAAATTTTTTTTTTTTTTTTTTTT"[4:] + "C"]
+    df = spark.createDataFrame([(i, f"s{i}", s, len(s)) for i, s in enumerate(given)], "__ord long, SEQ_NAME string, SEQ string, SEQ_LEN long")
+    rows = P().uclust(identity=0.85, align=True).run(df).orderBy("__ord").collect()
+    assert [r.SEQ.replace("-", "") for r in rows] == given
+    assert [r.CLUSTER for r in rows] == [0, 0, 0, 0, 1, 1]
+    assert {r.CLUSTER: r.SEQ_LEN for r in rows} == {0: 23, 1: 21} and all(len(r.SEQ) == r.SEQ_LEN for r in rows)
+    turned = spark.createDataFrame([(0, "a", "AACCGTTTACGATTACAGGA"), (1, "b", S.A.reverse_complement("AACCGTTACGATTACAGGA"))], "__ord long, SEQ_NAME string, SEQ string")
+    both = P().uclust(identity=0.9, strand="both", align=True).run(turned).orderBy("__ord").collect()
+    assert [r.STRAND for r in both] == ["+", "-"] and both[1].SEQ.replace("-", "") == "AACCGTTACGATTACAGGA" and len(both[1].SEQ) == 20
 
 
 def test_assembly_and_alignment(spark):
