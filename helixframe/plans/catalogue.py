@@ -775,11 +775,6 @@ def assemble_seq_idba(spark, sf_dir):
     return Pipeline().assemble_seq_idba().run(_reads(spark, sf_dir))
 
 
-@_query()
-def assemble_seq_ray(spark, sf_dir):
-    return Pipeline().assemble_seq_ray().run(_reads(spark, sf_dir))
-
-
 @_query("SELECT event_id, user_id, CASE WHEN event_type = 'click' THEN 'forward' ELSE 'reverse' END AS dir FROM events WHERE event_type IN ('click', 'view')")
 def match_vectors(spark, sf_dir):
     events = _table(spark, sf_dir, "events").where("event_type IN ('click', 'view')")
