@@ -564,7 +564,7 @@ def commify(spark, sf_dir):
 
 
 @_query("""
-, p AS (SELECT SEQ_NAME, upper(SEQ) AS s, unnest(range(SEQ_LEN)) AS pos FROM seqs), r AS (SELECT SEQ_NAME, pos, s[pos + 1] AS r FROM p),
+, r AS (SELECT SEQ_NAME, unnest(range(SEQ_LEN)) AS pos, unnest(string_split(upper(SEQ), '')) AS r FROM seqs WHERE SEQ_LEN > 0),
 g AS (SELECT *, pos - row_number() OVER (PARTITION BY SEQ_NAME, r ORDER BY pos) AS island FROM r)
 SELECT SEQ_NAME, repeat(r, count(*)) AS pattern, count(*)::INTEGER AS length, min(pos)::INTEGER AS pos FROM g GROUP BY SEQ_NAME, r, island HAVING count(*) >= 4""")
 def homopolymers(spark, sf_dir):
@@ -584,7 +584,8 @@ def patscan_fuzzy(spark, sf_dir):
 
 
 #: Start codons and the stop codon that comes next, in any frame (or with ``frame`` in the same), of the sequences ``strands``.
-_CODONS = """, places AS (SELECT SEQ_NAME, strand, s, unnest(range(length(s) - 2)) AS pos FROM strands), codons AS (SELECT SEQ_NAME, strand, pos, substr(s, pos + 1, 3) AS c FROM places),
+_CODONS = """, shifted AS (SELECT SEQ_NAME, strand, unnest([0, 1, 2]) AS shift, s FROM strands), framed AS (SELECT SEQ_NAME, strand, shift, regexp_extract_all(substr(s, shift + 1), '.{{3}}') AS cs FROM shifted),
+codons AS (SELECT SEQ_NAME, strand, shift + 3 * unnest(range(len(cs))) AS pos, unnest(cs) AS c FROM framed),
 starts AS (SELECT *{frame} FROM codons WHERE c IN ('atg', 'gtg')), stops AS (SELECT *{frame} FROM codons WHERE c IN ('taa', 'tga', 'tag')),
 pairs AS (SELECT a.SEQ_NAME, a.strand, a.pos AS a, z.pos + 2 AS z FROM starts a ASOF JOIN stops z ON a.SEQ_NAME = z.SEQ_NAME AND a.strand = z.strand{same} AND a.pos <= z.pos) """
 _PLUS = ", strands AS (SELECT SEQ_NAME, '+' AS strand, SEQ AS s, SEQ_LEN FROM seqs)"
