@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ORD = "__ord"
@@ -51,20 +51,21 @@ def order_columns(df: DataFrame, order_by: str | list[str] | None) -> list[str]:
 def with_ordinal(df: DataFrame, name: str, order_by: str | list[str] | None = None) -> DataFrame:
     """Adds dense numbers from 0 in order, without a window over all rows.
 
-    Rows are range partitioned and sorted, and written to the checkpoint folder with the number of their partition, so
-    that a second run can't deal them otherwise. Each partition then numbers its rows from the rows before it; the number
-    of rows of a partition is all that reaches the driver.
+    Rows are range partitioned, sorted, and written to the checkpoint folder with the number of their partition and of
+    their place in it, so that a second run can't deal them otherwise. A row's number is its place and how many rows the
+    partitions before have; the number of rows of a partition is all that reaches the driver, and is broadcast. Rows are
+    shuffled once.
     """
     keys = [F.col(f"`{c}`") for c in order_columns(df, order_by)]
-    part = checkpointed(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
-    inside = Window.partitionBy("__part").orderBy(*keys)
-    counted = part.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()
+    # a partition has its number in the upper 31 bits of the ids, from 0 on in the lower 33
+    dealt = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33).cast("int"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     starts, base = [], 0
-    for row in counted:
-        starts.append((row["__part"], base))
+    for row in dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        starts.append((row["part"], base))
         base += row["n"]
-    shift = df.sparkSession.createDataFrame(starts, "__part int, __base long")
-    return part.withColumn(name, F.row_number().over(inside)).join(shift, "__part").withColumn(name, (F.col(name) - 1 + F.col("__base")).cast("long")).drop("__part", "__base")
+    before = F.broadcast(df.sparkSession.createDataFrame(starts, "__part int, __before long"))
+    return dealt.join(before, part == F.col("__part")).withColumn(name, place + F.col("__before")).drop("__id", "__part", "__before")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -114,3 +114,14 @@ def test_status(spark, tmp_path):
     last = p.metrics[-1].status()
     assert (last["records_in"], last["records_out"], last["sequences_delta"], last["residues_out"]) == (3, 1, -1, 4)
     assert "grab" in report(p.metrics, str(tmp_path / "r.html"), "html")
+
+
+def test_ordinals_take_one_shuffle(spark):
+    keys = [None, 5, 5, 1, None, 7, -2, *range(10, 200)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, v int")
+    numbered = with_ordinal(df, "n", "k")
+    got = [(r.n, r.k) for r in numbered.orderBy("n").collect()]
+    assert got == list(enumerate(sorted(keys, key=lambda k: (k is not None, k or 0))))
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "hashpartitioning" not in plan and "Window" not in plan
+    assert with_ordinal(df.limit(0), "n", "k").collect() == []
