@@ -201,18 +201,21 @@ def unitigs(df: DataFrame, k: int, least_depth: int = 1) -> DataFrame:
 def _path_ranks(kmers: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kmer, up, dist): the beginning of each k-mer's path and how far it is; and (b): the least k-mer of each ring.
 
-    Every k-mer points to its predecessor, and in each round to where that one points. What still moves when any path
-    would be at its beginning lies on a ring.
+    Every k-mer points to its predecessor, and in each round to where that one points. Of a path, fewer k-mers move in each
+    round until none does; so once as many move as in the round before, they all lie on rings, none of which is longer than
+    that number.
     """
     pointed = kmers.join(edges.select(F.col("b").alias("kmer"), F.col("a").alias("up")), "kmer", "left")
     state = checkpointed(pointed.select("kmer", F.coalesce("up", "kmer").alias("up"), F.col("up").isNotNull().cast("long").alias("dist"), F.least("kmer", F.coalesce("up", "kmer")).alias("low")))
-    step = state.withColumn("more", F.lit(1))
-    for _ in range(kmers.count().bit_length() + 1):
+    moved, seen = -1, 1  # k-mers that moved in the last round; how far back the least k-mer is known
+    while True:
         further = state.select(F.col("kmer").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("more"), F.col("low").alias("low2"))
         step = checkpointed(state.join(further, "up").select("kmer", F.col("up2").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), F.least("low", "low2").alias("low"), "more"))
-        state = step.drop("more")
-        if step.where("more > 0").isEmpty():
+        state, seen = step.drop("more"), 2 * seen
+        moving = step.where("more > 0").count()
+        if not moving or (moving == moved and seen >= moving):
             break
+        moved = moving
     return state.select("kmer", "up", "dist"), step.where("more > 0").select(F.col("low").alias("b")).distinct()
 
 

@@ -9,7 +9,7 @@ from helixframe.functions import search
 from helixframe.functions import sequence as S
 from helixframe.operators.aggregate import residue_counts
 from helixframe.operators.cluster import greedy_centroids
-from helixframe.operators.external import align_pair
+from helixframe.operators.external import _path_ranks, align_pair
 from helixframe.operators.join import maximal_matches, similar
 from helixframe.operators.taxonomy import build_index, classify
 from helixframe.pipeline import Pipeline as P
@@ -328,3 +328,18 @@ def test_assembly_and_alignment(spark):
     assert align_pair("ACGT", "A-CGGT") in ("A-CG-T", "A-C-GT")
     genes = P().genecall(size_min=9).run(seqs(spark, ("CCATGAAATAACC", None))).where("RECORD_TYPE = 'genecall'").collect()
     assert [(r.S_BEG, r.S_END, r.STRAND, r.SEQ) for r in genes] == [(3, 11, "+", "ATGAAATAA")]
+
+
+def test_paths_and_rings_are_ranked(spark):
+    def name(kind, i):
+        return f"{kind}{i:04d}"
+
+    rings, paths = {"a": 1, "b": 2, "c": 97}, {"x": 1, "y": 2, "z": 150}
+    edges = [(name(k, i), name(k, (i + 1) % n)) for k, n in rings.items() for i in range(n) if n > 1]
+    edges += [(name(k, i), name(k, i + 1)) for k, n in paths.items() for i in range(n - 1)]
+    kmers = [(name(k, i),) for k, n in (rings | paths).items() for i in range(n)]
+    ranked, ringed = _path_ranks(spark.createDataFrame(kmers, "kmer string"), spark.createDataFrame(edges, "a string, b string"))
+    assert sorted(r.b for r in ringed.collect()) == [name("b", 0), name("c", 0)]
+    found = {r.kmer: (r.up, r.dist) for r in ranked.collect()}
+    assert all(found[name(k, i)] == (name(k, 0), i) for k, n in paths.items() for i in range(n))
+    assert len(found) == len(kmers)
