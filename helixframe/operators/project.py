@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import options as O
 from ..functions import search, sequence as S
 from ..pipeline import command
-from ..schema import DataError, has, present, with_ordinal
+from ..schema import GAPS, DataError, has, present, with_ordinal
 
 
 def _set(df: DataFrame, when: Column, **columns: Column) -> DataFrame:
@@ -112,7 +116,8 @@ def slice_seq(df: DataFrame, start: int, stop: int | None = None, exclusive: boo
 def degap_seq(df: DataFrame, columns_only: bool = False) -> DataFrame:
     """Without gaps; with ``columns_only`` without the columns of an alignment that are gaps in every sequence.
 
-    Those columns are counted in one aggregation; their list, as long as the alignment is wide, goes to the driver.
+    Each partition tells which columns hold a residue, a row a column, so that no residue is shuffled; the mask, as long as
+    the alignment is wide, goes to the driver and back to the tasks.
     """
     if "SEQ" not in df.columns:
         return df
@@ -125,10 +130,32 @@ def degap_seq(df: DataFrame, columns_only: bool = False) -> DataFrame:
     widths = seqs.agg(F.min(F.length("SEQ")), F.max(F.length("SEQ"))).first()
     if widths[0] != widths[1]:
         raise DataError(f"aligned sequences must be equally long, not {widths[0]} to {widths[1]}")
-    places = seqs.select(F.posexplode(S.letters("SEQ")).alias("pos", "c")).groupBy("pos").agg(F.min(F.col("c").isin(*".-_~")).alias("gap"))
-    kept = sorted(r.pos for r in places.where("NOT gap").collect())
-    pick = lambda c: F.array_join(F.transform(F.array(*[F.lit(p + 1) for p in kept]), lambda p: F.substring(c, p, F.lit(1))), "") if kept else F.lit("")
-    return _with_length(df, SEQ=pick(F.col("SEQ")))
+    solid = np.zeros(widths[0] or 0, bool)
+    solid[[r.pos for r in _solid_columns(seqs, len(solid)).collect()]] = True
+
+    @F.pandas_udf("string")
+    def pick(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else _code_points(s)[solid].tobytes().decode("utf-32-le") for s in texts], dtype=object)
+
+    return _with_length(df, SEQ=pick("SEQ"))
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def _solid_columns(seqs: DataFrame, width: int) -> DataFrame:
+    """(pos): the columns of equally long sequences that aren't gaps in all of them."""
+    gaps = _code_points(GAPS)
+
+    def solid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(width, bool)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                held |= ~np.isin(_code_points(s), gaps)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(held), pa.int32())], names=["pos"])
+
+    return seqs.mapInArrow(solid, "pos int").distinct()
 
 
 def _check_mask(o: dict) -> None:

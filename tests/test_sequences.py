@@ -75,6 +75,9 @@ def test_degap(spark):
     assert one(P().degap_seq().run(seqs(spark, ("AT--C.G~", "IIIIIIII"))), "SEQ", "SEQ_LEN", "SCORES") == ("ATCG", 4, "IIII")
     columns = P().degap_seq(columns_only=True).run(seqs(spark, ("ATA-C.G~", None), ("AT--C.G.", None)).drop("SCORES"))
     assert [r.SEQ for r in columns.orderBy("__ord").collect()] == ["ATACG", "AT-CG"]
+    odd = P().degap_seq(columns_only=True).run(seqs(spark, ("-._~", None), (None, None), ("~~~~", None)).drop("SCORES"))
+    assert [(r.SEQ, r.SEQ_LEN) for r in odd.orderBy("__ord").collect() if r.SEQ is not None] == [("", 0), ("", 0)] and odd.count() == 3
+    assert P().degap_seq(columns_only=True).run(seqs(spark, (None, None)).drop("SCORES")).count() == 1
     with pytest.raises(DataError):
         P().degap_seq(columns_only=True).run(seqs(spark, ("AT", None), ("ATC", None)))
 
