@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_and_text, in_fold, labelled_sample, table, utf8
+from .common import arrow_map, frozen_texts, id_and_text, in_fold, labelled_sample, slices, table, utf8
 
 #: Byte classes that statistics count.
 _CLASSES = {
@@ -47,8 +48,8 @@ def statistics(text: bytes) -> list[float]:
 
 def repeated_pairs(words: list[bytes]) -> float:
     """The share of pairs of neighbouring words that occurred before in the text."""
-    pairs = list(zip(words, words[1:], strict=False))
-    return 1 - len(set(pairs)) / len(pairs) if pairs else 0.0
+    pairs = len(words) - 1
+    return 1 - len(set(itertools.pairwise(words))) / pairs if pairs > 0 else 0.0
 
 
 @dataclass
@@ -176,16 +177,16 @@ def score_quality(documents: DataFrame, model: QualityModel, threshold: float =
 
 
 def keep_predicted(documents: DataFrame, model: QualityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``documents``, with all their columns, whose score reaches ``threshold``."""
+    """The rows of ``documents``, with all their columns, whose score reaches ``threshold``; they are written to the shared folder."""
 
     names = documents.columns
     numbered, text = documents.toDF(*map(str, range(len(names)))), names.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(model.score(utf8(b.column(text))) >= threshold, pa.bool_()))
 
-    return numbered.mapInArrow(each, numbered.schema).toDF(*names)
+    return frozen_texts(numbered.mapInArrow(each, numbered.schema)).toDF(*names)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

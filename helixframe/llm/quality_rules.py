@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, frozen, id_and_text, table, utf8
+from .common import arrow_map, frozen, frozen_texts, id_and_text, slices, table, utf8
 
 #: Name, statistic, the most of a good vote and the least of a bad one; between the two the rule abstains.
 RULES = (
@@ -175,14 +175,14 @@ def keep_good(documents: DataFrame, threshold: float = 0.5, id_col: str = "doc_i
     text = names.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             codes = []
             for t in utf8(batch.column(text)):
                 base = base_statistics(t)
                 codes.append(2 * _code(votes(t, base)) + failed_base(base[0], base[4]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.int32())], names=[*batch.schema.names, "votes"])
 
-    voted = frozen(numbered.mapInArrow(each, T.StructType([*numbered.schema.fields, T.StructField("votes", T.IntegerType())])))
+    voted = frozen_texts(numbered.mapInArrow(each, T.StructType([*numbered.schema.fields, T.StructField("votes", T.IntegerType())])))
     quality = fit_votes(voted.select(F.shiftright("votes", 1).alias("pattern")))
     kept = [2 * pattern for pattern, q in quality.items() if q >= threshold]  # no more than there are patterns
     return voted.where(F.col("votes").isin(kept)).drop("votes").toDF(*names)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, frozen, heavy_keys, id_and_text, salted_join, utf8
+from .common import arrow_map, frozen, frozen_texts, heavy_keys, id_and_text, salted_join, slices, utf8
 
 #: Byte value -> its eight bits in the eight byte lanes of a 64-bit integer (lowest bit in the lowest lane).
 _LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).view(np.uint64).ravel()
@@ -62,7 +62,7 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t, width) for t in utf8(b.column("text"))], dtype=np.uint64)
             yield {"doc_id": b.column("doc_id"), "fp": fps.view(np.int64), **{c: b.column(c) for c in carried}}
 
@@ -246,7 +246,7 @@ def near_duplicates(documents: DataFrame, radius: int = 4, width: int = 4, id_co
     Fingerprints link at ``radius`` or fewer differing bits. Null and empty texts have fingerprint zero and link like any
     other. Repeated rows each get a row; rows with a null doc_id are members but never name a component (null if all are).
     """
-    docs = frozen(fingerprints(documents, id_col, text_col, width))
+    docs = frozen_texts(fingerprints(documents, id_col, text_col, width))
     roots = component_roots(docs.select("fp"), radius)
     rooted = with_roots(docs, roots)
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -268,7 +268,7 @@ def one_of_each_component(documents: DataFrame, radius: int = 4, width: int = 4,
     there = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in columns])
     h1, h2 = (F.xxhash64(F.lit(seed), there, *simple) for seed in (1, 2))
     marked = documents.withColumns({"__h1": h1, "__h2": h2})
-    rows = frozen(fingerprints(marked, id_col, text_col, width, ("__h1", "__h2")))
+    rows = frozen_texts(fingerprints(marked, id_col, text_col, width, ("__h1", "__h2")))
     roots = component_roots(rows.select("fp"), radius)
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__h1", "__h2")
     each = rows.groupBy("fp").agg(F.min(rank).alias("first")).join(roots.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))

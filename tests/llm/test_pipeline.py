@@ -1,9 +1,12 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 
 import corpus_pipeline
-from helixframe.llm import quality_classifier, quality_rules, simhash
+from helixframe.llm import common, quality_classifier, quality_rules, simhash
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +80,49 @@ def test_rows_that_share_an_id_or_have_none_are_documents_of_their_own(spark, mo
     assert set(simhash.one_of_each_component(df.repartition(1), most_broadcast=most).collect()) == set(map(tuple, kept))
     voted = quality_rules.keep_good(df)
     assert voted.columns == df.columns and voted.count() == 0
+
+
+def test_texts_reach_workers_in_small_batches(spark, folder, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    write = DataFrameWriter.parquet
+
+    def spy(self, path, *args, **kwargs):
+        seen.append(int(spark.conf.get(key)) if "MapInArrow" in self._df._jdf.queryExecution().optimizedPlan().toString() else 0)
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        seen.clear()
+        stage(spark, docs, folder).write.parquet(f"{folder}/small-{name.replace(' ', '-')}")
+        assert any(seen), name
+        of_texts = [n for n in seen if n][:1]  # what comes after works on fingerprints or bins
+        assert max(of_texts) <= common.BATCH_ROWS and seen[-1] == 0, name  # nothing is left to the caller's write
+        assert spark.conf.get(key) == "10000", name
+    spark.conf.set(key, "70")
+    try:
+        with common.small_batches(spark):
+            assert spark.conf.get(key) == "70"
+        assert spark.conf.get(key) == "70"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_slices_hold_the_same_rows():
+    texts = ["a" * 10, None, "", "b" * 5000, *["c" * 90] * 50, None]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    got = list(common.slices([batch, batch.slice(0, 0)], 1000))
+    assert pa.Table.from_batches(got).to_pydict() == batch.to_pydict()
+    assert len(got) > 6 and all(len(b) == 1 or sum(map(len, filter(None, b["text"].to_pylist()))) <= 6000 for b in got)
+    assert all(sum(len(t or "") for t in b["text"].to_pylist()[:-1]) <= 1000 for b in got)
+
+
+def test_pairs_of_words_are_not_all_held():
+    words = [b"one", b"two"] * 100_000
+    tracemalloc.start()
+    try:
+        share = quality_classifier.repeated_pairs(words)
+        assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    finally:
+        tracemalloc.stop()
+    assert share == 1 - 2 / 199_999 and quality_classifier.repeated_pairs([b"one"]) == quality_classifier.repeated_pairs([]) == 0
