@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import arrow_map, default_vocabulary, frozen, frozen_texts, id_and_text, slices, table, utf8
+from .common import arrow_map, default_vocabulary, frozen, frozen_texts, id_and_text, table, utf8
 from .encoding import blocks, encoder
 
+#: More rows than elsewhere, so that few blocks of texts are cut short by the end of a batch: each block costs time of its own.
+BATCH_ROWS = 2000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -72,7 +74,7 @@ def placed_pieces(documents: DataFrame, path: str, capacity: int, open_bins: int
         partition = TaskContext.get().partitionId()
         fresh = partition << 33
         names = [f.split()[0] for f in PIECES.split(", ")]
-        for batch in slices(batches):
+        for batch in batches:
             texts, ids = utf8(batch.column("text")), batch.column("doc_id").to_pylist()
             for i, j in blocks(texts):
                 rows = []
@@ -134,7 +136,7 @@ def best_fit_packing(
     A document is its token ids and ``end_id``; only longer ones than ``capacity`` are cut. Null and empty texts are a
     piece of one id. Repeated rows are packed as often as they occur.
     """
-    pieces = frozen_texts(placed_pieces(id_and_text(documents, id_col, text_col), path or default_vocabulary("word_bpe_49k.json"), capacity, open_bins, end_id))
+    pieces = frozen_texts(placed_pieces(id_and_text(documents, id_col, text_col), path or default_vocabulary("word_bpe_49k.json"), capacity, open_bins, end_id), BATCH_ROWS)
     left = pieces.where("piece = -1").select(F.col("sequence_id").alias("bin"), F.col("length").alias("used"), F.col("ids_crc32").alias("part"))
     moved = repacked(left, capacity, open_bins, fan_in)
     rows = pieces.where("piece >= 0").withColumnRenamed("sequence_id", "bin").join(moved, "bin", "left")

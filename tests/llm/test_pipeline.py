@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import DataFrameWriter
 
 import corpus_pipeline
-from helixframe.llm import common, quality_classifier, quality_rules, simhash
+from helixframe.llm import common, packing, quality_classifier, quality_rules, simhash
 
 
 @pytest.fixture(scope="module")
@@ -97,7 +97,7 @@ def test_texts_reach_workers_in_small_batches(spark, folder, monkeypatch):
         stage(spark, docs, folder).write.parquet(f"{folder}/small-{name.replace(' ', '-')}")
         assert any(seen), name
         of_texts = [n for n in seen if n][:1]  # what comes after works on fingerprints or bins
-        assert max(of_texts) <= common.BATCH_ROWS and seen[-1] == 0, name  # nothing is left to the caller's write
+        assert max(of_texts) <= (packing.BATCH_ROWS if name == "packing" else common.BATCH_ROWS) and seen[-1] == 0, name  # nothing is left to the caller's write
         assert spark.conf.get(key) == "10000", name
     spark.conf.set(key, "70")
     try:
