@@ -6,7 +6,8 @@ fingerprints there are, the more blocks, so that buckets by chance stay small. B
 stored as vertical planes (big integers, a bit for each member); all members are compared with their s-th neighbours at
 once by adding differing planes into carry-save counters, and a shift is abandoned once every pair exceeds the radius.
 A cell yields a spanning forest of its links, never all pairs; components come from alternating star contraction. Joins
-deal the rows of hot buckets, nodes, components and fingerprints over salts.
+deal the rows of hot buckets, nodes, components and fingerprints over salts. The rows of the buckets, of which there are
+many for each fingerprint, are never broadcast.
 """
 
 from __future__ import annotations
@@ -177,7 +178,7 @@ def links(distinct: DataFrame, radius: int = 4, shared: int | None = None, cell:
     chunks = F.ceil(F.col("n") / cell).cast("int")
     own = F.pmod(F.xxhash64("fp"), chunks.cast("long")).cast("int")
     hot = heavy_keys(crowded, ["t", "key"], count * len(_masks(radius, shared)))
-    split = salted_join(members, crowded, ["t", "key"], hot).select("t", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    split = salted_join(members, crowded, ["t", "key"], hot, by_merge=True).select("t", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
     cells = split.select(F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -1,11 +1,13 @@
 import random
+import re
 
 import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from helixframe.llm import simhash
+from helixframe.llm import common, simhash
 
 
 def plain_fingerprint(text, width=4):
@@ -95,6 +97,14 @@ def test_crowded_buckets_are_split_without_losing_links(spark):
     assert len({next(iter(v)) for v in by_class.values()}) == len(by_class)
 
 
+def test_rows_of_buckets_are_not_broadcast(spark):
+    distinct = common.frozen(spark.range(3000).select(F.xxhash64("id").alias("fp")))  # a file of a few KB, as Spark sees it
+    found = simhash.links(distinct)
+    found.collect()
+    joins = re.findall(r"(\w+Join) \[.*__salt", found._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
 def test_a_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 99)], "a long, b long")
     assert {r.node: r.root for r in simhash.components(edges).collect()} == {**{i: 0 for i in range(1, 41)}, 100: 99}
