@@ -29,14 +29,14 @@ def facts(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(doc_id, size, text_crc32, tokens, grp): UTF-8 bytes and one, token ids of the vocabulary, and a digest of the text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encode = encoder(path).encode
+        counts = encoder(path).counts
         for batch in batches:
             texts, ids = utf8(batch.column("text")), batch.column("doc_id")
             for i, j in blocks(texts):
                 part = texts[i:j]
                 yield {
                     "doc_id": ids.slice(i, j - i), "size": [len(t) + 1 for t in part], "text_crc32": [zlib.crc32(t) for t in part],
-                    "tokens": [len(x) // 4 for x in encode(part)], "grp": [hashlib.md5(t).digest() for t in part],
+                    "tokens": counts(part), "grp": [hashlib.md5(t).digest() for t in part],
                 }
 
     return arrow_map(id_and_text(documents, id_col, text_col), "doc_id long, size long, text_crc32 long, tokens long, grp binary", each)

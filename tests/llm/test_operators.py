@@ -122,6 +122,45 @@ def test_encoder_forgets_and_tells_equal_keys_apart(tokenizer):
     assert e.encode([b"alpha beta"])[0] == np.asarray(tokenizer.encode("alpha beta", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+class Counting:
+    """The library's tokenizer, with the number of texts that it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.given += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_new_pre_tokens_go_to_the_library_many_to_a_call(tokenizer):
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdeéñ#", k=rng.randrange(1, 12))) for _ in range(2000)) for _ in range(3)]
+    e = encoding.Encoder(WORD_BPE)
+    e._tokenizer = Counting(e._tokenizer)
+    counts = e.counts([t.encode() for t in texts])
+    assert len(e._keys) > 3000 and e._tokenizer.given < 10
+    assert counts == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert e.encode([t.encode() for t in texts]) == [np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_pre_tokens_that_the_library_cuts_again_go_to_it_one_by_one(tokenizer):
+    texts = [b"one a\xc3 two", b"\xc3\xc3 x", b"", b"a\x00 a a\x1f #\x00"]
+    want = [tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
+    e = encoding.Encoder(WORD_BPE)
+    assert e.encode(texts) == [np.asarray(ids, "<u4").tobytes() for ids in want]
+    assert e.counts(texts) == list(map(len, want)) and e.counts([]) == []
+
+
+def test_slots_of_the_encoder_s_table_grow(tokenizer):
+    e = encoding.Encoder(WORD_BPE)
+    e._slots = np.zeros(4, np.int32)
+    for k in (1, 2, 40, 3, 500):
+        text = " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}" for i in range(k))
+        assert e.counts([text.encode()]) == [len(tokenizer.encode(text, add_special_tokens=False).ids)]
+        assert 2 * len(e._keys) <= len(e._slots) and np.count_nonzero(e._slots) == len(e._keys) - 1
+
+
 def test_other_tokenizer_files_are_left_to_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, texts = Tokenizer.from_file(path), ["Two  words, it's\n <|endoftext|> É", "", "x" * 99]
